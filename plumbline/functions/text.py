@@ -41,7 +41,13 @@ def plural(n: Column, one: str, many: str) -> Column:
 
 
 def fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    """Fixed-point text, halves up."""
+    scale = float(10 ** digits)
+    return F.format_string(f"%.{digits}f", F.floor(x * scale + 0.5) / scale)
+
+
+def whole(x: Column) -> Column:
+    return F.floor(x + 0.5).cast("bigint").cast("string")
 
 
 def capitalised(text: Column) -> Column:

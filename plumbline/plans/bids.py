@@ -6,7 +6,7 @@ from plumbline import refdata as R
 from plumbline.functions import pricing as P
 from plumbline.operators import pricing as op
 from plumbline.plans.oracle import CTES, case
-from plumbline.plans.registry import query
+from plumbline.plans.registry import query, steady, steady_sql
 
 c = F.col
 
@@ -56,13 +56,11 @@ def totals(t):
 
 
 def money(*names):
-    return [F.round(c(n), 5).alias(n) for n in names]
+    return [steady(n).alias(n) for n in names]
 
 
-MONEY_SQL = ("round(total_labor, 5) AS total_labor, round(total_material, 5) AS total_material, "
-             "round(subtotal, 5) AS subtotal, round(total_overhead, 5) AS total_overhead, "
-             "round(total_markup, 5) AS total_markup, round(grand_total, 5) AS grand_total")
 MONEY = ("total_labor", "total_material", "subtotal", "total_overhead", "total_markup", "grand_total")
+MONEY_SQL = ", ".join(f"{steady_sql(n)} AS {n}" for n in MONEY)
 
 
 @query("bid_line_items", LINES, """
@@ -81,15 +79,15 @@ def _bid_totals(t):
     return totals(t).select("project_id", "line_count", *money(*MONEY))
 
 
-@query("room_schedule", LINES, """
+@query("room_schedule", LINES, f"""
 SELECT project_id, coalesce(room_label, '(no room)') AS room_label,
   round(sum(CASE WHEN type='wall' THEN quantity ELSE 0 END), 4) AS wall_sqft, 0.0::DOUBLE AS wall_lf,
   round(sum(CASE WHEN type='ceiling' THEN quantity ELSE 0 END), 4) AS ceiling_sqft,
   sum(CASE WHEN type='trim' THEN quantity ELSE 0 END) AS trim_lf,
   sum(CASE WHEN type='door' THEN quantity ELSE 0 END) AS doors,
   sum(CASE WHEN type='window' THEN quantity ELSE 0 END) AS windows,
-  round(sum(labor_cost), 5) AS labor_cost, round(sum(material_cost), 5) AS material_cost,
-  round(sum(labor_cost)+sum(material_cost), 5) AS total_cost FROM lines GROUP BY 1, 2""")
+  {steady_sql('sum(labor_cost)')} AS labor_cost, {steady_sql('sum(material_cost)')} AS material_cost,
+  {steady_sql('sum(labor_cost)+sum(material_cost)')} AS total_cost FROM lines GROUP BY 1, 2""")
 def _room_schedule(t):
     return op.room_schedule(lines(t)).select(
         "project_id", "room_label", F.round("wall_sqft", 4).alias("wall_sqft"), "wall_lf",
@@ -111,8 +109,8 @@ def _latest_bid(t):
     return op.latest_bid(t.bid_versions)
 
 
-@query("next_version", TOTALS + ("bid_versions",), """
-SELECT t.project_id, CAST(coalesce(v.last, 0)+1 AS INT) AS version_number, round(t.grand_total, 5) AS grand_total
+@query("next_version", TOTALS + ("bid_versions",), f"""
+SELECT t.project_id, CAST(coalesce(v.last, 0)+1 AS INT) AS version_number, {steady_sql('t.grand_total')} AS grand_total
 FROM totals t LEFT JOIN (SELECT project_id, max(version_number) AS last FROM bid_versions GROUP BY 1) v USING (project_id)""")
 def _next_version(t):
     return op.append_bid(t.bid_versions, totals(t)).select("project_id", "version_number", *money("grand_total"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.plans.oracle import with_ctes
 from plumbline.sources.adapters import Tables
@@ -23,3 +23,17 @@ def query(name: str, uses: tuple[str, ...] = (), sql: str | None = None, recursi
             ORACLES[name] = with_ctes(sql, uses, recursive)
         return fn
     return register
+
+
+def steady(x: Column | str) -> Column:
+    """Thousandths, cut at points that are no decimal fractions.
+
+    Sums of doubles differ in the last bit with the order of addition, and prices often end on an
+    exact half of the last shown digit; cutting elsewhere keeps both engines on the same side.
+    """
+    col = F.col(x) if isinstance(x, str) else x
+    return F.floor(col * 1000.0 + 0.3718281828) / 1000.0
+
+
+def steady_sql(expr: str) -> str:
+    return f"floor(({expr})*1000.0::DOUBLE + 0.3718281828::DOUBLE)/1000.0::DOUBLE"
