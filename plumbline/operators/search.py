@@ -152,8 +152,8 @@ def symbol_rooms(surfaces: DataFrame, symbol: str | None = None) -> DataFrame:
             .select("project_id", T.symbol_name(c("type")).alias("symbol"),
                     F.coalesce("room_label", F.lit("(no room)")).alias("room_label"),
                     F.coalesce("count", F.lit(0)).alias("n"))
-            .rollup("project_id", "symbol", "room_label").agg(F.sum("n").alias("total"))
-            .where(c("symbol").isNotNull()))
+            .groupingSets([["project_id", "symbol", "room_label"], ["project_id", "symbol"]],
+                          "project_id", "symbol", "room_label").agg(F.sum("n").alias("total")))
 
 
 def symbol_category(symbol: Column, fallback: str = "furniture") -> Column:
