@@ -74,7 +74,7 @@ CTES: dict[str, str] = {
   SELECT CAST(CAST(floor(p_partkey/40) AS BIGINT) AS VARCHAR) AS page_id, CAST(p_partkey % 40 AS INT) AS seq,
     CASE WHEN p_partkey % 10 = 0 THEN upper(p_name) || ' ' || {pick('p_size % 8', ROOM_WORDS)}
       WHEN p_partkey % 10 = 1 THEN p_size || '''-' || (p_partkey % 12) || '"'
-      WHEN p_partkey % 10 = 2 THEN p_size || '''-' || (p_partkey % 12) || '" x ' || (p_size % 17 + 4) || '''-'
+      WHEN p_partkey % 10 = 2 THEN p_size || '''' || (p_partkey % 12) || '" x ' || (p_size % 17 + 4) || ''''
         || ((p_partkey % 12 + 5) % 12) || '"'
       WHEN p_partkey % 10 = 3 AND p_partkey % 40 < 20 THEN 'SCALE'
       WHEN p_partkey % 10 = 4 AND p_partkey % 40 < 20 THEN

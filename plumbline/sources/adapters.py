@@ -157,10 +157,11 @@ class Tables:
         slot, page = k % 40, F.floor(k / 40)
         inch = k % 12
         feet_in = F.concat(_s(c("p_size")), F.lit("'-"), _s(inch), F.lit('"'))
-        second = F.concat(_s(c("p_size") % 17 + 4), F.lit("'-"), _s((inch + 5) % 12), F.lit('"'))
+        by = F.concat(_s(c("p_size")), F.lit("'"), _s(inch), F.lit('" x '), _s(c("p_size") % 17 + 4), F.lit("'"),
+                      _s((inch + 5) % 12), F.lit('"'))
         text = (F.when(k % 10 == 0, F.concat(F.upper(c("p_name")), F.lit(" "), _pick(c("p_size") % 8, ROOM_WORDS)))
                 .when(k % 10 == 1, feet_in)
-                .when(k % 10 == 2, F.concat(feet_in, F.lit(" x "), second))
+                .when(k % 10 == 2, by)
                 .when((k % 10 == 3) & (k % 40 < 20), F.lit("SCALE"))
                 .when((k % 10 == 4) & (k % 40 < 20), _pick(k % 3, ['1/4" = 1\'-0"', '1/8"=1\'', "1:100"]))
                 .when(k % 10 == 5, F.concat(_s(c("p_size") % 40), F.lit('"')))
