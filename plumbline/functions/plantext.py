@@ -75,39 +75,58 @@ def _numbers(text: Column, pattern: str, n: int) -> list[Column]:
     return [g.try_cast("double") for g in _groups(text, pattern, n)]
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, which keeps generated code small."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _bind(columns: list[Column], fn) -> Column:
+    """``fn`` over several columns, each computed once."""
+    names = [f"g{i}" for i in range(len(columns))]
+    packed = F.struct(*[col.alias(n) for n, col in zip(names, columns)])
+    return let(packed, lambda v: fn(*[v[n] for n in names]))
+
+
 # --- dimensions --------------------------------------------------------------------------------
 def parse_dim(text: Column) -> Column:
     """Width and height in feet of ``12'6" x 10'`` or ``12 x 10.5``; NULL otherwise."""
-    t = F.regexp_replace(text, r"\s+", "")
     feet = rf"^(\d{{1,3}}){FOOT}(\d{{1,2}})?{INCH}?[xX×](\d{{1,3}}){FOOT}(\d{{1,2}})?{INCH}?$"
-    w, wi, h, hi = _numbers(t, feet, 4)
     plain = r"^(\d{1,3}(?:\.\d+)?)[xX×](\d{1,3}(?:\.\d+)?)$"
-    pw, ph = _numbers(t, plain, 2)
     zero = F.lit(0.0)
-    width = F.coalesce(w + F.coalesce(wi, zero) / 12, pw)
-    height = F.coalesce(h + F.coalesce(hi, zero) / 12, ph)
-    return F.when((width > 0) & (height > 0) & (width < 200) & (height < 200),
-                  F.struct(width.alias("width_ft"), height.alias("height_ft")))
+
+    def size(w, wi, h, hi, pw, ph):
+        return F.struct(F.coalesce(w + F.coalesce(wi, zero) / 12, pw).alias("width_ft"),
+                        F.coalesce(h + F.coalesce(hi, zero) / 12, ph).alias("height_ft"))
+
+    def checked(d):
+        w, h = d["width_ft"], d["height_ft"]
+        return F.when((w > 0) & (h > 0) & (w < 200) & (h < 200), d)
+
+    return let(F.regexp_replace(text, r"\s+", ""), lambda t: let(
+        _bind([*_numbers(t, feet, 4), *_numbers(t, plain, 2)], size), checked))
 
 
 def parse_callout(text: Column) -> Column:
     """Length in feet and confidence of a single dimension note; NULL otherwise."""
-    t = F.trim(text)
-    usable = F.length(t).between(1, 30) & ~t.rlike("(?i)[=:]|scale")
+    both = rf"^(\d{{1,3}})\s*{FOOT}\s*[-–]?\s*(\d{{1,2}})(?:\s+(\d+)\s*/\s*(\d+))?\s*{INCH}?$"
+    only = rf"^(\d{{1,3}})\s*{FOOT}\s*(?:-?\s*0\s*{INCH}?)?$"
+    short = rf"^(\d{{1,2}})(?:\s+(\d+)\s*/\s*(\d+))?\s*{INCH}$"
 
-    def fraction(n: Column, d: Column) -> Column:
+    def part(n: Column, d: Column) -> Column:
         return F.coalesce(F.when(d > 0, n / d), F.lit(0.0))
 
-    ft, inch, n, d = _numbers(
-        t, rf"^(\d{{1,3}})\s*{FOOT}\s*[-–]?\s*(\d{{1,2}})(?:\s+(\d+)\s*/\s*(\d+))?\s*{INCH}?$", 4)
-    inches = inch + fraction(n, d)
-    both = F.when(inches < 12, F.struct((ft + inches / 12).alias("length_ft"), F.lit(0.99).alias("confidence")))
-    (only,) = _numbers(t, rf"^(\d{{1,3}})\s*{FOOT}\s*(?:-?\s*0\s*{INCH}?)?$", 1)
-    feet = F.when(only > 0, F.struct(only.alias("length_ft"), F.lit(0.95).alias("confidence")))
-    whole, n2, d2 = _numbers(t, rf"^(\d{{1,2}})(?:\s+(\d+)\s*/\s*(\d+))?\s*{INCH}$", 3)
-    small = whole + fraction(n2, d2)
-    short = F.when((small > 0) & (small < 36), F.struct((small / 12).alias("length_ft"), F.lit(0.7).alias("confidence")))
-    return F.when(usable, F.coalesce(both, feet, short))
+    def hit(cond: Column, length: Column, confidence: float) -> Column:
+        return F.when(cond, F.struct(length.alias("length_ft"), F.lit(confidence).alias("confidence")))
+
+    def read(ft, inch, n, d, feet, whole, n2, d2):
+        return F.coalesce(
+            _bind([inch + part(n, d)], lambda i: hit(i < 12, ft + i / 12, 0.99)),
+            hit(feet > 0, feet, 0.95),
+            _bind([whole + part(n2, d2)], lambda i: hit((i > 0) & (i < 36), i / 12, 0.7)))
+
+    return let(F.trim(text), lambda t: F.when(
+        F.length(t).between(1, 30) & ~t.rlike("(?i)[=:]|scale"),
+        _bind([*_numbers(t, both, 4), *_numbers(t, only, 1), *_numbers(t, short, 3)], read)))
 
 
 def orientation(rotation: Column) -> Column:
@@ -130,29 +149,33 @@ def imperial_scale(text: Column) -> Column:
     Compatibility: blanks are removed before the fraction is looked up, so a mixed number such as
     ``1 1/2`` is not recognised.
     """
-    t = F.trim(text)
     pattern = (rf"(?i)(\d{{1,2}}(?:\s*/\s*\d{{1,3}})?|\d+\s+\d+\s*/\s*\d+)\s*{INCH}?\s*=\s*(\d+)\s*['’′]\s*"
                rf"(?:[-–]\s*(\d+)\s*{INCH}?)?")
-    key = F.regexp_replace(_groups(t, pattern, 1)[0], r"\s", "")
-    _, ft, inch = _numbers(t, pattern, 3)
     table = F.create_map(*[F.lit(x) for kv in SCALE_INCHES.items() for x in kv])
-    real = ft * 12 + F.coalesce(inch, F.lit(0.0))
-    pt = F.lit(12.0 * 72.0) * F.try_element_at(table, key) / real
-    rest = F.coalesce(inch.cast("int"), F.lit(0)).cast("string")
-    label = F.concat(key, F.lit('" = '), ft.cast("int").cast("string"), F.lit("'-"), rest, F.lit('"'))
-    confidence = F.when(t.rlike(r"(?i)\bscale\b"), 0.92).otherwise(0.75)
-    ok = F.length(t).between(1, 60) & (ft > 0) & (pt >= 1) & (pt <= 1000)
-    return F.when(ok, _scale(pt, label, "imperial", confidence))
+
+    def read(key, ft, inch, word):
+        inches = F.coalesce(inch, F.lit(0.0))
+        pt = F.lit(12.0 * 72.0) * F.try_element_at(table, key) / (ft * 12 + inches)
+        label = F.concat(key, F.lit('" = '), ft.cast("int").cast("string"), F.lit("'-"),
+                         inches.cast("int").cast("string"), F.lit('"'))
+        return F.when((ft > 0) & pt.between(1, 1000),
+                      _scale(pt, label, "imperial", F.when(word, 0.92).otherwise(0.75)))
+
+    return let(F.trim(text), lambda t: F.when(F.length(t).between(1, 60), _bind(
+        [F.regexp_replace(_groups(t, pattern, 1)[0], r"\s", ""), *_numbers(t, pattern, 3)[1:],
+         t.rlike(r"(?i)\bscale\b")], read)))
 
 
 def metric_scale(text: Column) -> Column:
-    t = F.trim(text)
-    (n,) = _numbers(t, r"(?i)(?:scale\s*[:=]?\s*)?1\s*:\s*(\d{2,4})\b", 1)
-    pt = F.lit(863.6) / n
-    confidence = F.when(t.rlike(r"(?i)\bscale\b"), 0.9).otherwise(0.6)
-    label = F.concat(F.lit("1:"), n.cast("int").cast("string"))
-    ok = F.length(t).between(1, 60) & n.between(10, 5000) & (pt >= 0.5) & (pt <= 1000)
-    return F.when(ok, _scale(pt, label, "metric", confidence))
+    pattern = r"(?i)(?:scale\s*[:=]?\s*)?1\s*:\s*(\d{2,4})\b"
+
+    def read(n, word):
+        label = F.concat(F.lit("1:"), n.cast("int").cast("string"))
+        return F.when(n.between(10, 5000), _scale(F.lit(863.6) / n, label, "metric",
+                                                  F.when(word, 0.9).otherwise(0.6)))
+
+    return let(F.trim(text), lambda t: F.when(F.length(t).between(1, 60), _bind(
+        [*_numbers(t, pattern, 1), t.rlike(r"(?i)\bscale\b")], read)))
 
 
 def feet_label(text: Column) -> Column:
