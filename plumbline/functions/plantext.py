@@ -41,6 +41,10 @@ TITLE_WORDS = (
     r"first floor|second floor|third floor|saint cloud|st cloud|st\. cloud|key plan")
 MATERIALS = "p|pt|cpt|vct|wsf|cg|act|gwb|cmu|wb|gyp|hm|wd|mtl|sst|alm|alm\\.?|gl|gl\\.?"
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december"
+CERTAIN_ROOMS = (
+    "LIVING KITCHEN BEDROOM MASTER DINING FAMILY GREAT FOYER ENTRY HALL HALLWAY CORRIDOR OFFICE DEN STUDY NOOK MEDIA "
+    "BONUS REC RECREATION GUEST PLAYROOM BATH BATHROOM RESTROOM TOILET POWDER LAUNDRY MUDROOM MUD LOBBY RECEPTION STAFF "
+    "PATIENT EXAM CONF LOUNGE PORCH DECK PATIO BALCONY GARAGE SUNROOM BREAKFAST MORNING SHOP BASEMENT ATTIC CELLAR")
 #: smallest believable room in square feet; the first matching class decides
 MIN_ROOM_SQFT = [
     (80, "LIVING MASTER GREAT FAMILY REC RECREATION MEDIA BONUS GUEST PLAYROOM GARAGE SHOP LOBBY BASEMENT"),
@@ -257,6 +261,11 @@ def is_interior(text: Column) -> Column:
     return ~has_word(text, " ".join(OUTDOOR_WORDS))
 
 
+def is_certain_room(label: Column) -> Column:
+    """The label names a habitable room beyond doubt."""
+    return has_word(label, CERTAIN_ROOMS)
+
+
 def min_room_sqft(label: Column) -> Column:
     expr = None
     for sqft, words in MIN_ROOM_SQFT:

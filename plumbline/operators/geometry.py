@@ -44,11 +44,11 @@ def serial_pick(choices: DataFrame) -> DataFrame:
         left = cut(left.join(lost, ["grp", "ord", "item"], "left_anti"))
 
 
-def label_faces(labels: DataFrame, faces: DataFrame, radius: float, size: float = 100.0) -> DataFrame:
+def label_faces(labels: DataFrame, faces: DataFrame, radius: Column, size: float = 100.0) -> DataFrame:
     """Face of each label cluster; a face serves one label.
 
     ``labels``: page_id, ord, cx, cy, x0, y0, x1, y1.  Preference: smallest face around the centre,
-    then around a corner, then the nearest box centre within ``radius``.
+    then around a corner, then the nearest box centre within ``radius`` (which may differ by page).
     """
     corners = F.array(*[F.struct(F.lit(p).alias("pass"), x.alias("px"), y.alias("py")) for p, x, y in (
         (1, c("cx"), c("cy")), (2, c("x0"), c("y0")), (2, c("x1"), c("y0")), (2, c("x0"), c("y1")), (2, c("x1"), c("y1")))])
@@ -58,11 +58,11 @@ def label_faces(labels: DataFrame, faces: DataFrame, radius: float, size: float
               .where(G.in_box(c("px"), c("py"), c("box")) & G.contains_point(c("polygon"), c("px"), c("py")))
               .select("page_id", "ord", "face", F.struct(c("pass").cast("double").alias("p"), c("face_area").alias("v")).alias("rank")))
     mid = faces.select("page_id", "face", ((c("box.x0") + c("box.x1")) / 2).alias("fx"), ((c("box.y0") + c("box.y1")) / 2).alias("fy"))
-    around = spread(mid, c("fx") - radius, c("fy") - radius, c("fx") + radius, c("fy") + radius, max(radius, 1.0))
-    here = labels.select("page_id", "ord", "cx", "cy").withColumn("_cx", cell(c("cx"), max(radius, 1.0))).withColumn(
-        "_cy", cell(c("cy"), max(radius, 1.0)))
+    middles = mid.withColumn("_cx", cell(c("fx"), size)).withColumn("_cy", cell(c("fy"), size))
+    here = labels.withColumn("_r", radius).select("page_id", "ord", "cx", "cy", "_r")
+    around = spread(here, c("cx") - c("_r"), c("cy") - c("_r"), c("cx") + c("_r"), c("cy") + c("_r"), size)
     dist = F.hypot(c("fx") - c("cx"), c("fy") - c("cy"))
-    near = here.join(around, ["page_id", "_cx", "_cy"]).where(dist <= radius).select(
+    near = around.join(middles, ["page_id", "_cx", "_cy"]).where(dist <= c("_r")).select(
         "page_id", "ord", "face", F.struct(F.lit(3.0).alias("p"), dist.alias("v")).alias("rank"))
     ranked = inside.unionByName(near).groupBy("page_id", "ord", "face").agg(F.min("rank").alias("rank"))
     return serial_pick(ranked.select(c("page_id").alias("grp"), "ord", c("face").alias("item"), "rank")).select(
@@ -310,8 +310,14 @@ def drop_near_duplicates(labels: DataFrame, radius: float = 0.06) -> DataFrame:
 
 
 # --- label clusters and columns (E23, F7, G5) ------------------------------------------------------------------
-def label_clusters(labels: DataFrame, distance: float = 25.0) -> DataFrame:
-    """Label fragments within 25 pt joined into one label: text top to bottom, left to right."""
+def label_clusters(labels: DataFrame, distance: float = 25.0, in_list_order: bool = False) -> DataFrame:
+    """Label fragments within 25 pt joined into one label.
+
+    The text reads top to bottom and left to right with fragment centres averaged, or keeps list
+    order with fragment positions averaged.
+    """
+    order = "seq" if in_list_order else "y DESC, x"
+    half = 0.0 if in_list_order else 0.5
     node = F.struct("page_id", "seq")
     a = labels.withColumn("_cx", cell(c("x"), distance)).withColumn("_cy", cell(c("y"), distance))
     b = spread(labels.select("page_id", c("seq").alias("seq2"), c("x").alias("x2"), c("y").alias("y2")), c("x2") - distance,
@@ -320,8 +326,8 @@ def label_clusters(labels: DataFrame, distance: float = 25.0) -> DataFrame:
     comp = components(pairs.select(node.alias("a"), F.struct("page_id", c("seq2").alias("seq")).alias("b")))
     marked = labels.withColumn("node", node).join(comp, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
     return marked.groupBy("page_id", c("cluster.seq").alias("label_id")).agg(
-        F.expr("listagg(trim(text), ' ') WITHIN GROUP (ORDER BY y DESC, x)").alias("text"),
-        F.avg(c("x") + c("width") / 2).alias("cx"), F.avg(c("y") + c("height") / 2).alias("cy"), F.min("x").alias("x0"),
+        F.expr(f"listagg(trim(text), ' ') WITHIN GROUP (ORDER BY {order})").alias("text"),
+        F.avg(c("x") + c("width") * half).alias("cx"), F.avg(c("y") + c("height") * half).alias("cy"), F.min("x").alias("x0"),
         F.min("y").alias("y0"), F.max(c("x") + c("width")).alias("x1"), F.max(c("y") + c("height")).alias("y1"))
 
 

@@ -79,7 +79,7 @@ def _label_faces(t):
     extra = labels.where(c("cell_id") % 12 == 0).withColumn("ord", c("ord") + 1)
     both = labels.unionByName(extra).select("page_id", "ord", midx().alias("cx"), midy().alias("cy"), (midx() - 5).alias("x0"), (midy() - 5).alias("y0"),
                                             (midx() + 5).alias("x1"), (midy() + 5).alias("y1"))
-    return op.label_faces(both, rooms(t), 60.0)
+    return op.label_faces(both, rooms(t), F.lit(60.0))
 
 
 @query("shared_faces", CELLS, """
