@@ -73,7 +73,7 @@ def limiter_name(key: Column) -> Column:
 
 
 def percentage(text: Column) -> Column:
-    """A percentage 0..100 from ``12%``, ``12 percent`` or ``.12``; NULL when unclear."""
+    """A percentage 0..100 from ``12%``, ``12 percent`` or ``0.12``; NULL when unclear."""
     def number(pattern: str) -> Column:
         found = F.regexp_extract(text, pattern, 1)
         return F.when(found != "", found.cast("double"))

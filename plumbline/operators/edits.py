@@ -183,7 +183,9 @@ def parse_before(audit: DataFrame) -> DataFrame:
 
 
 def undo(surfaces: DataFrame, projects: DataFrame, audit: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Restore surfaces and projects from the given audit entries (newest last wins is up to the caller).
+    """Restore surfaces and projects from the given audit entries.
+
+    Where several of them hold the same surface, the one with the largest audit id is restored.
 
     Only keys that are present are written, and a present null is written as null.  A project-level
     object restores the project; elsewhere such an entry is accepted and changes nothing.

@@ -14,6 +14,7 @@ from plumbline.functions import pricing as P
 from plumbline.session import ensure_checkpoint_dir
 
 c = F.col
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 REQUEST_SCHEMA = "key string, event_id bigint, at timestamp"
 LIMITER_SCHEMA = "key string, event_id bigint, allowed boolean"
 
@@ -74,8 +75,12 @@ class FixedWindowLimiter(StatefulProcessor):
 
 
 def limiter_stream(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """Verdict per request.  Needs the RocksDB state store; a key's requests of one micro-batch are
-    decided in time order, so callers bound the batch with the source's rate options."""
+    """Verdict per request, from keyed state in the RocksDB store (switched on here).
+
+    A key's requests of one micro-batch are decided in time order, so callers bound the batch with
+    the source's rate options.
+    """
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return requests.groupBy("key").transformWithStateInPandas(
         statefulProcessor=FixedWindowLimiter(limit, window_seconds), outputStructType=LIMITER_SCHEMA,
         outputMode="Append", timeMode="None")

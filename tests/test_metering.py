@@ -50,7 +50,7 @@ def test_limiter_matches_replay(spark):
 
 def test_gate_matches_replay(spark):
     rows = [(k, e, t * 200, c) for k, e, t, c in trace(3, n=120, span=2200)]  # about three days
-    everyone, callers, spent = Limiter(3, 60 * S), Limiter(4, 3000 * S), defaultdict(float)
+    everyone, callers, spent = Limiter(3, 60 * S), Limiter(2, 20000 * S), defaultdict(float)
     want = {}
     for key, event, at, cost in sorted(rows, key=lambda r: (r[2], r[1])):
         if spent[at // DAY] >= 12.0:
@@ -60,7 +60,7 @@ def test_gate_matches_replay(spark):
         else:
             want[event] = 200
             spent[at // DAY] += cost
-    got = {r.event_id: r.status for r in op.gate(frame(spark, rows), 4, 3000, ceiling=12.0, global_limit=3).collect()}
+    got = {r.event_id: r.status for r in op.gate(frame(spark, rows), 2, 20000, ceiling=12.0, global_limit=3).collect()}
     assert got == want and set(want.values()) == {200, 402, 429}
 
 

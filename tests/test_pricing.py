@@ -128,7 +128,8 @@ def test_merge_refuses_mixed_types(spark):
     ("total square footage in the lobby", "query_quantities", "Lobby", None, None, None),
     ("waste 12.5%", "set_waste_factor", None, None, None, 12.5),
     ("markup of 300 percent", "set_markup", None, None, None, 100.0),
-    ("waste .12", "set_waste_factor", None, None, None, 12.0),
+    ("waste 0.12", "set_waste_factor", None, None, None, 12.0),
+    ("waste .12", "set_waste_factor", None, None, None, None),  # a bare point does not start a word
     ("set markup to 25", "set_markup", None, None, None, None),
     ("hello", None, None, None, None, None)])
 def test_commands(spark, text, tool, rooms, kind, paint, pct):
