@@ -47,7 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
         both = state.unionByName(state.select(c("b").alias("a"), c("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where(c("b") > c("a")).join(least, "a").select(c("b").alias("a"), c("m").alias("b")).where(
-            c("a") != c("b")).distinct()
+            c("a") != c("b"))
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         small = down.groupBy("a").agg(F.min("b").alias("m"))
         state = cut(down.join(small, "a").where(c("b") != c("m")).select(c("b").alias("a"), c("m").alias("b"))

@@ -129,8 +129,9 @@ def plausibility(takeoff: DataFrame, height: Column | None = None) -> tuple[Data
     walls = takeoff.where(c("type") == "wall")
     lf = walls.groupBy("takeoff_id", room.alias("_room")).agg(
         F.min_by(F.struct("linear_ft"), "ord").alias("_wall"))
-    known = (takeoff.withColumn("_room", F.when(c("type") == "ceiling", room))
-             .join(lf, ["takeoff_id", "_room"], "left").withColumn("_lf", c("_wall.linear_ft"))
+    # every row joins by its own room, so a large takeoff spreads over its rooms
+    known = (takeoff.withColumn("_room", room).join(lf, ["takeoff_id", "_room"], "left")
+             .withColumn("_lf", F.when(c("type") == "ceiling", c("_wall.linear_ft")))
              .withColumn("_h", ht))
     area, own = c("area_sqft"), c("linear_ft")
     is_wall = (c("type") == "wall") & (own > 0) & area.isNotNull()

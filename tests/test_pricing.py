@@ -141,3 +141,21 @@ def test_synonyms_and_names(spark):
     assert T.expand_rooms("Office|x") == "Office|workstation|study|x"
     row = spark.range(1).select(T.pretty_symbol(F.lit("ada_door")), T.limiter_name(F.lit("chat:7")), T.room_key(F.lit("  A  b\tC "))).first()
     assert tuple(row) == ("Ada Door", "chat messages on this project", "a b c")
+
+
+def test_writers_round_trip(spark, tmp_path):
+    df, owner = frame(spark, *STUB), project(spark).withColumn("client_name", F.lit(None).cast("string"))
+    lines = op.bid_lines(df, owner, rates(spark))
+    totals = op.bid_totals(lines, owner)
+    old = spark.createDataFrame([("p", 3, 1.0)], "project_id string, version_number int, grand_total double")
+    new = op.append_bid(old, totals)
+    op.write_bid(lines, new, str(tmp_path / "bids"))
+    assert spark.read.parquet(str(tmp_path / "bids" / "bid_versions")).first().version_number == 4
+    assert spark.read.parquet(str(tmp_path / "bids" / "bid_line_items")).count() == 5
+    op.write_bid_csv(op.bid_csv(lines, totals), str(tmp_path / "csv"))
+    text = [r.value for r in spark.read.text(str(tmp_path / "csv" / "project_id=p")).collect()]
+    assert text[0].startswith("Room,Type") and text[-1].startswith("Grand total") and len(text) == 11
+    sheets = {"summary": op.bid_summary(totals, owner, new, "2024-01-31"), "lines": op.line_sheet(lines),
+              "rooms": op.room_schedule(lines), "symbols": op.symbol_sheet(df)}
+    op.write_workbook(sheets, str(tmp_path / "book"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "book" / "summary")).count() == 15
