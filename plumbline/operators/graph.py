@@ -377,3 +377,33 @@ def trace_confidence(runs: DataFrame) -> DataFrame:
     top = runs.groupBy("page_id").agg(F.max("length_pt").alias("_top"))
     score = F.greatest(F.lit(0.55), F.least(F.lit(0.95), F.lit(0.55) + c("length_pt") / c("_top") * 0.4))
     return runs.join(top, "page_id").withColumn("confidence", F.when(c("_top") > 0, score).otherwise(0.6)).drop("_top")
+
+
+def run_points(runs: DataFrame) -> DataFrame:
+    """Vertices of every open run in walking order: page_id, run, pos, x, y.
+
+    Each edge is taken in both directions and points back to the edge before it through a vertex
+    where exactly two edges meet.  Doubling those pointers gives each directed edge its distance from
+    the start; of the two directions the one with the smaller first edge is kept.  Closed runs have no
+    end to start from and are left to their edge list.
+    """
+    open_runs = run_summary(runs).where(~c("closed")).select("page_id", "run")
+    rows = runs.join(open_runs, ["page_id", "run"], "left_semi")
+    way = lambda a, b: F.struct(c(f"x{a}").alias("ox"), c(f"y{a}").alias("oy"), c(f"x{b}").alias("tx"), c(f"y{b}").alias("ty"))
+    half = rows.select("page_id", "run", F.explode(F.array(way(1, 2), way(2, 1))).alias("h"))
+    through = _degrees(runs).where(c("deg") == 2).select("v")
+    out = half.withColumn("v", F.struct("page_id", c("h.ox").alias("x"), c("h.oy").alias("y"))).join(through, "v", "left_semi")
+    into = half.select("run", c("h").alias("prev"), F.struct("page_id", c("h.tx").alias("x"), c("h.ty").alias("y")).alias("v"))
+    links = out.join(into, ["run", "v"]).where((c("prev.ox") != c("h.tx")) | (c("prev.oy") != c("h.ty")))
+    state = cut(half.join(links.select("page_id", "run", "h", "prev"), ["page_id", "run", "h"], "left")
+                .withColumn("pos", c("prev").isNotNull().cast("int")).withColumn("start", F.coalesce("prev", "h")))
+    while not state.where(c("prev").isNotNull()).isEmpty():
+        back = state.select("page_id", "run", c("h").alias("prev"), c("prev").alias("p2"), c("pos").alias("n2"), c("start").alias("s2"))
+        state = cut(state.join(back, ["page_id", "run", "prev"], "left").select(
+            "page_id", "run", "h", c("p2").alias("prev"), (c("pos") + F.coalesce("n2", F.lit(0))).alias("pos"),
+            F.coalesce("s2", "start").alias("start")))
+    first = state.groupBy("page_id", "run").agg(F.min("start").alias("_s"))
+    kept = state.join(first, ["page_id", "run"]).where(c("start") == c("_s"))
+    tail = kept.select("page_id", "run", (c("pos") + 1).alias("pos"), c("h.tx").alias("x"), c("h.ty").alias("y"))
+    head = kept.where(c("pos") == 0).select("page_id", "run", c("pos"), c("h.ox").alias("x"), c("h.oy").alias("y"))
+    return head.unionByName(tail)

@@ -140,6 +140,15 @@ def _runs(t):
                                        F.count(F.lit(1)).alias("runs"), F.count_if("closed").alias("closed"))
 
 
+@query("run_points", ("cells",), """
+SELECT page_id, n AS pos, CASE WHEN n IN (1, 2) THEN x2 ELSE x1 END AS x, CASE WHEN n < 2 THEN y1 ELSE y2 END AS y FROM cells, range(0, 4) r(n) WHERE cell_id % 12 IN (0, 2, 8)""")
+def _run_points(t):
+    """Three-sided rooms: four points from the lower left corner round to the upper left one."""
+    slot = F.floor(c("seg_id") / 4).cast("bigint") % 12
+    walls = t.segments.where(slot.isin(0, 2, 8) & (c("side") != 3)).select("page_id", "x1", "y1", "x2", "y2")
+    return op.run_points(op.wall_runs(op.distinct_segments(walls))).select("page_id", c("pos").cast("bigint").alias("pos"), "x", "y")
+
+
 @query("filter_stray", SEG, """
 SELECT page_id, CAST(2 AS BIGINT) AS dropped FROM cells GROUP BY 1""")
 def _stray(t):

@@ -90,6 +90,14 @@ def test_wall_runs_stop_at_junctions(spark):
     assert graph.run_summary(graph.wall_runs(segs(spark, square(0, 0, 50)))).first().closed
 
 
+def test_run_points_walk_in_order(spark):
+    rows = square(0, 0, 50) + [(50, 50, 90, 90), (120, 90, 90, 90), (120, 90, 120, 140)]
+    got = {}
+    for r in graph.run_points(graph.wall_runs(segs(spark, rows))).orderBy("pos").collect():
+        got.setdefault(r.run, []).append((r.x, r.y))
+    assert sorted(got.values(), key=len) == [[(50, 50), (90, 90), (120, 90), (120, 140)], [(50, 50), (0, 50), (0, 0), (50, 0), (50, 50)]]
+
+
 def test_net_never_exceeds_gross_and_even_odd(spark):
     ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (10, 0), (10, 10), (5, 5), (0, 10))])
     row = spark.range(1).select(G.net_gross(ring).alias("g"), G.contains_point(ring, F.lit(5.0), F.lit(8.0)).alias("notch"),
