@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from plumbline.session import ensure_checkpoint_dir
 
@@ -53,6 +54,26 @@ def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def annotate(docs: DataFrame, prepare: Callable[[], Callable[[pa.Array], dict[str, pa.Array]]], fields: str,
+             text_col: str = "text") -> DataFrame:
+    """Add columns worked out from each row's whole text, in the same task and order: no shuffle.
+
+    The result has the column ``row`` (a struct of all of ``docs``'s columns, so no name can clash) and
+    ``fields``.  ``prepare`` runs once a task and gives the function applied to each Arrow column of texts.
+    """
+    boxed = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = prepare()
+        for batch in batches:
+            rows = batch.column(0)
+            yield pa.record_batch({"row": rows} | work(rows.field(place).cast(pa.string())))
+
+    schema = StructType([boxed.schema["row"], *_parse_datatype_string(fields).fields])
+    return boxed.mapInArrow(run, schema)
+
+
 # --- hashing -------------------------------------------------------------------------------------
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every input bit over the whole 64-bit word."""

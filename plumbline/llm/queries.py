@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import packing, token_files
+from plumbline.llm import decontamination, packing, token_files, warc
 from plumbline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,19 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, folder, "documents"))
+
+
+@query("op7_revisit_resolution", sql="""
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN octet_length(encode(h)) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(encode(h)) >= 100 AND page_id > first THEN first END AS refers_to
+FROM (SELECT page_id, coalesce(html, '') AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.revisit_table(spark, read_table(spark, folder, "pages"))
+
+
+@query("op9_winnowing_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination_table(read_table(spark, folder, "documents"),
+                                               read_table(spark, folder, "benchmark"))
