@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, packing, token_files, warc
+from plumbline.llm import decontamination, language, packing, quality, token_files, warc
 from plumbline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, folder, "documents"))
 
 
+@query("op6_ngram_quality")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_table(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
 @query("op7_revisit_resolution", sql="""
 SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest,
        CASE WHEN octet_length(encode(h)) >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
@@ -46,3 +51,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination_table(read_table(spark, folder, "documents"),
                                                read_table(spark, folder, "benchmark"))
+
+
+@query("op10_evidence_fusion_language")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_table(read_table(spark, folder, "documents"))
+
+
+@query("page_language")
+def page_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.page_language_table(read_table(spark, folder, "pages"))
