@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, language, packing, quality, token_files, warc
+from plumbline.llm import decontamination, language, line_dedup, packing, quality, token_files, warc
 from plumbline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, folder, "documents"))
 
 
+@query("op3_content_defined_line_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.line_table(read_table(spark, folder, "documents"))
+
+
 @query("op6_ngram_quality")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_table(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
