@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, jaccard_join, language, line_dedup, packing, quality, token_files, warc
+from plumbline.llm import decontamination, jaccard_join, language, line_dedup, packing, quality, substring_dedup, token_files, warc
 from plumbline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,22 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return warc.revisit_table(spark, read_table(spark, folder, "pages"))
 
 
+@query("op8_suffix_tree_substring_dedup", sql="""
+WITH w AS (SELECT row_number() OVER () AS k, doc_id,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+     win AS (SELECT k, s, array_to_string(ws[s:s + 34], ' ') AS words
+             FROM (SELECT k, ws, unnest(range(1, len(ws) - 33)) AS s FROM w WHERE len(ws) >= 35)),
+     twice AS (SELECT words FROM win GROUP BY words HAVING count(*) > 1),
+     gone AS (SELECT k, list_distinct(flatten(list(range(s, s + 35)))) AS places FROM win SEMI JOIN twice USING (words) GROUP BY k),
+     kept AS (SELECT doc_id, len(ws) AS n_words, coalesce(len(places), 0) AS n_removed,
+                     [x.word FOR x IN list_zip(ws, range(1, len(ws) + 1)) IF NOT list_contains(coalesce(places, []), x.place)] AS left_over
+              FROM (SELECT * FROM w LEFT JOIN gone USING (k)))
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(left_over, ' ')) AS kept_sha256 FROM kept
+""".replace("x.word FOR", "x[1] FOR").replace("x.place", "x[2]"))
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeat_table(read_table(spark, folder, "documents"))
+
+
 @query("op9_winnowing_decontamination")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination_table(read_table(spark, folder, "documents"),
