@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, jaccard_join, language, line_dedup, packing, quality, substring_dedup, token_files, warc
+from plumbline.llm import decontamination, jaccard_join, language, line_dedup, packing, personal_data, quality, substring_dedup, token_files, warc
 from plumbline.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.component_table(read_table(spark, folder, "documents"))
 
 
+@query("op5_bootstrapped_personal_data")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data.personal_data_table(read_table(spark, folder, "documents"))
+
+
 @query("op6_ngram_quality")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_table(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
