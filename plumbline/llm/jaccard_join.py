@@ -40,7 +40,7 @@ SHINGLE = 5
 THRESHOLD = (80, 100)
 FOLDED_WORDS = 8
 PART_WORDS = 4
-_LEVEL, _PART, _FOLD = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0x3C79AC492BA7B653)
+_LEVEL, _PART, _FOLD = 0xA24BAED4963EE407, U64(0x9FB21C651E98DF25), U64(0x3C79AC492BA7B653)
 SEEN_IN_TASK = 200_000
 
 
@@ -72,8 +72,8 @@ def shingle_sets(block: WordBlock, k: int) -> list[np.ndarray]:
 
 def node_id(shingles: np.ndarray) -> int:
     """64-bit id of a set, never of the empty one."""
-    total = mix(shingles).sum(dtype=np.uint64) + U64(len(shingles))
-    return int(signed(mix(np.array([total ^ (np.bitwise_xor.reduce(shingles) * _FOLD)], np.uint64)))[0])
+    total = np.array([mix(shingles).sum(dtype=np.uint64), np.bitwise_xor.reduce(shingles), len(shingles)], np.uint64)
+    return int(signed(mix(total[:1] + mix(total[1:2] * _FOLD + total[2:])))[0])
 
 
 def folded_sketch(shingles: np.ndarray) -> np.ndarray:
@@ -91,7 +91,8 @@ def part_keys(shingles: np.ndarray, threshold: tuple[int, int], tops: list[int])
     for level in (band, band + 1):
         differ = (den - num) * 2 * tops[level] // (den + num)
         parts = differ + 1
-        spread = mix(shingles ^ (_LEVEL * U64(level + 1)))
+        seed = U64(_LEVEL * (level + 1) % 2**64)
+        spread = mix(shingles ^ seed)
         part = ((spread >> U64(32)) * U64(parts)) >> U64(32)
         sketch = np.zeros(parts * PART_WORDS, np.uint64)
         slot = (part * U64(PART_WORDS) + (spread & U64(PART_WORDS - 1))).astype(np.int64)
@@ -99,7 +100,7 @@ def part_keys(shingles: np.ndarray, threshold: tuple[int, int], tops: list[int])
         filled = np.bincount(part.astype(np.int64), minlength=parts) > 0
         at = np.flatnonzero(filled) if filled.sum() > differ else np.arange(parts)
         words = sketch.reshape(parts, PART_WORDS)[at]
-        key = mix(at.astype(np.uint64) * _PART + U64(level + 1) * _LEVEL)
+        key = mix(at.astype(np.uint64) * _PART + seed)
         for j in range(PART_WORDS):
             key = mix(key + words[:, j])
         keys.append(key)
@@ -267,6 +268,10 @@ def one_per_component(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
     chosen = worded.groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("r.doc_id", "r.h")
     same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.h") == F.col("c.h"))
     bare = found.where(F.col("node").isNull()).select("doc_id", "h").distinct()
-    rows = docs.withColumn("h", F.xxhash64("text")).alias("t").join(
-        chosen.unionByName(bare).alias("c"), same, "left_semi")
-    return rows.drop("h")
+    boxed = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"),
+                        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"))
+    kept = boxed.alias("t").join(chosen.withColumn("worded", F.lit(True)).unionByName(bare.withColumn(
+        "worded", F.lit(False))).alias("c"), same).select("t.row", "t.doc_id", "t.h", "c.worded")
+    # wordless rows all stay; the chosen one of a component may stand in the table more than once
+    copies = kept.where("worded").dropDuplicates(["doc_id", "h"])
+    return copies.unionByName(kept.where("NOT worded")).select("row.*")
