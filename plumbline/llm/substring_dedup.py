@@ -115,9 +115,10 @@ def _suffixes(window: int, gram: int, text: int) -> Callable:
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Leaves below internal nodes of full depth, of all prefix groups dealt to this task."""
-    rows = pa.Table.from_batches(list(batches))  # groups of at most GROUP_ROWS rows, a partition's worth in all
-    if not rows.num_rows:
+    parts = [x for x in batches if x.num_rows]
+    if not parts:
         return
+    rows = pa.Table.from_batches(parts)  # groups of at most GROUP_ROWS rows, a partition's worth in all
     p1, p2, p3 = (rows.column(x).to_numpy() for x in ("p1", "p2", "p3"))
     order = np.lexsort((p3, p2, p1))
     # depth, in blocks, to which each leaf agrees with the next: a branching of the subtree
