@@ -227,17 +227,18 @@ def _with_degrees(segs: DataFrame) -> DataFrame:
     return (segs.withColumn("_v1", _p(1)).withColumn("_v2", _p(2)).join(one, "_v1").join(two, "_v2"))
 
 
-def prune_stubs(segs: DataFrame, shorter_than: float = 8.0, passes: int = 10) -> DataFrame:
-    """Peel short segments that end freely, at most ten times."""
-    state = cut(segs)
-    size = state.count()
-    for _ in range(passes):
+def prune_stubs(segs: DataFrame, shorter_than: float = 8.0, passes: int | None = None) -> DataFrame:
+    """Peel short segments that end freely until none is left (J5); ``passes`` stops earlier."""
+    state, size, done = cut(segs), None, 0
+    while passes is None or done < passes:
         stub = ((c("d1") == 1) | (c("d2") == 1)) & (F.hypot(c("x2") - c("x1"), c("y2") - c("y1")) < shorter_than)
-        state = cut(_with_degrees(state).where(~stub).select(*segs.columns))
+        marked = _with_degrees(state).select(*segs.columns, stub.alias("_stub"))
+        # a spur thins out from its end, so later passes only look at what is left
+        state = cut(marked.where(~c("_stub")).drop("_stub"))
         left = state.count()
         if left == size:
             break
-        size = left
+        size, done = left, done + 1
     return state
 
 
@@ -284,41 +285,44 @@ def half_edges(edges: DataFrame) -> DataFrame:
     return out.withColumn("next", before).select("page_id", twin.alias("h"), "next")
 
 
-def faces(half: DataFrame, max_vertices: int = 24) -> DataFrame:
-    """Closed face cycles of at most ``max_vertices`` edges: page_id, face, polygon, area (signed), box.
+def faces(half: DataFrame, max_vertices: int | None = None) -> DataFrame:
+    """Closed face cycles: page_id, face, vertices, polygon, area (signed), box; ``max_vertices`` filters the result.
 
-    ``next`` permutes the half-edges.  Doubling carries the smallest edge among the next 1, 2, 4, ...
-    edges, so a fixed number of joins labels every short cycle; a label is a real face only if it is
-    closed under ``next``.
+    ``next`` permutes the half-edges.  Doubling carries the smallest half-edge id among the next 1, 2, 4, ... edges
+    until no label moves: a cycle longer than the reach holds an edge whose label moves in the next round, so
+    every cycle, however long, is walked to its end in about log2 of its length rounds.  The joins carry 64-bit
+    ids only; coordinates come back at the end.
     """
-    state = cut(half.select("page_id", "h", c("next").alias("to"), c("h").alias("m"), F.lit(0).alias("d")))
+    key = lambda h: F.xxhash64("page_id", f"{h}.ox", f"{h}.oy", f"{h}.tx", f"{h}.ty")
+    edges = cut(half.select("page_id", "h", key("h").alias("id"), key("next").alias("to")))
+    state = cut(edges.select("id", "to", c("id").alias("m"), F.lit(0).cast("long").alias("d"), F.lit(True).alias("moved")))
     step = 1
-    while step <= max_vertices:
-        ahead = state.select("page_id", c("h").alias("to"), c("to").alias("to2"), c("m").alias("m2"), c("d").alias("d2"))
-        state = cut(state.join(ahead, ["page_id", "to"]).select(
-            "page_id", "h", c("to2").alias("to"), F.least("m", "m2").alias("m"),
-            F.when(c("m") <= c("m2"), c("d")).otherwise(c("d2") + step).alias("d")))
+    while not state.where("moved").isEmpty():
+        ahead = state.select(c("id").alias("to"), c("to").alias("to2"), c("m").alias("m2"), c("d").alias("d2"))
+        state = cut(state.join(ahead, "to").select(
+            "id", c("to2").alias("to"), F.least("m", "m2").alias("m"),
+            F.when(c("m") <= c("m2"), c("d")).otherwise(c("d2") + step).alias("d"), (c("m2") < c("m")).alias("moved")))
         step *= 2
-    label = state.select("page_id", "h", "m", "d")
-    after = half.select("page_id", "h", "next").join(
-        label.select("page_id", c("h").alias("next"), c("m").alias("m2")), ["page_id", "next"]).select("page_id", "h", "m2")
-    part = label.join(after, ["page_id", "h"]).groupBy("page_id", "m").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(c("m") == c("m2")).alias("closed"),
+    label = edges.join(state.select("id", "m", "d"), "id").select("page_id", "h", "m", "d")
+    part = label.groupBy("page_id", "m").agg(
+        F.count(F.lit(1)).alias("n"), F.min("h").alias("first"), F.min_by("d", "h").alias("d0"),
         F.sum(c("h.ox") * c("h.ty") - c("h.tx") * c("h.oy")).alias("twice"),
         F.min("h.ox").alias("x0"), F.min("h.oy").alias("y0"), F.max("h.ox").alias("x1"), F.max("h.oy").alias("y1"))
-    good = part.where((c("n") == c("closed")) & c("n").between(3, max_vertices))
-    ordered = label.join(good.select("page_id", "m", "n"), ["page_id", "m"]).groupBy("page_id", "m").agg(
-        F.array_sort(F.collect_list(F.struct(F.when(c("d") == 0, -c("n")).otherwise(-c("d")).alias("k"), c("h.ox").alias("x"),
-                                             c("h.oy").alias("y")))).alias("ring"))  # at most max_vertices points
+    good = part.where((c("n") >= 3) & (F.lit(True) if max_vertices is None else c("n") <= max_vertices))
+    away = F.pmod(c("d") - c("d0"), c("n"))  # edges from here to the first one
+    ordered = label.join(good.select("page_id", "m", "n", "d0"), ["page_id", "m"]).groupBy("page_id", "m").agg(
+        F.array_sort(F.collect_list(F.struct(F.when(away == 0, -c("n")).otherwise(-away).alias("k"), c("h.ox").alias("x"),
+                                             c("h.oy").alias("y")))).alias("ring"))  # one polygon, as long as it is
     points = F.transform("ring", lambda p: F.struct(p.x.alias("x"), p.y.alias("y")))
     return good.join(ordered, ["page_id", "m"]).select(
-        "page_id", F.concat_ws(",", "m.ox", "m.oy", "m.tx", "m.ty").alias("face"), c("n").alias("vertices"),
-        (c("twice") / 2).alias("area"), F.struct("x0", "y0", "x1", "y1").alias("box"), points.alias("polygon"))
+        "page_id", F.concat_ws(",", "first.ox", "first.oy", "first.tx", "first.ty").alias("face"),
+        c("n").alias("vertices"), (c("twice") / 2).alias("area"), F.struct("x0", "y0", "x1", "y1").alias("box"),
+        points.alias("polygon"))
 
 
 def room_faces(segs: DataFrame, pages: DataFrame, doors: DataFrame | None = None, snap: float = SNAP,
                max_gap: float = 45.0, door_radius: float = 30.0, min_area: float = 4000.0, max_area: float = 5e6,
-               max_aspect: float = 25.0, max_vertices: int = 24) -> DataFrame:
+               max_aspect: float = 25.0, max_vertices: int | None = None) -> DataFrame:
     """Rooms as faces of the wall network (J4, C16); ``pages``: page_id, page_w, page_h."""
     snapped = cut(snap_segments(segs, snap))
     axis = (F.abs(c("y2") - c("y1")) < snap) | (F.abs(c("x2") - c("x1")) < snap)
@@ -380,18 +384,19 @@ def trace_confidence(runs: DataFrame) -> DataFrame:
 
 
 def run_points(runs: DataFrame) -> DataFrame:
-    """Vertices of every open run in walking order: page_id, run, pos, x, y.
+    """Vertices of every run in walking order: page_id, run, pos, x, y.
 
     Each edge is taken in both directions and points back to the edge before it through a vertex
     where exactly two edges meet.  Doubling those pointers gives each directed edge its distance from
-    the start; of the two directions the one with the smaller first edge is kept.  Closed runs have no
-    end to start from and are left to their edge list.
+    the start; of the two directions the one with the smaller first edge is kept.  A closed run starts
+    (and ends) at its smallest corner, which counts as an end here.
     """
-    open_runs = run_summary(runs).where(~c("closed")).select("page_id", "run")
-    rows = runs.join(open_runs, ["page_id", "run"], "left_semi")
     way = lambda a, b: F.struct(c(f"x{a}").alias("ox"), c(f"y{a}").alias("oy"), c(f"x{b}").alias("tx"), c(f"y{b}").alias("ty"))
-    half = rows.select("page_id", "run", F.explode(F.array(way(1, 2), way(2, 1))).alias("h"))
-    through = _degrees(runs).where(c("deg") == 2).select("v")
+    half = runs.select("page_id", "run", F.explode(F.array(way(1, 2), way(2, 1))).alias("h"))
+    loops = run_summary(runs).where("closed").select("page_id", "run")
+    corner = half.join(loops, ["page_id", "run"], "left_semi").groupBy("page_id", "run").agg(
+        F.min(F.struct("page_id", c("h.ox").alias("x"), c("h.oy").alias("y"))).alias("v")).select("v").distinct()
+    through = _degrees(runs).where(c("deg") == 2).select("v").join(corner, "v", "left_anti")
     out = half.withColumn("v", F.struct("page_id", c("h.ox").alias("x"), c("h.oy").alias("y"))).join(through, "v", "left_semi")
     into = half.select("run", c("h").alias("prev"), F.struct("page_id", c("h.tx").alias("x"), c("h.ty").alias("y")).alias("v"))
     links = out.join(into, ["run", "v"]).where((c("prev.ox") != c("h.tx")) | (c("prev.oy") != c("h.ty")))

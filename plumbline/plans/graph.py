@@ -47,6 +47,28 @@ def _areas(t):
     return found.groupBy("page_id", G.area(c("polygon")).alias("area")).agg(F.count(F.lit(1)).alias("n"))
 
 
+STAIRS = """
+WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS page_id, 14 + o_orderkey % 36 AS steps FROM orders)
+SELECT page_id, CAST(2*steps + 2 AS BIGINT) AS vertices, CAST(200.0*steps*(steps+1) AS DOUBLE) AS area FROM o"""
+
+
+@query("many_corner_rooms", (), STAIRS)
+def _stairs(t):
+    """One staircase-shaped room of 30 to 100 corners per order: no face is too long to be walked."""
+    steps = (14 + c("o_orderkey") % 36).cast("int")
+    base = t.raw("orders").select(c("o_orderkey").cast("string").alias("page_id"), steps.alias("n"))
+    i = c("i") * 20.0
+    tread = base.select("page_id", F.explode(F.sequence(F.lit(0), c("n") - 1)).alias("i")).select("page_id", F.inline(F.array(
+        F.struct(i.alias("x1"), i.alias("y1"), (i + 20).alias("x2"), i.alias("y2")),
+        F.struct((i + 20).alias("x1"), i.alias("y1"), (i + 20).alias("x2"), (i + 20).alias("y2")))))
+    side, zero = c("n") * 20.0, F.lit(0.0)
+    sides = base.select("page_id", F.inline(F.array(
+        F.struct(side.alias("x1"), side.alias("y1"), zero.alias("x2"), side.alias("y2")),
+        F.struct(zero.alias("x1"), side.alias("y1"), zero.alias("x2"), zero.alias("y2")))))
+    found = op.faces(op.half_edges(tread.unionByName(sides))).where(c("area") > 0)
+    return found.select("page_id", "vertices", "area")
+
+
 @query("wall_components", SEG, """
 SELECT page_id, count(*) AS edges, sum(len) AS component_len, CAST(1 AS BIGINT) AS components FROM (
 SELECT DISTINCT page_id, x1, y1, x2, y2, abs(x2-x1)+abs(y2-y1) AS len FROM segments) GROUP BY 1""")
@@ -127,26 +149,41 @@ def _clean(t):
         F.round(F.sum(F.hypot(c("x2") - c("x1"), c("y2") - c("y1"))), 3).alias("len"))
 
 
-@query("wall_runs", ("cells",), """
-SELECT page_id, count(*)*4 AS edges, sum(x2-x1+y2-y1)*2 AS length_pt, CAST(3 AS BIGINT) AS runs, CAST(1 AS BIGINT) AS closed FROM (SELECT page_id, x1, y1, x2, y2 FROM cells WHERE cell_id % 12 IN (0, 2, 8)) GROUP BY 1""")
+#: Every room of a page on its own, apart from its neighbours; those with slot 1 mod 3 miss their left wall, which stands 3 pt up.
+def lone_rooms(t):
+    slot = F.floor(c("seg_id") / 4).cast("bigint") % 12
+    dx, dy = (slot % 4) * 200.0, F.floor(slot / 4) * 200.0
+    lift = F.when((slot % 3 == 1) & (c("side") == 3), 3.0).otherwise(0.0)
+    return t.segments.select("page_id", (c("x1") + dx).alias("x1"), (c("y1") + dy + lift).alias("y1"),
+                             (c("x2") + dx).alias("x2"), (c("y2") + dy + lift).alias("y2"))
+
+
+LONE = """lone AS (SELECT page_id, cell_id % 12 AS slot, x1 + (cell_id % 12 % 4)*200 AS x1, y1 + (cell_id % 12 // 4)*200 AS y1,
+ x2 + (cell_id % 12 % 4)*200 AS x2, y2 + (cell_id % 12 // 4)*200 AS y2 FROM cells)"""
+
+
+@query("wall_runs", ("cells",), f"""
+WITH {LONE}
+SELECT page_id, count(*)*4 AS edges, round(sum(x2-x1+y2-y1)*2, 3) AS length_pt,
+ count(*) + count(*) FILTER (slot % 3 = 1) AS runs, count(*) FILTER (slot % 3 <> 1) AS closed FROM lone GROUP BY 1""")
 def _runs(t):
-    """Three lone rooms per page: two are closed up to an opening-free ring, one has an edge removed and put elsewhere."""
-    ring = t.segments.where(F.floor(c("seg_id") / 4).cast("bigint") % 12 == 0).select("page_id", "x1", "y1", "x2", "y2")
-    open_ = t.segments.where((F.floor(c("seg_id") / 4).cast("bigint") % 12).isin(2, 8) & (c("side") != 3)).select("page_id", "x1", "y1", "x2", "y2")
-    back = t.segments.where((F.floor(c("seg_id") / 4).cast("bigint") % 12).isin(2, 8) & (c("side") == 3)).select(
-        "page_id", "x1", (c("y1") + 3).alias("y1"), "x2", "y2")
-    runs = op.run_summary(op.wall_runs(op.distinct_segments(ring.unionByName(open_).unionByName(back))))
-    return runs.groupBy("page_id").agg(F.sum("edges").alias("edges"), (F.sum("length_pt") + 6).alias("length_pt"),
+    """Closed rooms are one closed run each; where a wall is out of place there are two open ones."""
+    runs = op.run_summary(op.wall_runs(op.distinct_segments(lone_rooms(t))))
+    return runs.groupBy("page_id").agg(F.sum("edges").alias("edges"), F.round(F.sum("length_pt"), 3).alias("length_pt"),
                                        F.count(F.lit(1)).alias("runs"), F.count_if("closed").alias("closed"))
 
 
-@query("run_points", ("cells",), """
-SELECT page_id, n AS pos, CASE WHEN n IN (1, 2) THEN x2 ELSE x1 END AS x, CASE WHEN n < 2 THEN y1 ELSE y2 END AS y FROM cells, range(0, 4) r(n) WHERE cell_id % 12 IN (0, 2, 8)""")
+@query("run_points", ("cells",), f"""
+WITH {LONE}
+SELECT page_id, CAST(n AS BIGINT) AS pos, round(CASE WHEN n IN (1, 2) THEN x2 ELSE x1 END, 3) AS x, round(CASE WHEN n IN (2, 3) THEN y2 ELSE y1 END, 3) AS y
+FROM lone, range(0, 4) r(n) WHERE slot % 3 = 1
+UNION ALL SELECT page_id, CAST(n AS BIGINT), round(x1, 3), round(CASE WHEN n = 0 THEN y1 ELSE y2 END + 3, 3) FROM lone, range(0, 2) r(n) WHERE slot % 3 = 1
+UNION ALL SELECT page_id, CAST(n AS BIGINT), round(CASE WHEN n IN (2, 3) THEN x2 ELSE x1 END, 3), round(CASE WHEN n IN (1, 2) THEN y2 ELSE y1 END, 3)
+FROM lone, range(0, 5) r(n) WHERE slot % 3 <> 1""")
 def _run_points(t):
-    """Three-sided rooms: four points from the lower left corner round to the upper left one."""
-    slot = F.floor(c("seg_id") / 4).cast("bigint") % 12
-    walls = t.segments.where(slot.isin(0, 2, 8) & (c("side") != 3)).select("page_id", "x1", "y1", "x2", "y2")
-    return op.run_points(op.wall_runs(op.distinct_segments(walls))).select("page_id", c("pos").cast("bigint").alias("pos"), "x", "y")
+    """Open rooms: four points from the lower left corner round; closed ones: up the left side and round to the start."""
+    return op.run_points(op.wall_runs(op.distinct_segments(lone_rooms(t)))).select(
+        "page_id", c("pos").cast("bigint").alias("pos"), F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query("filter_stray", SEG, """

@@ -81,14 +81,6 @@ def _names(t):
     return t.requests.select("event_id", op.denial_reason(key, 5).alias("reason"))
 
 
-@query("ai_gate")
-def _gate(t):
-    cost = costed(t).select("event_id", c("estimated_cost").alias("cost"))
-    calls = t.requests.join(cost, "event_id")
-    return op.gate(calls, caller_limit=5, caller_window=86_400, ceiling=0.25, global_limit=2).select(
-        "event_id", "key", "status")
-
-
 @query("cache_keys", (), """
 SELECT doc_id, sha256('specs' || chr(0) || lang || chr(0) || text) AS plain,
   sha256('specs' || chr(0) || lang || chr(0) || text || chr(0) || sha256(text)) AS hashed FROM documents""")

@@ -52,11 +52,23 @@ def test_door_gap_needs_evidence(spark):
     assert areas(spark, rows, doors=spark.createDataFrame([("p", 50.0, 8.0)], door)) == [10000]
 
 
-def test_many_cornered_faces_are_dropped(spark):
+def test_many_cornered_faces_are_kept(spark):
     steps = [(i * 20, i * 20, i * 20 + 20, i * 20) for i in range(14)] + [(i * 20 + 20, i * 20, i * 20 + 20, i * 20 + 20) for i in range(14)]
     rows = steps + [(280, 280, 0, 280), (0, 280, 0, 0)]
-    assert areas(spark, rows) == []
-    assert len(areas(spark, rows, max_vertices=40)) == 1
+    assert len(areas(spark, rows)) == 1
+    assert areas(spark, rows, max_vertices=24) == []
+
+
+def test_long_spurs_are_peeled_to_the_end(spark):
+    spur = [(i * 5, -i * 5, i * 5 + 5, -i * 5 - 5) for i in range(16)]
+    assert graph.prune_stubs(segs(spark, square(0, 0, 100) + spur)).count() == 4
+    assert graph.prune_stubs(segs(spark, square(0, 0, 100) + spur), passes=3).count() == 17
+
+
+def test_closed_runs_start_at_their_smallest_corner(spark):
+    runs = graph.wall_runs(segs(spark, square(10, 20, 50)))
+    got = [(r.x, r.y) for r in graph.run_points(runs).orderBy("pos").collect()]
+    assert got[0] == got[-1] == (10, 20) and len(got) == 5 and len(set(got)) == 4
 
 
 def test_components_match_union_find(spark):
