@@ -21,26 +21,30 @@ def _side(new: bool, value, neutral):
 
 def _rooms(old: DataFrame, new: DataFrame, tol: float) -> DataFrame:
     area = F.coalesce("square_footage", F.lit(0.0))
-    first = lambda is_new: F.min_by(
-        _side(is_new, F.struct("room_label"), F.lit(None)), _side(is_new, c("surface_id"), F.lit(None)))
-    grouped = (
+    first = lambda is_new, by, value: F.min_by(
+        _side(is_new, value, F.lit(None)), _side(is_new, c(by), F.lit(None)))
+    per_type = (
         _both(old, new).where(~c("type").startswith("symbol:"))
-        .groupBy("project_id", T.room_key(c("room_label")).alias("room"))
-        .agg(F.sum(_side(False, area, 0.0)).alias("old_area_sqft"),
-             F.sum(_side(True, area, 0.0)).alias("new_area_sqft"),
-             F.count_if(~c("_new")).alias("old_surfaces"), F.count_if(c("_new")).alias("new_surfaces"),
-             F.array_sort(F.collect_set(_side(False, c("type"), None))).alias("_old_types"),
-             F.array_sort(F.collect_set(_side(True, c("type"), None))).alias("_new_types"),
-             first(False).alias("_o"), first(True).alias("_n")))
+        .groupBy("project_id", T.room_key(c("room_label")).alias("room"), "type")
+        .agg(F.sum(_side(False, area, 0.0)).alias("old_area"), F.sum(_side(True, area, 0.0)).alias("new_area"),
+             F.count_if(~c("_new")).alias("old_n"), F.count_if(c("_new")).alias("new_n"),
+             first(False, "surface_id", F.struct("room_label", "surface_id")).alias("_o"),
+             first(True, "surface_id", F.struct("room_label", "surface_id")).alias("_n")))
+    one_sided = c("type").isNotNull() & ((c("old_n") == 0) != (c("new_n") == 0))
+    grouped = per_type.groupBy("project_id", "room").agg(
+        F.sum("old_area").alias("old_area_sqft"), F.sum("new_area").alias("new_area_sqft"),
+        F.sum("old_n").alias("old_surfaces"), F.sum("new_n").alias("new_surfaces"),
+        F.bool_or(one_sided).alias("_retyped"),
+        F.min_by("_o", "_o.surface_id").alias("_o"), F.min_by("_n", "_n.surface_id").alias("_n"))
     delta = c("new_area_sqft") - c("old_area_sqft")
     share = delta / F.greatest("old_area_sqft", "new_area_sqft", F.lit(1.0))
     change = (F.when(c("old_surfaces") == 0, "added").when(c("new_surfaces") == 0, "removed")
-              .when(F.abs(share) > tol, "resized").when(c("_old_types") == c("_new_types"), "unchanged")
-              .otherwise("retyped"))
+              .when(F.abs(share) > tol, "resized").when(c("_retyped"), "retyped")
+              .otherwise("unchanged"))
     return (grouped.withColumn("area_delta_sqft", delta).withColumn("area_delta_pct", share)
             .withColumn("change", change)
             .withColumn("room_label", F.coalesce("_o.room_label", "_n.room_label"))
-            .drop("_old_types", "_new_types", "_o", "_n"))
+            .drop("_retyped", "_o", "_n"))
 
 
 def diff_rooms(old: DataFrame, new: DataFrame, tol: float = 0.05, include_unchanged: bool = False) -> DataFrame:

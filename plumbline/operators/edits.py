@@ -104,16 +104,15 @@ def apply_assembly(surfaces: DataFrame, picks: DataFrame, assemblies: DataFrame)
     ``picks``: surface_id, assembly.  The audit gets one row per project and assembly with the
     number of surfaces the assembly reached in all projects; there is no snapshot, so no undo.
     """
-    chosen = picks.join(F.broadcast(assemblies.select("name", c("paint_type").alias("_paint"),
-                                                      c("coats").alias("_coats"))),
-                        c("assembly") == c("name")).drop("name")
+    recipes = assemblies.select("name", c("paint_type").alias("_paint"), c("coats").alias("_coats"))
+    chosen = picks.join(recipes, c("assembly") == c("name")).drop("name")
     joined = surfaces.join(chosen, "surface_id", "left")
     state = (joined.withColumn("paint_type", F.when(c("assembly").isNotNull(), c("_paint")).otherwise(c("paint_type")))
              .withColumn("coats", F.coalesce("_coats", "coats")).drop("_paint", "_coats", "assembly"))
     per_project = (joined.where(c("assembly").isNotNull()).groupBy("assembly", "project_id")
                    .agg(F.count(F.lit(1)).alias("_n")))
     total = per_project.groupBy("assembly").agg(F.sum("_n").alias("applied"))
-    audit = per_project.join(F.broadcast(total), "assembly").select(
+    audit = per_project.join(total, "assembly").select(
         "project_id", F.concat(F.lit('Applied assembly "'), c("assembly"), F.lit('" to '),
                                c("applied").cast("string"), F.lit(" surface"), T.plural(c("applied"), "", "s"),
                                F.lit(".")).alias("action"))

@@ -82,7 +82,7 @@ def gate(requests: DataFrame, caller_limit: int, caller_window: int, ceiling: fl
     base = cut(requests.withColumn("day", F.floor(c("at_us") / DAY).cast("bigint")))
     cuts = base.select("day", F.struct("at_us", "event_id").alias("cut")).limit(0)
     while True:
-        open_ = (base.join(F.broadcast(cuts), "day", "left")  # one row per day
+        open_ = (base.join(cuts, "day", "left")  # one row per day
                  .where(c("cut").isNull() | (F.struct("at_us", "event_id") <= c("cut"))).drop("cut"))
         everyone = open_.select(F.lit("global:per-minute").alias("key"), "event_id", "at_us")
         passed = cut(rate_limit(everyone, global_limit, 60).where("allowed").select("event_id"))

@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.functions import plantext as X
 
 c = F.col
+#: Fewest text pieces and drawing operations of a readable page; fewest distinct labels along a scale bar.
+MIN_FRAGMENTS = 3
+MIN_PATH_OPS = 80
+MIN_BAR_LABELS = 3
 
 
 def callouts(fragments: DataFrame) -> DataFrame:
@@ -69,7 +73,7 @@ def scale_bar(fragments: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_distinct("ft").alias("values"), F.max("ft").alias("top"),
         ends(F.min).alias("a"), ends(F.max).alias("b"), F.count("ratio").alias("ratios"),
         F.median("ratio").alias("pt"), F.min("ft").alias("low"))
-        .where((c("n") >= 3) & (c("values") >= 3) & (c("top") >= 4) & (c("b.along") - c("a.along") >= 30)
+        .where((c("n") >= MIN_BAR_LABELS) & (c("values") >= MIN_BAR_LABELS) & (c("top") >= 4) & (c("b.along") - c("a.along") >= 30)
                & (c("b.ft") - c("a.ft") >= 4) & (c("ratios") >= 2) & c("pt").between(1, 200)))
     spread = F.abs(c("ratio") - c("pt")) / c("pt")
     residual = F.abs(c("a.along") + (c("ft") - c("a.ft")) * c("pt") - c("along"))
@@ -233,10 +237,14 @@ def pick_labels(fragments: DataFrame) -> DataFrame:
     return kept.join(strips, "page_id", "left").where(~blocked).drop("right_strip", "bottom_strip")
 
 
-def page_skips(fragments: DataFrame, path_ops: DataFrame) -> DataFrame:
-    """Why a page cannot be measured, or NULL (C21); ``path_ops``: page_id, ops."""
+def page_skips(fragments: DataFrame, path_ops: DataFrame, min_fragments: int = MIN_FRAGMENTS,
+               min_ops: int = MIN_PATH_OPS) -> DataFrame:
+    """Why a page cannot be measured, or NULL (C21), a row for every page; ``path_ops``: page_id, ops.
+
+    A page with fewer text pieces than ``min_fragments`` and fewer drawing operations than ``min_ops`` is an image.
+    """
     facts = fragments.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"),
                                              F.count_if(X.is_table_room(c("text"))).alias("rooms"))
-    reason = (F.when((F.coalesce("n", F.lit(0)) < 3) & (F.coalesce("ops", F.lit(0)) < 80), "no_text_layer")
+    reason = (F.when((F.coalesce("n", F.lit(0)) < min_fragments) & (F.coalesce("ops", F.lit(0)) < min_ops), "no_text_layer")
               .when(F.coalesce("rooms", F.lit(0)) == 0, "non_floor_plan"))
     return facts.join(path_ops, "page_id", "full_outer").select("page_id", reason.alias("skip"))

@@ -36,14 +36,14 @@ def bid_lines(surfaces: DataFrame, projects: DataFrame, rates: DataFrame,
               cfg: BidConfig = BidConfig()) -> DataFrame:
     """One priced line per billable surface.
 
-    The rate settings collapse to one row per surface type before they are joined, so that side is
-    bounded by the number of types and not by the data.
+    The rate settings collapse to one row per surface type before they are joined; AQE broadcasts that side
+    where its measured size allows.
     """
     flags = {name: True for name in cfg.flags}
     priced = (
         surfaces.where(P.billable(c("status"), c("type"), c("finish_type")))
         .join(projects.select("project_id", "measurement_mode", "waste_factor"), "project_id")
-        .join(F.broadcast(hourly_rates(rates)), "type", "left")
+        .join(hourly_rates(rates), "type", "left")
         .select(
             "project_id", "surface_id", "type", "room_label", "paint_type", "coats", "substrate", "waste_factor",
             P.unit_for(c("type")).alias("unit"),

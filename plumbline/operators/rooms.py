@@ -1,4 +1,4 @@
-"""Room extraction for all pages: printed tables, vector geometry, candidates and the page driver.
+"""Room extraction for all pages: printed tables, vector geometry, candidates and the page driver.
 
 Inputs: ``fragments`` (page_id, seq, text, x, y, width, height, rotation, page_w, page_h), ``segs``
 (page_id, seg_id, x1, y1, x2, y2), ``scales`` (page_id, pt_per_foot).
@@ -14,6 +14,10 @@ from plumbline.operators.graph import cell, spread
 from plumbline.session import cut
 
 c = F.col
+#: Fewest wall segments of a page worth measuring, and fewest rows that make a printed table.  Pages below either
+#: limit get no rooms of that kind; ``extract_rooms`` gives each such page a status row with the reason.
+MIN_WALLS = 8
+MIN_TABLE_ROWS = 2
 ROOM = ["page_id", "label", "box", "polygon", "width_ft", "height_ft", "area_sqft", "perimeter_ft", "derivation"]
 
 
@@ -31,15 +35,16 @@ def _box_polygon() -> Column:
 
 
 # --- printed table (J9) ---------------------------------------------------------------------------
-def table_rooms(fragments: DataFrame, faces: DataFrame, scales: DataFrame, plan_areas: DataFrame) -> DataFrame:
-    """Rooms of pages whose table has two or more rows.
+def table_rooms(fragments: DataFrame, faces: DataFrame, scales: DataFrame, plan_areas: DataFrame,
+                min_rows: int = MIN_TABLE_ROWS) -> DataFrame:
+    """Rooms of pages whose table has at least ``min_rows`` rows.
 
     A row's label elsewhere on the plan places it: inside a wall face it is traced, and cross-checked
     when the scaled face agrees within 10 %; otherwise a rectangle of its size is drawn; without such
     a label only the numbers remain.  Printed numbers always win.
     """
     rows = txt.dim_rows(fragments)
-    enough = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where(c("n") >= 2)
+    enough = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where(c("n") >= min_rows)
     rows = cut(rows.join(enough.select("page_id"), "page_id", "left_semi"))
     key = T.alnum_key
     boxes = txt.dim_table_box(fragments).select("page_id", F.struct("x0", "y0", "x1", "y1").alias("table_box"))
@@ -112,16 +117,18 @@ def callout_dimensions(labels: DataFrame, callouts: DataFrame, radius: float = 1
 
 
 # --- vector geometry (J10) --------------------------------------------------------------------------------
-def vector_rooms(fragments: DataFrame, segs: DataFrame, faces: DataFrame, scales: DataFrame, callouts: DataFrame) -> DataFrame:
-    """Rooms from label clusters on pages with at least eight walls.
+def vector_rooms(fragments: DataFrame, segs: DataFrame, faces: DataFrame, scales: DataFrame, callouts: DataFrame,
+                 min_walls: int = MIN_WALLS) -> DataFrame:
+    """Rooms from label clusters on pages with at least ``min_walls`` walls.
 
     A label's rectangle comes from the nearest long walls, with a second, closer look where the first
     gives none; rectangles over 15 % of the page or more than half inside an earlier one are refused.
-    What is left takes a wall face that touches no rectangle.  Labels without either stay as
-    uncertain.  All rectangles are settled before faces are given out, whereas a strictly sequential
+    What is left chooses a wall face; faces are then accepted in label order unless their box overlaps a
+    rectangle or an accepted face, so a label between nested walls gets no number over the room it holds.
+    Labels without either stay as uncertain.  All rectangles are settled before faces are given out, whereas a strictly sequential
     pass would let an earlier label's face refuse a later label's rectangle.
     """
-    busy = segs.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where(c("n") >= 8).select("page_id")
+    busy = segs.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where(c("n") >= min_walls).select("page_id")
     words = fragments.where(X.is_table_room(c("text"))).join(busy, "page_id", "left_semi")
     labels = cut(geo.label_clusters(words.select("page_id", "seq", "text", "x", "y", "width", "height"))
                  .join(_page_sizes(fragments), "page_id"))
@@ -139,13 +146,21 @@ def vector_rooms(fragments: DataFrame, segs: DataFrame, faces: DataFrame, scales
              .select("page_id", c("label_id").alias("ord"), "box"))
     kept = cut(geo.drop_overlaps(boxed)).withColumnRenamed("ord", "label_id")
     rest = labels.join(kept, ["page_id", "label_id"], "left_anti")
-    wide = spread(kept.select("page_id", c("box").alias("kb")), c("kb.x0"), c("kb.y0"), c("kb.x1"), c("kb.y1"), 100.0)
-    cond_cells = spread(faces, c("box.x0"), c("box.y0"), c("box.x1"), c("box.y1"), 100.0)
-    clash = cond_cells.join(wide, ["page_id", "_cx", "_cy"]).where(
-        (c("box.x1") > c("kb.x0")) & (c("kb.x1") > c("box.x0")) & (c("box.y1") > c("kb.y0")) & (c("kb.y1") > c("box.y0"))).select("page_id", "face")
-    free = faces.join(clash, ["page_id", "face"], "left_anti")
-    taken = geo.label_faces(rest.withColumn("ord", c("label_id")), free, side * 0.04).withColumnRenamed("ord", "label_id")
-    traced = taken.join(free.select("page_id", "face", "box", "polygon"), ["page_id", "face"]).select("page_id", "label_id", "box", "polygon")
+    taken = geo.label_faces(rest.withColumn("ord", c("label_id")), faces, side * 0.04).withColumnRenamed("ord", "label_id")
+    placed = cut(taken.join(faces.select("page_id", "face", "box", "polygon"), ["page_id", "face"])
+                 .select("page_id", "label_id", "box", "polygon"))
+    here = spread(placed.select("page_id", "label_id", "box"), c("box.x0"), c("box.y0"), c("box.x1"), c("box.y1"), 100.0)
+    apart = lambda k: ((c("box.x1") <= c(f"{k}.x0")) | (c(f"{k}.x1") <= c("box.x0"))
+                       | (c("box.y1") <= c(f"{k}.y0")) | (c(f"{k}.y1") <= c("box.y0")))
+    boxes = spread(kept.select("page_id", c("box").alias("kb")), c("kb.x0"), c("kb.y0"), c("kb.x1"), c("kb.y1"), 100.0)
+    blocked = here.join(boxes, ["page_id", "_cx", "_cy"]).where(~apart("kb")).select("page_id", "label_id")
+    alone = cut(placed.join(blocked, ["page_id", "label_id"], "left_anti"))
+    one = here.join(alone.select("page_id", "label_id"), ["page_id", "label_id"], "left_semi")
+    two = one.select("page_id", "_cx", "_cy", c("label_id").alias("later"), c("box").alias("lb"))
+    rivals = one.join(two, ["page_id", "_cx", "_cy"]).where((c("label_id") < c("later")) & ~apart("lb"))
+    first = geo.first_come(alone.select(c("page_id").alias("grp"), c("label_id").alias("ord")),
+                           rivals.select(c("page_id").alias("grp"), c("label_id").alias("earlier"), "later"))
+    traced = alone.join(first.select(c("grp").alias("page_id"), c("ord").alias("label_id")), ["page_id", "label_id"])
     ring = G.rectangle(c("box.x0"), c("box.y0"), c("box.x1"), c("box.y1"))
     shapes = kept.withColumn("polygon", ring).unionByName(traced)
     all_ = cut(labels.join(shapes, ["page_id", "label_id"], "left").join(scales.select("page_id", "pt_per_foot"), "page_id", "left")
@@ -172,22 +187,29 @@ def vector_rooms(fragments: DataFrame, segs: DataFrame, faces: DataFrame, scales
 
 # --- driver (J11) ---------------------------------------------------------------------------------------------
 def extract_rooms(fragments: DataFrame, segs: DataFrame, faces: DataFrame, scales: DataFrame, path_ops: DataFrame,
-                  plan_areas: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rooms and one status row per page: skipped early, by table, by geometry, or too little geometry."""
+                  plan_areas: DataFrame, min_walls: int = MIN_WALLS, min_rows: int = MIN_TABLE_ROWS,
+                  ) -> tuple[DataFrame, DataFrame]:
+    """Rooms and one status row per page: skipped early, by table, by geometry, or too little geometry.
+
+    ``reason``: no_text_layer, non_floor_plan, few_walls (below ``min_walls``) or low_geometry (walls but no room).
+    """
     skips = txt.page_skips(fragments, path_ops)
     open_pages = skips.where(c("skip").isNull()).select("page_id")
     readable = cut(fragments.join(open_pages, "page_id", "left_semi"))
-    a = cut(table_rooms(readable, faces, scales, plan_areas))
-    by_table = a.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where(c("n") >= 2).select("page_id")
+    a = cut(table_rooms(readable, faces, scales, plan_areas, min_rows))
+    by_table = a.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where(c("n") >= min_rows).select("page_id")
     left = readable.join(by_table, "page_id", "left_anti")
-    b = cut(vector_rooms(left, segs.join(by_table, "page_id", "left_anti"), faces, scales, txt.callouts(left)))
+    b = cut(vector_rooms(left, segs.join(by_table, "page_id", "left_anti"), faces, scales, txt.callouts(left),
+                         min_walls))
     rooms = a.join(by_table, "page_id", "left_semi").withColumn("strategy", F.lit("table")).unionByName(
         b.withColumn("strategy", F.lit("vector")))
     done = rooms.select("page_id", "strategy").distinct()
-    status = skips.join(done, "page_id", "left").select(
+    walls = segs.groupBy("page_id").agg(F.count(F.lit(1)).alias("walls"))
+    few = F.when(F.coalesce("walls", F.lit(0)) < min_walls, "few_walls").otherwise("low_geometry")
+    status = skips.join(done, "page_id", "left").join(walls, "page_id", "left").select(
         "page_id", F.when(c("strategy").isNotNull(), "ok").otherwise("skipped").alias("status"),
         F.coalesce("strategy", F.lit("none")).alias("strategy"),
-        F.when(c("strategy").isNull(), F.coalesce("skip", F.lit("low_geometry"))).alias("reason"))
+        F.when(c("strategy").isNull(), F.coalesce("skip", few)).alias("reason"))
     return rooms, status
 
 

@@ -261,15 +261,15 @@ def _defaults(t):
 
 
 @query("symbol_rows", S, """
-SELECT plan_page_id, 'symbol:toilet' AS type, CASE WHEN source='ai' THEN room END AS room_label,
+SELECT plan_page_id, type, CASE WHEN source='ai' THEN room END AS room_label,
   CASE WHEN source='ai' THEN n ELSE 7 END AS count, 'AI' AS source FROM (
-SELECT plan_page_id, source, 'A' AS room, 1 AS n FROM surfaces WHERE type='symbol:toilet'
-UNION ALL SELECT plan_page_id, source, 'B', 2 FROM surfaces WHERE type='symbol:toilet' AND source='ai')""")
+SELECT plan_page_id, type, source, 'A' AS room, 1 AS n FROM surfaces WHERE type LIKE 'symbol:%'
+UNION ALL SELECT plan_page_id, type, source, 'B', 2 FROM surfaces WHERE type LIKE 'symbol:%' AND source='ai')""")
 def _symbols(t):
     rooms = F.array(F.struct(F.lit("A").alias("room_label"), F.lit(1).alias("count")),
                     F.struct(F.lit("B").alias("room_label"), F.lit(2).alias("count")))
-    counts = t.surfaces.where(c("type") == "symbol:toilet").select(
-        "project_id", "plan_page_id", F.lit("toilet").alias("symbol"), F.lit(7).alias("count"), "confidence",
+    counts = t.surfaces.where(c("type").startswith("symbol:")).select(
+        "project_id", "plan_page_id", F.substring_index("type", ":", -1).alias("symbol"), F.lit(7).alias("count"), "confidence",
         F.when(c("source") == "ai", rooms).alias("by_room"))
     return op.symbol_rows(counts).select("plan_page_id", "type", "room_label", "count", "source")
 

@@ -60,7 +60,7 @@ CTES: dict[str, str] = {
     o_orderkey % 13 = 0 AS hidden FROM orders""",
     "bid_versions": """
   SELECT CAST(o_custkey AS VARCHAR) AS project_id, CAST(o_orderkey % 9 + 1 AS INT) AS version_number,
-    max(o_totalprice) AS grand_total FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1, 2""",
+    max(o_totalprice) AS grand_total FROM orders GROUP BY 1, 2""",
     "api_usage": f"""
   SELECT event_id, user_id, event_type AS endpoint, {pick('user_id % 3', MODELS)} AS model,
     CAST(floor(value*100) AS BIGINT) AS input_tokens, CAST(floor(value*10) AS BIGINT) AS output_tokens,

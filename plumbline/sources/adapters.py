@@ -123,7 +123,7 @@ class Tables:
     def bid_versions(self) -> DataFrame:
         """A price history per project; some projects have none."""
         total = c("o_totalprice")
-        return self.raw("orders").where(c("o_orderstatus") != "P").groupBy(
+        return self.raw("orders").groupBy(
             _s(c("o_custkey")).alias("project_id"), (c("o_orderkey") % 9 + 1).cast("int").alias("version_number")
         ).agg(F.max(total).alias("grand_total"))
 
