@@ -7,29 +7,32 @@ import math
 from pyspark.sql import Column, functions as F
 
 # --- fixed values: word lists ----------------------------------------------------------------
-_ROOM_CORE = (
-    "ROOM CORRIDOR OFFICE STAIR ELEV LOBBY STORAGE STORE OXYGEN BATH RESTROOM TOILET MECH ELECTRICAL JANITOR "
-    "KITCHEN LOCKER VEST LOUNGE WAIT PANTRY CLOSET UTILITY")
-_HOME = (
-    "BEDROOM BED DINING LIVING GARAGE FOYER LAUNDRY POWDER HALL WIC PWDR MASTER ENTRY DEN STUDY NOOK PORCH DECK "
-    "PATIO MUDROOM MUD FAMILY GREAT MEDIA BONUS REC HOBBY GUEST NURSERY PLAYROOM GYM")
 ROOM_WORDS_TABLE = (
-    f"{_ROOM_CORE} LINEN EXAM CONF RECEPTION STAFF PATIENT {_HOME} FLEX PRIMARY ENSUITE BALCONY WORK ALCOVE "
-    "VESTIBULE HALLWAY ATTIC BASEMENT CELLAR FORMAL BREAKFAST MORNING CRAFT SHOP MECHANICAL RECREATION GAMES "
-    "ENTRANCE SUNROOM GARDEN GREENHOUSE")
+    "ROOM CORRIDOR OFFICE STAIR ELEV LOBBY STORAGE STORE OXYGEN BATH RESTROOM TOILET MECH ELECTRICAL JANITOR "
+    "KITCHEN LOCKER VEST LOUNGE WAIT PANTRY CLOSET UTILITY LINEN EXAM CONF RECEPTION STAFF PATIENT BEDROOM "
+    "BED DINING LIVING GARAGE FOYER LAUNDRY POWDER HALL WIC PWDR MASTER ENTRY DEN STUDY NOOK PORCH DECK PATIO "
+    "MUDROOM MUD FAMILY GREAT MEDIA BONUS REC HOBBY GUEST NURSERY PLAYROOM GYM FLEX PRIMARY ENSUITE BALCONY "
+    "WORK ALCOVE VESTIBULE HALLWAY ATTIC BASEMENT CELLAR FORMAL BREAKFAST MORNING CRAFT SHOP MECHANICAL "
+    "RECREATION GAMES ENTRANCE SUNROOM GARDEN GREENHOUSE")
 ROOM_WORDS_CANDIDATE = (
-    f"{_ROOM_CORE} SOIL CLEAN SOILED LINEN EXAM CONF RECEPTION STAFF PATIENT NOURISH ALCOVE VESTIBULE LINK "
-    f"CONNECTING VOLTAGE VEND {_HOME}")
-DRAWING_WORDS = (
-    "SF SQFT TYP DET DETAIL NOTE NOTES SEE ALIGN VIF REF SECTION ELEVATION PLAN DRAWING SHEET SCALE TITLE STAMP "
-    "REVISION PROJECT ARCHITECT ENGINEER CONSULTANT FINISH SCHEDULE GENERAL LEGEND KEY SYMBOL CODE NAVIGATION "
-    "DEPARTMENT VETERANS RENDERING OVERVIEW WINDOW DOOR")
-OBJECT_WORDS = (
-    "GLASS SLIDER SLIDING DOORS SHOWER ART WALL COLLECTION WINNER AWARD HICKORY MULBERRY WALNUT PALM WILLOW PINE "
-    "TAMARIND PEACH SANDALWOOD MAPLE OAK BIRCH CEDAR TREATED PRESSURE LEDGER CONSTRUCTION TYPICAL PROVIDE INSTALL "
-    "EXIST EXISTING REMOVE RELOCATE FOR FROM ROOF PEAK JOIST FRAMING HEADER BEAM STUD RAFTER RAIL RAILING HANDRAIL "
-    "GUARDRAIL BLOCKING SIDING SOFFIT FASCIA FOUNDATION FOOTING SLAB BACKFILL GRADE CHAIR DESK WARDROBE WARDR0BE "
-    "CABINET COUNTER DISPENSER TISSUE NIGHTSTAND FURNISHING FURNITURE BOOKCASE DRESSER MIRROR")
+    "ROOM CORRIDOR OFFICE STAIR ELEV LOBBY STORAGE STORE OXYGEN BATH RESTROOM TOILET MECH ELECTRICAL JANITOR "
+    "KITCHEN LOCKER VEST LOUNGE WAIT PANTRY CLOSET UTILITY SOIL CLEAN SOILED LINEN EXAM CONF RECEPTION STAFF "
+    "PATIENT NOURISH ALCOVE VESTIBULE LINK CONNECTING VOLTAGE VEND BEDROOM BED DINING LIVING GARAGE FOYER "
+    "LAUNDRY POWDER HALL WIC PWDR MASTER ENTRY DEN STUDY NOOK PORCH DECK PATIO MUDROOM MUD FAMILY GREAT MEDIA "
+    "BONUS REC HOBBY GUEST NURSERY PLAYROOM GYM")
+NO_ROOM_TABLE = (
+    "SF SQFT TYP DET DETAIL NOTE NOTES SEE ALIGN VIF REF SECTION ELEVATION PLAN DRAWING SHEET SCALE TITLE "
+    "STAMP REVISION PROJECT ARCHITECT ENGINEER CONSULTANT FINISH SCHEDULE GENERAL LEGEND KEY SYMBOL CODE "
+    "NAVIGATION DEPARTMENT VETERANS RENDERING OVERVIEW WINDOW DOOR GLASS SLIDER SLIDING DOORS SHOWER ART WALL "
+    "COLLECTION WINNER AWARD HICKORY MULBERRY WALNUT PALM WILLOW PINE TAMARIND PEACH SANDALWOOD MAPLE OAK "
+    "BIRCH CEDAR TREATED PRESSURE LEDGER CONSTRUCTION TYPICAL PROVIDE INSTALL EXIST EXISTING REMOVE RELOCATE "
+    "FOR FROM ROOF PEAK JOIST FRAMING HEADER BEAM STUD RAFTER RAIL RAILING HANDRAIL GUARDRAIL BLOCKING SIDING "
+    "SOFFIT FASCIA FOUNDATION FOOTING SLAB BACKFILL GRADE CHAIR DESK WARDROBE WARDR0BE CABINET COUNTER "
+    "DISPENSER TISSUE NIGHTSTAND FURNISHING FURNITURE BOOKCASE DRESSER MIRROR")
+NO_ROOM_CANDIDATE = (
+    "SF SQFT TYP DET DETAIL NOTE NOTES SEE ALIGN VIF REF SECTION ELEVATION PLAN DRAWING SHEET SCALE TITLE "
+    "STAMP REVISION PROJECT ARCHITECT ENGINEER CONSULTANT FINISH SCHEDULE GENERAL LEGEND KEY SYMBOL CODE "
+    "NAVIGATION DEPARTMENT VETERANS RENDERING OVERVIEW WINDOW DOOR")
 ANNOTATIONS = (
     r"column|columns|glass roof|roof|north|south|east|west|legend|notes?|key|symbols?|scale|true north|grid|datum|"
     r"align|typ\.?|sim\.?|do not enter|exit|entry|elev\.?|fdn\.?|f\.d\.?|sect\.?|sect|stair|stairs|hold|hatch")
@@ -59,6 +62,34 @@ SCALE_INCHES = {
     "3/16": 3 / 16, "1/4": 1 / 4, "5/16": 5 / 16, "3/8": 3 / 8, "1/2": 1 / 2, "3/4": 3 / 4, "1": 1.0, "3": 3.0,
 }
 FOOT, INCH = "['‘’′]", "[\"“”″]"
+# --- fixed values: patterns -------------------------------------------------------------------
+_CODE = r"[A-Z]{1,3}\s*-?\s*\d{1,3}[A-Z]?"
+HEADER_WORD = r"(?i)^(client|date|job\s*#?|sheet|project|drawn|scale|north|key|legend|notes?):?$"
+HEADER_DATE = r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4}$"
+HEADER_NUMBERED = r"(?i)^(job|sheet|drawing|project)\s*#?:?\s*[\w-]+$"
+BARE_NUMBER = r"^\d[\d.,]*$"
+TABLE_HEADING = r"(?i)^(room|dimensions?|size|area|name)$"
+BULLET = r"^[•·\-*]"
+BEDROOM_COUNT = r"(?i)^\d+\s+(bedroom|bed|br)(\s*(\+|and|and a)\s+(den|flex|study))?$"
+AREA_LINE = r"(?i)\b(interior|balcony|total|garage|usable|saleable)\s+area$"
+LIST_NUMBER = r"^\d{1,2}\.$"
+MEASURE = r"^\d+(['\"’”′″]|\s*(SF|sqft))"
+ROOM_NUMBER = r"(?i)^[A-Z]{0,3}\s*\d{2,4}[A-Z]?$"
+SHEET_CODE = r"(?i)^(a|af|s|m|e|p|c|l|t)[a-z]?\d{2,4}[a-z]?$"
+NUMBERS_ONLY = "^[\\d'\"\\-.,×x\\s]+$"
+WEB_ADDRESS = "^https?://"
+STREET_NUMBER = r"(?i)^\d+\s+[A-Z]"
+CODE_LIST = r"(?i)^([a-z]{1,4}\s*-?\s*\d+)(\s*/\s*[a-z]{1,4}\s*-?\s*\d+)+$"
+GRID_LETTER = r"^[A-Z]{1,2}$"
+METRIC_SCALE = r"(?i)(?:scale\s*[:=]?\s*)?1\s*:\s*(\d{2,4})\b"
+DIM_FEET = rf"^(\d{{1,3}}){FOOT}(\d{{1,2}})?{INCH}?[xX×](\d{{1,3}}){FOOT}(\d{{1,2}})?{INCH}?$"
+DIM_PLAIN = r"^(\d{1,3}(?:\.\d+)?)[xX×](\d{1,3}(?:\.\d+)?)$"
+CALLOUT_BOTH = rf"^(\d{{1,3}})\s*{FOOT}\s*[-–]?\s*(\d{{1,2}})(?:\s+(\d+)\s*/\s*(\d+))?\s*{INCH}?$"
+CALLOUT_FEET = rf"^(\d{{1,3}})\s*{FOOT}\s*(?:-?\s*0\s*{INCH}?)?$"
+CALLOUT_INCHES = rf"^(\d{{1,2}})(?:\s+(\d+)\s*/\s*(\d+))?\s*{INCH}$"
+BAR_LABEL = rf"^\s*(\d{{1,3}})\s*(?:{FOOT}|\s*(?:ft|FT|Ft))?\s*$"
+IMPERIAL_SCALE = (rf"(?i)(\d{{1,2}}(?:\s*/\s*\d{{1,3}})?|\d+\s+\d+\s*/\s*\d+)\s*{INCH}?\s*=\s*(\d+)\s*['’′]\s*"
+                  rf"(?:[-–]\s*(\d+)\s*{INCH}?)?")
 
 
 def has_word(text: Column, words: str) -> Column:
@@ -94,8 +125,8 @@ def _bind(columns: list[Column], fn) -> Column:
 # --- dimensions --------------------------------------------------------------------------------
 def parse_dim(text: Column) -> Column:
     """Width and height in feet of ``12'6" x 10'`` or ``12 x 10.5``; NULL otherwise."""
-    feet = rf"^(\d{{1,3}}){FOOT}(\d{{1,2}})?{INCH}?[xX×](\d{{1,3}}){FOOT}(\d{{1,2}})?{INCH}?$"
-    plain = r"^(\d{1,3}(?:\.\d+)?)[xX×](\d{1,3}(?:\.\d+)?)$"
+    feet = DIM_FEET
+    plain = DIM_PLAIN
     zero = F.lit(0.0)
 
     def size(w, wi, h, hi, pw, ph):
@@ -112,9 +143,9 @@ def parse_dim(text: Column) -> Column:
 
 def parse_callout(text: Column) -> Column:
     """Length in feet and confidence of a single dimension note; NULL otherwise."""
-    both = rf"^(\d{{1,3}})\s*{FOOT}\s*[-–]?\s*(\d{{1,2}})(?:\s+(\d+)\s*/\s*(\d+))?\s*{INCH}?$"
-    only = rf"^(\d{{1,3}})\s*{FOOT}\s*(?:-?\s*0\s*{INCH}?)?$"
-    short = rf"^(\d{{1,2}})(?:\s+(\d+)\s*/\s*(\d+))?\s*{INCH}$"
+    both = CALLOUT_BOTH
+    only = CALLOUT_FEET
+    short = CALLOUT_INCHES
 
     def part(n: Column, d: Column) -> Column:
         return F.coalesce(F.when(d > 0, n / d), F.lit(0.0))
@@ -153,8 +184,7 @@ def imperial_scale(text: Column) -> Column:
     Compatibility: blanks are removed before the fraction is looked up, so a mixed number such as
     ``1 1/2`` is not recognised.
     """
-    pattern = (rf"(?i)(\d{{1,2}}(?:\s*/\s*\d{{1,3}})?|\d+\s+\d+\s*/\s*\d+)\s*{INCH}?\s*=\s*(\d+)\s*['’′]\s*"
-               rf"(?:[-–]\s*(\d+)\s*{INCH}?)?")
+    pattern = IMPERIAL_SCALE
     table = F.create_map(*[F.lit(x) for kv in SCALE_INCHES.items() for x in kv])
 
     def read(key, ft, inch, word):
@@ -171,7 +201,7 @@ def imperial_scale(text: Column) -> Column:
 
 
 def metric_scale(text: Column) -> Column:
-    pattern = r"(?i)(?:scale\s*[:=]?\s*)?1\s*:\s*(\d{2,4})\b"
+    pattern = METRIC_SCALE
 
     def read(n, word):
         label = F.concat(F.lit("1:"), n.cast("int").cast("string"))
@@ -184,7 +214,7 @@ def metric_scale(text: Column) -> Column:
 
 def feet_label(text: Column) -> Column:
     """Number printed on a scale bar, 0..500 feet."""
-    (v,) = _groups(text, rf"^\s*(\d{{1,3}})\s*(?:{FOOT}|\s*(?:ft|FT|Ft))?\s*$", 1)
+    (v,) = _groups(text, BAR_LABEL, 1)
     n = v.try_cast("int")
     return F.when(n <= 500, n)
 
@@ -203,52 +233,49 @@ def scale_accepted(method: Column, confidence: Column) -> Column:
 
 
 # --- labels --------------------------------------------------------------------------------------
-_CODE = r"[A-Z]{1,3}\s*-?\s*\d{1,3}[A-Z]?"
-
-
 def is_header(text: Column) -> Column:
     """Dates, job numbers, bare numbers and table headings are never labels."""
     t = F.trim(text)
-    return ((t == "") | t.rlike(r"(?i)^(client|date|job\s*#?|sheet|project|drawn|scale|north|key|legend|notes?):?$")
-            | t.rlike(r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4}$")
-            | t.rlike(r"(?i)^(job|sheet|drawing|project)\s*#?:?\s*[\w-]+$") | t.rlike(r"^\d[\d.,]*$")
-            | t.rlike(r"(?i)^(room|dimensions?|size|area|name)$"))
+    return ((t == "") | t.rlike(HEADER_WORD)
+            | t.rlike(HEADER_DATE)
+            | t.rlike(HEADER_NUMBERED) | t.rlike(BARE_NUMBER)
+            | t.rlike(TABLE_HEADING))
 
 
 def is_table_room(text: Column) -> Column:
     """Room label for the table and vector extractors."""
     t = F.trim(text)
-    return (F.length(t).between(2, 40) & ~t.rlike(r"^[•·\-*]") & (F.size(F.split(t, r"\s+")) <= 4)
-            & ~t.rlike(r"(?i)^\d+\s+(bedroom|bed|br)(\s*(\+|and|and a)\s+(den|flex|study))?$")
-            & ~t.rlike(r"(?i)\b(interior|balcony|total|garage|usable|saleable)\s+area$")
+    return (F.length(t).between(2, 40) & ~t.rlike(BULLET) & (F.size(F.split(t, r"\s+")) <= 4)
+            & ~t.rlike(BEDROOM_COUNT)
+            & ~t.rlike(AREA_LINE)
             & ~is_header(t) & parse_dim(t).isNull() & ~is_whole(t, _CODE)
-            & ~has_word(t, f"{DRAWING_WORDS} {OBJECT_WORDS}") & has_word(t, ROOM_WORDS_TABLE))
+            & ~has_word(t, NO_ROOM_TABLE) & has_word(t, ROOM_WORDS_TABLE))
 
 
 def is_candidate_room(text: Column) -> Column:
     """Room label for the candidate extractor: a room word or a room number (C11)."""
     t = F.trim(text)
-    return ((t != "") & ~t.rlike(r"^\d{1,2}\.$") & ~t.rlike(r"^\d+(['\"’”′″]|\s*(SF|sqft))")
-            & ~has_word(t, DRAWING_WORDS) & ~is_whole(t, _CODE)
-            & (has_word(t, ROOM_WORDS_CANDIDATE) | t.rlike(r"(?i)^[A-Z]{0,3}\s*\d{2,4}[A-Z]?$")))
+    return ((t != "") & ~t.rlike(LIST_NUMBER) & ~t.rlike(MEASURE)
+            & ~has_word(t, NO_ROOM_CANDIDATE) & ~is_whole(t, _CODE)
+            & (has_word(t, ROOM_WORDS_CANDIDATE) | t.rlike(ROOM_NUMBER)))
 
 
 def is_title_word(text: Column) -> Column:
     """Title-block words, dates and sheet codes."""
     t = F.trim(text)
     return (is_whole(t, TITLE_WORDS) | t.rlike(rf"(?i)^({MONTHS})\s+\d{{1,2}},?\s+\d{{4}}$")
-            | t.rlike(r"(?i)^(a|af|s|m|e|p|c|l|t)[a-z]?\d{2,4}[a-z]?$"))
+            | t.rlike(SHEET_CODE))
 
 
 def may_be_label(text: Column, x_norm: Column, y_norm: Column) -> Column:
     """Label for the permissive picker, before title-block strips are taken out."""
     t = F.trim(text)
-    return (F.length(t).between(2, 40) & ~t.rlike("^[\\d'\"\\-.,×x\\s]+$") & ~t.rlike("^https?://")
-            & ~(t.rlike(r"(?i)^\d+\s+[A-Z]") & (F.length(t) > 12)) & y_norm.between(0.04, 0.97)
+    return (F.length(t).between(2, 40) & ~t.rlike(NUMBERS_ONLY) & ~t.rlike(WEB_ADDRESS)
+            & ~(t.rlike(STREET_NUMBER) & (F.length(t) > 12)) & y_norm.between(0.04, 0.97)
             & x_norm.between(0.02, 0.98) & ~is_whole(t, ANNOTATIONS)
             & ~t.rlike(rf"(?i)^({MATERIALS})\s*-?\s*\d+([\s/-]?\d+)?$")
-            & ~t.rlike(r"(?i)^([a-z]{1,4}\s*-?\s*\d+)(\s*/\s*[a-z]{1,4}\s*-?\s*\d+)+$")
-            & ~t.rlike(r"^[A-Z]{1,2}$") & ~is_title_word(t) & t.rlike("[A-Za-z]{2,}"))
+            & ~t.rlike(CODE_LIST)
+            & ~t.rlike(GRID_LETTER) & ~is_title_word(t) & t.rlike("[A-Za-z]{2,}"))
 
 
 def in_margin(x: Column, y: Column, w: Column, h: Column, page_w: Column, page_h: Column) -> Column:
