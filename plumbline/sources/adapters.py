@@ -121,7 +121,7 @@ class Tables:
 
     @cached_property
     def bid_versions(self) -> DataFrame:
-        """A price history per project; some projects have none."""
+        """A price history per project, from all orders."""
         total = c("o_totalprice")
         return self.raw("orders").groupBy(
             _s(c("o_custkey")).alias("project_id"), (c("o_orderkey") % 9 + 1).cast("int").alias("version_number")
