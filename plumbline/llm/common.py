@@ -7,6 +7,7 @@ number; the tables come from a fixed seed, so every task and every run sees the
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,7 +39,24 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and go on from the files: cuts lineage, survives executors."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Free what finished steps left: written ``tables`` that nothing reads any more, and shuffle files.
+
+    Spark drops the shuffle files of plans that the driver has collected as garbage, which it may put off for
+    half an hour; between large steps the operators ask for it, so their steps' shuffles need not coexist.
+    """
+    for table in tables:
+        path = getattr(table, "_kept_at", None)
+        if path:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def import_path(spark: SparkSession) -> None:
@@ -224,9 +242,10 @@ def components(links: DataFrame) -> DataFrame:
         large = (both.where("b > a").join(least, "a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        state = keep(large.join(small, "a").where("b <> m")
+        old, state = state, keep(large.join(small, "a").where("b <> m")
                      .select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
                      .unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "links")
+        release(state.sparkSession, old)
         now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

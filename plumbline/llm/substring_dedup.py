@@ -5,6 +5,8 @@ anywhere else too (same document included) is removed, all occurrences alike, ju
 
 1. Anchors: in each window the ``gram``-word sequence with the least hash.  Equal windows have the same one at the
    same place, so a window whose anchor occurs only once in the corpus cannot repeat; its suffix goes no further.
+   Whole texts that occur more than once (equal 128-bit hashes) and hold a window lose everything; one of each group
+   goes on, so that other documents meet it, and the others' suffixes need not.
 2. Prefix partitioning: a suffix is coded by hashes of its leading blocks of words (8, 12 and 15 of the 35; depths
    8, 20, 35).  Suffixes are dealt by their 8-word prefix; a prefix that more than ``GROUP_ROWS`` suffixes share is
    replaced by the 20-word prefix, and that, if still too common, by the whole window, where nothing is left to
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from plumbline.llm.common import (
-    SPACES, U64, WordBlock, byte_table, covered, keep, mix, ngrams, row_of_word, signed, word_blocks,
+    SPACES, U64, WordBlock, byte_table, covered, keep, mix, ngrams, release, row_of_word, signed, word_blocks,
 )
 
 WINDOW = 35
@@ -104,12 +106,13 @@ def _suffixes(window: int, gram: int, text: int) -> Callable:
                 third = mix(ngrams(block.hash, window - middle))
                 p1 = first[starts]
                 p2 = mix(p1 + second[starts + short])
-                p3 = mix(p2 + third[starts + middle])
+                p3 = mix(p2 + third[starts + middle])  # this one alone decides; 32 bits of the others deal and order
                 rows = row[starts]
                 yield pa.record_batch({
                     "cid": batch.column("cid").take(pa.array(block.row0 + rows)),
                     "pos": pa.array((starts - block.first[rows]).astype(np.int32)),
-                    "p1": pa.array(signed(p1)), "p2": pa.array(signed(p2)), "p3": pa.array(signed(p3))})
+                    "p1": pa.array((p1 >> U64(32)).astype(np.uint32).view(np.int32)),
+                    "p2": pa.array((p2 >> U64(32)).astype(np.uint32).view(np.int32)), "p3": pa.array(signed(p3))})
     return run
 
 
@@ -135,12 +138,16 @@ def _finish(window: int, text: int) -> Callable:
         for batch in batches:
             rows = batch.column("row")
             texts, starts = rows.field(text).cast(pa.large_binary()), batch.column("starts")
+            copied = batch.column("copied").to_pylist()
             total, removed, kept = [], [], []
             for i in range(batch.num_rows):
                 words = (texts[i].as_py() or b"").split()
                 total.append(len(words))
                 cut = starts[i].as_py()
-                if cut:
+                if copied[i] and len(words) >= window:
+                    removed.append(len(words))
+                    words = []
+                elif cut:
                     gone = covered(np.array(cut, np.int64), window, len(words))
                     removed.append(int(gone.sum()))
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
@@ -162,16 +169,33 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
     anchors = thin.withColumn("h", F.xxhash64("text")).mapInArrow(
         _anchors(window, gram), "doc_id long, h long, gram long")
     repeated = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    mine = keep(anchors.join(repeated, "gram", "left_semi").groupBy("doc_id", "h").agg(
-        F.collect_set("gram").alias("found")), "repeated-anchors")  # bounded by the document
+    hashes = thin.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    copies = hashes.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+    flags = hashes.join(copies, ["h", "h2"]).select(
+        "doc_id", "h", F.lit(None).cast("long").alias("gram"), F.col("doc_id").eqNullSafe(F.col("least")).alias("first"))
+    # anchors of one document are bounded by its length; ``first`` is null for texts without a copy
+    mine = keep(anchors.join(repeated, "gram", "left_semi").select("doc_id", "h", "gram", F.lit(None).cast("boolean").alias("first"))
+                .unionByName(flags).groupBy("doc_id", "h").agg(F.collect_set("gram").alias("found"),
+                                                               F.bool_or("first").alias("first")), "repeated-anchors")
+    release(docs.sparkSession)
     same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.h") == F.col("c.h"))
-    work = keep(boxed.alias("t").join(mine.alias("c"), same, "left").select("t.row", "c.found")
+    work = keep(boxed.alias("t").join(mine.alias("c"), same, "left").select("t.row", "c.found", "c.first")
                 .withColumn("cid", F.monotonically_increasing_id()), "documents")
-
-    suffixes = work.where(F.col("found").isNotNull()).mapInArrow(
-        _suffixes(window, gram, place), "cid long, pos int, p1 long, p2 long, p3 long")
-    crowded = keep(suffixes.groupBy("p1").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows)
-                   .select("p1", F.lit(True).alias("longer")), "common-prefixes")
+    release(docs.sparkSession, mine)
+
+    anchored = F.coalesce(F.size("found") > 0, F.lit(False))
+    suffixes = work.where(anchored & F.coalesce("first", F.lit(True))).mapInArrow(
+        _suffixes(window, gram, place), "cid long, pos int, p1 int, p2 int, p3 long")
+    # 65,536 coarse counts tell whether a prefix can be too common at all; only those of full buckets are counted
+    bucket = F.col("p1").bitwiseAND(0xFFFF)
+    full_buckets = keep(suffixes.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+                        .where(F.col("n") > group_rows).select("bucket"), "full-buckets")
+    if full_buckets.isEmpty():
+        crowded = full_buckets
+    else:
+        crowded = keep(suffixes.join(full_buckets, bucket == F.col("bucket"), "left_semi").groupBy("p1")
+                       .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows)
+                       .select("p1", F.lit(True).alias("longer")), "common-prefixes")
     if crowded.isEmpty():
         repeats = suffixes.repartition("p1").mapInArrow(_subtrees, "cid long, pos int")
     else:
@@ -188,8 +212,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, grou
                    .mapInArrow(_subtrees, "cid long, pos int")
                    .unionByName(windows.join(twice, "p3", "left_semi").select("cid", "pos")))
     starts = repeats.groupBy("cid").agg(F.collect_list("pos").alias("starts"))
-    affected = work.where(F.col("found").isNotNull()).join(starts, "cid", "left").select("row", "starts")
-    rest = work.where(F.col("found").isNull()).select("row", F.lit(None).cast("array<int>").alias("starts"))
+    judged = anchored & F.col("first").isNull()
+    affected = work.where(judged).join(starts, "cid", "left").select("row", "starts", F.lit(False).alias("copied"))
+    rest = work.where(~judged).select("row", F.lit(None).cast("array<int>").alias("starts"),
+                                      F.col("first").isNotNull().alias("copied"))
     schema = StructType([boxed.schema["row"], StructField("n_words", LongType()), StructField("n_removed", LongType()),
                          StructField("kept_text", StringType())])
     return rest.unionByName(affected).mapInArrow(_finish(window, place), schema)
