@@ -166,12 +166,10 @@ _ITEMS = pa.list_(pa.string())
 
 # --- benchmarks too large for every task ---------------------------------------------------------
 def _fingerprint_rows(n: int, slide: int, widths: list[int]) -> Callable:
-    def prepare() -> Callable[[pa.Array], dict[str, pa.Array]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table()
-
-        def work(texts: pa.Array) -> dict[str, pa.Array]:
-            out: list[list[int]] = []
-            for block in word_blocks(texts, table):
+        for batch in batches:
+            for block in word_blocks(batch.column("text"), table):
                 row = row_of_word(block)
                 at, least, _ = _windows(block, n, slide)
                 rows, values = [row[at]], [least]
@@ -179,11 +177,13 @@ def _fingerprint_rows(n: int, slide: int, widths: list[int]) -> Callable:
                     at, window = _short(block, width)
                     rows.append(row[at])
                     values.append(window)
-                rows, values = np.concatenate(rows), signed(np.concatenate(values))
-                out += [np.unique(values[rows == r]).tolist() for r in range(block.row1 - block.row0)]
-            return {"fingerprints": pa.array(out, pa.list_(pa.int64()))}
-        return work
-    return prepare
+                # neighbouring windows mostly share their fingerprint
+                rows, values = np.concatenate(rows), np.concatenate(values)
+                new = np.append(True, (values[1:] != values[:-1]) | (rows[1:] != rows[:-1]))[:len(values)]
+                take = pa.array(block.row0 + rows[new])
+                yield pa.record_batch({"k1": batch.column("k1").take(take), "k2": batch.column("k2").take(take),
+                                       "fingerprint": pa.array(signed(values[new]))})
+    return run
 
 
 def _window_rows(n: int, slide: int, widths: list[int]) -> Callable:
@@ -232,8 +232,7 @@ def _by_shuffle(docs: DataFrame, index: DataFrame, n: int, slide: int, text_col:
                         F.col(text_col).cast("string").alias("text"))
     keyed = boxed.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.xxhash64(F.lit(1), "text"))
     texts = keyed.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
-    prints = (annotate(texts, _fingerprint_rows(n, slide, widths), "fingerprints array<bigint>")
-              .select("row.k1", "row.k2", F.explode("fingerprints").alias("fingerprint")))
+    prints = texts.mapInArrow(_fingerprint_rows(n, slide, widths), "k1 long, k2 long, fingerprint long")
     found = (prints.join(index.select("fingerprint").distinct(), "fingerprint", "left_semi")
              .groupBy("k1", "k2").agg(F.collect_set("fingerprint").alias("found")))
     windows = (texts.join(found, ["k1", "k2"])
