@@ -194,19 +194,23 @@ def identify(docs: DataFrame, declared: Column | None = None, address: Column |
         return given.select("row", F.lit("und").alias("language"), F.lit(0.0).alias("probability"),
                             F.lit(False).alias("accepted"))
     tables = docs.sparkSession.sparkContext.broadcast(trigram_tables(given, known))
-    scored = annotate(given, _text_evidence(lambda: tables.value),
-                      "text_evidence array<double>, grams long, fits boolean")
-    scored = scored.select("row.row", "row.declared", "row.suffix", "row.host", "text_evidence", "grams", "fits")
+
+    def scored_rows(rows: DataFrame) -> DataFrame:
+        found = annotate(rows, _text_evidence(lambda: tables.value),
+                         "text_evidence array<double>, grams long, fits boolean")
+        return found.select("row.*", "text_evidence", "grams", "fits")
+
+    # counts need the label and the other evidence of each row, not the row: texts are scored again at the end
+    thin = scored_rows(given.select("text", "declared", "suffix", "host"))
     by_text = F.array_position("text_evidence", F.array_max("text_evidence")).cast("int") - 1
     by_name = F.array_position(F.array(*[F.lit(x) for x in known]), F.col("declared")).cast("int") - 1
-    scored = keep(scored.withColumn("label", F.when(F.col("grams") > 0, by_text).otherwise(by_name))
-                  .withColumn("domain", host_domain(F.col("host"))), "text-evidence")
+    scored = keep(thin.select("declared", "suffix", "host", F.when(F.col("grams") > 0, by_text).otherwise(by_name)
+                              .alias("label"), host_domain(F.col("host")).alias("domain")), "labels")
 
-    # the row itself is not read for these counts
     counts = {r["label"]: float(r["n"]) for r in scored.where(F.col("label").isNotNull()).groupBy("label")
               .agg(F.count(F.lit(1)).alias("n")).collect()}
     totals = [counts.get(k, 0.0) for k in range(len(known))]
-    fused = scored
+    fused = scored_rows(given).drop("text")
     evidence = ["text_evidence"]
     for value in ("declared", "suffix"):
         fused = fused.join(_per_value(scored, value, known, totals), value, "left")

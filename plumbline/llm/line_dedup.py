@@ -26,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from plumbline.llm.common import U64, byte_table, keep, mix, ngrams, row_of_word, signed, word_blocks
+from plumbline.llm.common import U64, byte_table, keep, mix, ngrams, release, signed, word_blocks
 
 ROLL = 2
 DIVISOR = 4
@@ -122,6 +122,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                                    "d1 long, d2 long"), "chunks")
     repeated = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = keep(chunks.join(repeated, ["d1", "d2"], "left_semi"), "repeated-chunks")
+    release(docs.sparkSession, chunks)
 
     # the bytes of repeated chunks; a document's own chunks are bounded by its length
     mine = found.groupBy("doc_id", "h").agg(F.collect_set(F.struct("no", "start", "size")).alias("chunks"))
@@ -133,6 +134,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                                                          F.col("c.size").cast("int")).alias("piece")))
     firsts = keep(pieces.groupBy("piece").agg(F.min(F.struct("doc_id", "h", "no")).alias("first")).select("first.*"),
                   "first-chunks")
+    release(docs.sparkSession)
     is_first = (F.col("f.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("f.h") == F.col("p.h"))
                 & (F.col("f.no") == F.col("p.no")))
     removed = (found.alias("f").join(firsts.alias("p"), is_first, "left_anti")
