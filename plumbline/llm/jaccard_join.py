@@ -4,15 +4,16 @@ A document's set holds its distinct ``k``-word shingles (A-Z folded; fewer words
 with J >= num/den differ in at most ``(den - num) (a + b) / (den + num)`` shingles, a and b their sizes.  Each shingle
 toggles one bit of a sketch, so the Hamming distance of two sketches is a lower bound of the symmetric difference.
 Sizes fall into bands (a linked partner is in the same or a neighbouring band).  For each band the sketch has one
-part more than sets of that band may differ in, so linked sets agree in a whole part (pigeonhole): parts are the join
-keys.  Parts without shingles are keys only for sets that fill no more parts than they may differ in, which loses no
-link, because a partner that agrees with such a set in empty parts alone is such a set itself.
+part more than sets of that band may differ in (and some to spare), so linked sets agree in a whole part (pigeonhole):
+filled parts are the join keys.  A set that fills no more parts than it may differ in could agree with a partner in empty
+parts alone; that partner then is such a set too, so both also give the keys of another division into parts, and so on,
+``ATTEMPTS`` times, the last time with empty parts as keys.  No link is lost, and hardly a set comes that far.
 
 Candidates are never all pairs of a key's group:
 
 1. equal sets are one node; keys held by one node only go (counted on 44-bit digests, partial counts in every task);
-2. every node meets the least node of each of its keys; a folded 512-bit sketch drops pairs whose Hamming distance
-   already exceeds the bound, the rest are verified on their shingle sets; components follow from the links;
+2. every node is compared with the least nodes of its keys by folded 512-bit sketches, whose Hamming distance must
+   not exceed the bound, and the nearest is verified on the shingle sets; components follow from the links;
 3. only keys whose nodes lie in more than one component are joined with themselves, and only pairs of different
    components that pass the sketch bound leave that join; they are verified and joined in.
 
@@ -26,6 +27,8 @@ least non-null id of the component, or null.  An empty table gives no rows.  Oth
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.common import (
-    SPACES, U64, WordBlock, byte_table, components, keep, mix, ngrams, signed, word_blocks,
+    SPACES, U64, WordBlock, byte_table, components, keep, mix, ngrams, release, signed, word_blocks,
 )
 
 SHINGLE = 5
 THRESHOLD = (80, 100)
 FOLDED_WORDS = 8
+WIDE_WORDS = 64
 PART_WORDS = 4
+ATTEMPTS = 6
 _LEVEL, _PART, _FOLD = 0xA24BAED4963EE407, U64(0x9FB21C651E98DF25), U64(0x3C79AC492BA7B653)
 SEEN_IN_TASK = 200_000
 
@@ -76,34 +81,67 @@ def node_id(shingles: np.ndarray) -> int:
     return int(signed(mix(total[:1] + mix(total[1:2] * _FOLD + total[2:])))[0])
 
 
-def folded_sketch(shingles: np.ndarray) -> np.ndarray:
-    bits = np.zeros(FOLDED_WORDS, np.uint64)
+def folded_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
+    """Parity sketch of the whole set in ``words`` (a power of two) times 64 bits."""
+    bits = np.zeros(words, np.uint64)
     spread = mix(shingles ^ _FOLD)
-    np.bitwise_xor.at(bits, (spread >> U64(61)).astype(np.int64), U64(1) << (spread & U64(63)))
+    np.bitwise_xor.at(bits, ((spread >> U64(32)) % U64(words)).astype(np.int64), U64(1) << (spread & U64(63)))
     return signed(bits)
 
 
-def part_keys(shingles: np.ndarray, threshold: tuple[int, int], tops: list[int]) -> np.ndarray:
-    """Join keys of a set: one per part of its sketch, for its own band and the next one."""
+@functools.cache
+def part_count(threshold: tuple[int, int], level: int) -> tuple[int, int]:
+    """(differences linked sets of this level may have, parts): the number of parts that makes fewest keys in all."""
     num, den = threshold
+    tops = band_tops_to(threshold, level)
+    differ = (den - num) * 2 * tops[level] // (den + num)
+    below = [0, 0, *tops]
+    sizes = [(below[level] + below[level + 1]) / 2, (below[level + 1] + below[level + 2]) / 2]  # of both bands that meet here
+    best = (math.inf, 0)
+    for parts in range(differ + 1, differ + differ // 2 + 3):
+        cost = 0.0
+        for size in sizes:
+            mean = parts * math.exp(-size / parts)  # empty parts, about Poisson
+            term = enough = math.exp(-mean)
+            for i in range(1, parts - differ):
+                term *= mean / i
+                enough += term
+            cost += parts / max(enough, 1e-3)
+        best = min(best, (cost, parts))
+    return differ, best[1]
+
+
+def band_tops_to(threshold: tuple[int, int], level: int) -> list[int]:
+    most, tops = 1, band_tops(threshold, 1)
+    while len(tops) <= level:
+        most *= 2
+        tops = band_tops(threshold, most)
+    return tops
+
+
+def part_keys(shingles: np.ndarray, threshold: tuple[int, int], tops: list[int]) -> np.ndarray:
+    """Join keys of a set: one per filled part of its sketch, for its own band and the next one."""
     band = int(np.searchsorted(tops, len(shingles)))
     keys = []
     for level in (band, band + 1):
-        differ = (den - num) * 2 * tops[level] // (den + num)
-        parts = differ + 1
-        seed = U64(_LEVEL * (level + 1) % 2**64)
-        spread = mix(shingles ^ seed)
-        part = ((spread >> U64(32)) * U64(parts)) >> U64(32)
-        sketch = np.zeros(parts * PART_WORDS, np.uint64)
-        slot = (part * U64(PART_WORDS) + (spread & U64(PART_WORDS - 1))).astype(np.int64)
-        np.bitwise_xor.at(sketch, slot, U64(1) << ((spread >> U64(8)) & U64(63)))
-        filled = np.bincount(part.astype(np.int64), minlength=parts) > 0
-        at = np.flatnonzero(filled) if filled.sum() > differ else np.arange(parts)
-        words = sketch.reshape(parts, PART_WORDS)[at]
-        key = mix(at.astype(np.uint64) * _PART + seed)
-        for j in range(PART_WORDS):
-            key = mix(key + words[:, j])
-        keys.append(key)
+        differ, parts = part_count(threshold, level)
+        for attempt in range(ATTEMPTS):
+            seed = U64(_LEVEL * ((level + 1) * ATTEMPTS + attempt) % 2**64)
+            spread = mix(shingles ^ seed)
+            part = ((spread >> U64(32)) * U64(parts)) >> U64(32)
+            sketch = np.zeros(parts * PART_WORDS, np.uint64)
+            slot = (part * U64(PART_WORDS) + (spread & U64(PART_WORDS - 1))).astype(np.int64)
+            np.bitwise_xor.at(sketch, slot, U64(1) << ((spread >> U64(8)) & U64(63)))
+            filled = np.bincount(part.astype(np.int64), minlength=parts) > 0
+            enough = int(filled.sum()) > differ
+            at = np.arange(parts) if attempt == ATTEMPTS - 1 and not enough else np.flatnonzero(filled)
+            words = sketch.reshape(parts, PART_WORDS)[at]
+            key = mix(at.astype(np.uint64) * _PART + seed)
+            for j in range(PART_WORDS):
+                key = mix(key + words[:, j])
+            keys.append(key)
+            if enough:
+                break
     return np.concatenate(keys)
 
 
@@ -117,7 +155,7 @@ def _nodes(k: int) -> Callable:
                 for shingles in shingle_sets(block, k):
                     size.append(len(shingles))
                     node.append(node_id(shingles) if len(shingles) else None)
-                    sketch.append(folded_sketch(shingles))
+                    sketch.append(folded_sketch(shingles, FOLDED_WORDS))
             flat = np.concatenate(sketch) if sketch else np.empty(0, np.int64)
             yield pa.record_batch({
                 "doc_id": batch.column("doc_id"), "h": batch.column("h"), "n_shingles": pa.array(size, pa.int64()),
@@ -154,12 +192,17 @@ def _keys(k: int, threshold: tuple[int, int]) -> Callable:
 
 def _sets(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = byte_table(SPACES, fold_case=True)
+        table, seen = byte_table(SPACES, fold_case=True), set()
         for batch in batches:
             for block in word_blocks(batch.column("text"), table):
-                yield pa.record_batch({
-                    "node": batch.column("node").slice(block.row0, block.row1 - block.row0),
-                    "shingles": pa.array([x.tobytes() for x in shingle_sets(block, k)], pa.binary())})
+                nodes = batch.column("node").slice(block.row0, block.row1 - block.row0).to_pylist()
+                new = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]  # rows may repeat
+                sets = shingle_sets(block, k)
+                yield pa.record_batch({"node": pa.array([nodes[i] for i in new], pa.int64()),
+                                       "n": pa.array([len(sets[i]) for i in new], pa.int64()),
+                                       "wide": pa.array([folded_sketch(sets[i], WIDE_WORDS) for i in new],
+                                                        pa.list_(pa.int64())),
+                                       "shingles": pa.array([sets[i].tobytes() for i in new], pa.binary())})
     return run
 
 
@@ -178,12 +221,16 @@ def _verify(threshold: tuple[int, int]) -> Callable:
 
 
 # --- join ----------------------------------------------------------------------------------------
+def _distance(sa: Column, sb: Column) -> Column:
+    """Hamming distance of two folded sketches."""
+    return F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
 def _may_link(na: Column, nb: Column, sa: Column, sb: Column, threshold: tuple[int, int]) -> Column:
     """Size ratio and Hamming distance of the folded sketches allow a link."""
     num, den = threshold
-    distance = sum((F.bit_count(sa[i].bitwiseXOR(sb[i])) for i in range(FOLDED_WORDS)), F.lit(0))
     return ((den * F.least(na, nb) >= num * F.greatest(na, nb))
-            & (distance * (den + num) <= (den - num) * (na + nb)))
+            & (_distance(sa, sb) * (den + num) <= (den - num) * (na + nb)))
 
 
 def _verified(pairs: DataFrame, thin: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
@@ -193,7 +240,13 @@ def _verified(pairs: DataFrame, thin: DataFrame, texts: DataFrame, k: int, thres
               .groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("node", "r.doc_id", "r.h"))
     same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.h") == F.col("c.h"))
     sets = keep(texts.alias("t").join(chosen.alias("c"), same).select("c.node", "t.text")
-                .mapInArrow(_sets(k), "node long, shingles binary").dropDuplicates(["node"]), "shingle-sets")
+                .mapInArrow(_sets(k), "node long, n long, wide array<bigint>, shingles binary"), "shingle-sets")
+    release(texts.sparkSession)
+    # a wider sketch keeps the sets of unlike pairs at home
+    left, right = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"k{x}")) for x in "ab")
+    pairs = keep(pairs.join(left, "a").join(right, "b").where(
+        _may_link(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), threshold)).select("a", "b"), "likely-pairs")
+    release(texts.sparkSession)
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(
         _verify(threshold), "a long, b long")
@@ -214,9 +267,13 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
 
     keys = texts.mapInArrow(_keys(k, threshold), "key long, node long")
     short = F.col("key").bitwiseAND((1 << 44) - 1)
-    common = keys.groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("short")
+    common = keep(keys.groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("short"),
+                  "repeated-keys")
+    spark = docs.sparkSession
+    release(spark)
     shared = keep(keys.join(common, short == F.col("short"), "left_semi").groupBy("key", "node").agg(F.lit(1))
                   .select("key", "node"), "shared-keys")
+    release(spark, common)
     leaders = shared.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where(
         "leader <> last").select("key", "leader")
     star = (shared.join(leaders, "key").where("node <> leader")
@@ -225,9 +282,12 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
     facts = nodes.select("node", "n", "sketch")
     both = star.join(facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
     both = both.join(facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
-    close = keep(both.where(_may_link(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), threshold)).select("a", "b"),
-                 "star-pairs")
+    near = both.where(_may_link(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), threshold))
+    score = F.struct(_distance(F.col("ka"), F.col("kb")) / (F.col("na") + F.col("nb")), "a")
+    close = keep(near.groupBy("b").agg(F.min_by("a", score).alias("a")).select("a", "b"), "star-pairs")
+    release(spark)
     links = keep(_verified(close, thin, texts, k, threshold), "star-links")
+    release(spark)
     label = components(links)
 
     labelled = shared.join(label.select("node", "component"), "node", "left").withColumn(
@@ -241,13 +301,17 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
                        & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), threshold))
                 .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.lit(1)).select("a", "b"))
     crossing = keep(crossing.join(close, ["a", "b"], "left_anti"), "crossing-pairs")
+    release(spark, shared, members, close)
     if not crossing.isEmpty():
-        label = components(links.unionByName(_verified(crossing, thin, texts, k, threshold)))
+        more = keep(_verified(crossing, thin, texts, k, threshold), "crossing-links")
+        release(spark)
+        label = components(links.unionByName(more))
 
     owner = nodes.select("node", "doc_id").join(label, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
     least = owner.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     owner = keep(owner.join(least, "component").select("node", "component_id"), "owners")
+    release(spark, nodes)
     linked = thin.join(owner, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return linked.select("doc_id", "h", "n_shingles", "node", own.alias("component_id"))
