@@ -1,10 +1,14 @@
 """Line deduplication with content-defined chunks of lines.
 
-Every non-empty line is hashed; a rolling hash over the last ``ROLL`` line hashes ends a chunk where it is a multiple
-of ``DIVISOR`` (after at least ``MIN_LINES`` lines, at the latest after ``MAX_LINES``).  Boundaries depend on nearby
-lines only, so they fall at the same lines of a passage wherever it stands.  Chunks of two or more lines that occur
-again anywhere, in the same or another document, are removed but for the first occurrence (least doc_id, then text
-hash, then position), after their bytes were compared.  Single lines are never removed.
+Every non-empty line is hashed.  The chunks are all runs of ``WIDTH`` neighbouring lines of a text, one beginning at
+every line, so that whether a passage is found does not depend on what stands around it: the repeated chunks of a
+repeated run of lines overlap and cover the whole run.  Chunks that occur again anywhere, in the same or another
+document, are removed but for the first occurrence (least doc_id, then text hash, then position), after their bytes
+were compared.  Single lines are never removed, and the first occurrence of every line stays.
+
+With ``width=None`` chunks do not overlap: a rolling hash over the last ``ROLL`` line hashes ends a chunk where it is
+a multiple of ``DIVISOR`` (after at least ``MIN_LINES`` lines, at the latest after ``MAX_LINES``).  This has fewer
+chunks but loses most short passages, as only chunks lying wholly inside a passage match; no query uses it.
 
 Thin rows (digest and place of each chunk) are counted first; only documents holding a repeated digest send those
 chunks' bytes, which are grouped by the bytes themselves, so a hash collision removes nothing.  Partial aggregation
@@ -26,8 +30,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from plumbline.llm.common import U64, byte_table, keep, mix, ngrams, release, signed, word_blocks
+from plumbline.llm.common import U64, WordBlock, byte_table, keep, mix, ngrams, release, row_of_word, signed, word_blocks
 
+WIDTH = 2
 ROLL = 2
 DIVISOR = 4
 MIN_LINES = 2
@@ -50,31 +55,43 @@ def chunk_bounds(lines: np.ndarray, roll: int = ROLL, divisor: int = DIVISOR, le
     return bounds
 
 
-def _chunks(**rule: int) -> Callable:
+def _runs(block: WordBlock, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First line and number of lines of every run of ``width`` lines within a row."""
+    row = row_of_word(block)
+    first = np.flatnonzero(row[width - 1:] == row[:len(row) - width + 1]) if len(row) >= width else np.empty(0, np.int64)
+    return first, np.full(len(first), width)
+
+
+def _parts(block: WordBlock, rule: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the chunks between boundaries."""
+    out = []
+    for first, last in zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True):
+        bounds = chunk_bounds(block.hash[first:last], **rule)
+        out += [(first + a, b - a) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1]
+    return tuple(np.array(out, np.int64).reshape(-1, 2).T)
+
+
+def _chunks(width: int | None, **rule: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = byte_table(b"\n", fold_case=False)
         for batch in batches:
             for block in word_blocks(batch.column("text"), table):
-                out: list[tuple] = []
-                for r in range(block.row1 - block.row0):
-                    first, last = int(block.first[r]), int(block.first[r + 1])
-                    lines = block.hash[first:last]
-                    bounds = chunk_bounds(lines, **rule)
-                    for no, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                        if b - a > 1:
-                            start = int(block.start[first + a] - block.text[r])
-                            size = int(block.end[first + b - 1] - block.text[r]) - start
-                            inner = ngrams(lines[a:b], b - a)
-                            d = mix(np.concatenate([inner + U64(b - a), inner ^ mix(lines[a:a + 1])]))
-                            out.append((block.row0 + r, no, start, size, b - a, *signed(d).tolist()))
-                if out:
-                    row, no, start, size, n, d1, d2 = zip(*out, strict=True)
-                    take = pa.array(row, pa.int64())
-                    yield pa.record_batch({
-                        "doc_id": batch.column("doc_id").take(take), "h": batch.column("h").take(take),
-                        "no": pa.array(no, pa.int32()), "start": pa.array(start, pa.int64()),
-                        "size": pa.array(size, pa.int64()), "lines": pa.array(n, pa.int32()),
-                        "d1": pa.array(d1, pa.int64()), "d2": pa.array(d2, pa.int64())})
+                at, n = _runs(block, width) if width else _parts(block, rule)
+                if not len(at):
+                    continue
+                inner = np.empty(len(at), np.uint64)
+                for k in np.unique(n).tolist():
+                    inner[n == k] = ngrams(block.hash, k)[at[n == k]]
+                row = row_of_word(block)[at]
+                take = pa.array(block.row0 + row, pa.int64())
+                yield pa.record_batch({
+                    "doc_id": batch.column("doc_id").take(take), "h": batch.column("h").take(take),
+                    "no": pa.array(at - block.first[row], pa.int32()),
+                    "start": pa.array(block.start[at] - block.text[row], pa.int64()),
+                    "size": pa.array(block.end[at + n - 1] - block.start[at], pa.int64()),
+                    "lines": pa.array(n, pa.int32()),
+                    "d1": pa.array(signed(mix(inner + n.astype(np.uint64)))),
+                    "d2": pa.array(signed(mix(inner ^ mix(block.hash[at]))))})
     return run
 
 
@@ -90,7 +107,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = []
             for i in changed.tolist():
                 spans = cuts[i].as_py()
-                removed[i] = sum(x["lines"] for x in spans)
+                removed[i] = len({no for x in spans for no in range(x["no"], x["no"] + x["lines"])})
                 new.append(cut_text(texts[i].as_py().encode(), [(x["start"], x["size"]) for x in spans]).decode())
             mask = np.zeros(len(texts), bool)
             mask[changed] = True
@@ -100,7 +117,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def cut_text(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """``text`` without the spans (start, size) and one line end behind each; at the text's end the one before it."""
+    """``text`` without the spans (start, size) and one line end behind each; at the text's end the one before it.
+
+    Spans may overlap; of two, the one that begins later also ends later.
+    """
     out, at = [], 0
     for start, size in sorted(spans):
         out.append(text[at:start])
@@ -112,14 +132,15 @@ def cut_text(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return kept[:-1] if at >= len(text) and not text.endswith(b"\n") and kept.endswith(b"\n") else kept
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rule: int) -> DataFrame:
-    """row, kept_text, n_lines, n_removed_lines of every row of ``docs``."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                width: int | None = WIDTH, **rule: int) -> DataFrame:
+    """row, kept_text, n_lines, n_removed_lines of every row of ``docs``; ``rule`` is that of ``chunk_bounds``."""
     boxed = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"),
                         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     boxed = boxed.withColumn("h", F.xxhash64("text"))
     thin = boxed.select("doc_id", "h", "text")
-    chunks = keep(thin.mapInArrow(_chunks(**rule), "doc_id long, h long, no int, start long, size long, lines int, "
-                                                   "d1 long, d2 long"), "chunks")
+    chunks = keep(thin.mapInArrow(_chunks(width, **rule), "doc_id long, h long, no int, start long, size long, "
+                                                          "lines int, d1 long, d2 long"), "chunks")
     repeated = chunks.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = keep(chunks.join(repeated, ["d1", "d2"], "left_semi"), "repeated-chunks")
     release(docs.sparkSession, chunks)
@@ -138,15 +159,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is_first = (F.col("f.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("f.h") == F.col("p.h"))
                 & (F.col("f.no") == F.col("p.no")))
     removed = (found.alias("f").join(firsts.alias("p"), is_first, "left_anti")
-               .groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "size", "lines")).alias("cuts")))
+               .groupBy("doc_id", "h").agg(F.collect_set(F.struct("no", "start", "size", "lines")).alias("cuts")))
     merged = (boxed.alias("t").join(removed.alias("c"), same, "left").select("t.row", "t.text", "c.cuts"))
     schema = StructType([boxed.schema["row"], StructField("kept_text", StringType()), StructField("n_lines", LongType()),
                          StructField("n_removed_lines", LongType())])
     return merged.mapInArrow(_cut, schema)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """op3: doc_id, n_lines, n_removed_lines, kept_sha256 (of the kept text; of the empty text for null)."""
-    return dedup_lines(docs.select("doc_id", "text")).select(
+def line_table(docs: DataFrame, width: int | None = None) -> DataFrame:
+    """doc_id, n_lines, n_removed_lines, kept_sha256 (of the kept text; of the empty text for null).
+
+    op3 and the pipeline remove runs of ``WIDTH`` lines; without a width only chunks between boundaries go.
+    """
+    return dedup_lines(docs.select("doc_id", "text"), width=width).select(
         "row.doc_id", "n_lines", "n_removed_lines",
         F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))

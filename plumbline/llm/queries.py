@@ -34,7 +34,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op3_content_defined_line_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.line_table(read_table(spark, folder, "documents"))
+    return line_dedup.line_table(read_table(spark, folder, "documents"), line_dedup.WIDTH)
 
 
 @query("op4_parity_sketch_join")
