@@ -4,11 +4,12 @@ Every non-empty line is hashed.  The chunks are all runs of ``WIDTH`` neighbouri
 every line, so that whether a passage is found does not depend on what stands around it: the repeated chunks of a
 repeated run of lines overlap and cover the whole run.  Chunks that occur again anywhere, in the same or another
 document, are removed but for the first occurrence (least doc_id, then text hash, then position), after their bytes
-were compared.  Single lines are never removed, and the first occurrence of every line stays.
+were compared.  A text of one line is a chunk of its own, met by other such texts only, so that exact copies always
+go whole; other single lines are never removed, and the first occurrence of every line stays.
 
 With ``width=None`` chunks do not overlap: a rolling hash over the last ``ROLL`` line hashes ends a chunk where it is
-a multiple of ``DIVISOR`` (after at least ``MIN_LINES`` lines, at the latest after ``MAX_LINES``).  This has fewer
-chunks but loses most short passages, as only chunks lying wholly inside a passage match; no query uses it.
+a multiple of ``DIVISOR`` (after at least ``MIN_LINES`` lines, at the latest after ``MAX_LINES``); a last line left
+alone joins the chunk before it.  This has fewer chunks but loses most short passages, as only chunks lying wholly inside a passage match; no query uses it.
 
 Thin rows (digest and place of each chunk) are counted first; only documents holding a repeated digest send those
 chunks' bytes, which are grouped by the bytes themselves, so a hash collision removes nothing.  Partial aggregation
@@ -52,14 +53,17 @@ def chunk_bounds(lines: np.ndarray, roll: int = ROLL, divisor: int = DIVISOR, le
         nearest = int(np.searchsorted(ends, at + least))
         at = min(n, at + most, int(ends[nearest]) if nearest < len(ends) else n)
         bounds.append(at)
+    if len(bounds) > 2 and bounds[-1] - bounds[-2] == 1:  # a last line alone belongs to the chunk before it
+        del bounds[-2]
     return bounds
 
 
 def _runs(block: WordBlock, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """First line and number of lines of every run of ``width`` lines within a row."""
-    row = row_of_word(block)
+    """First line and number of lines of every run of ``width`` lines within a row; a shorter text is one run."""
+    row, n = row_of_word(block), np.diff(block.first)
     first = np.flatnonzero(row[width - 1:] == row[:len(row) - width + 1]) if len(row) >= width else np.empty(0, np.int64)
-    return first, np.full(len(first), width)
+    short = (n > 0) & (n < width)
+    return np.append(first, block.first[:-1][short]), np.append(np.full(len(first), width), n[short])
 
 
 def _parts(block: WordBlock, rule: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -67,7 +71,8 @@ def _parts(block: WordBlock, rule: dict[str, int]) -> tuple[np.ndarray, np.ndarr
     out = []
     for first, last in zip(block.first[:-1].tolist(), block.first[1:].tolist(), strict=True):
         bounds = chunk_bounds(block.hash[first:last], **rule)
-        out += [(first + a, b - a) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > 1]
+        out += [(first + a, b - a) for a, b in zip(bounds, bounds[1:], strict=False)
+                if b - a > 1 or last - first == 1]
     return tuple(np.array(out, np.int64).reshape(-1, 2).T)
 
 
@@ -160,7 +165,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 & (F.col("f.no") == F.col("p.no")))
     removed = (found.alias("f").join(firsts.alias("p"), is_first, "left_anti")
                .groupBy("doc_id", "h").agg(F.collect_set(F.struct("no", "start", "size", "lines")).alias("cuts")))
-    merged = (boxed.alias("t").join(removed.alias("c"), same, "left").select("t.row", "t.text", "c.cuts"))
+    # the text travels once, inside the row
+    merged = (boxed.select("row", "doc_id", "h").alias("t").join(removed.alias("c"), same, "left")
+              .select("t.row", F.col("t.row").getField(text_col).cast("string").alias("text"), "c.cuts"))
     schema = StructType([boxed.schema["row"], StructField("kept_text", StringType()), StructField("n_lines", LongType()),
                          StructField("n_removed_lines", LongType())])
     return merged.mapInArrow(_cut, schema)

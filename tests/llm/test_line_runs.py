@@ -4,8 +4,10 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
+import corpus_pipeline
 from plumbline.llm import line_dedup
 from plumbline.llm.common import import_path
 
@@ -69,3 +71,29 @@ def test_no_line_is_lost(spark):
             assert rows[i]["kept_text"] == "\n".join(x for no, x in enumerate(texts[i].split("\n")) if no not in gone)
     kept = collections.Counter(x for r in rows.values() for x in r["kept_text"].split("\n"))
     assert set("abcdef") <= set(kept)
+
+
+def test_no_chunk_of_one_line_is_left():
+    rnd = np.random.default_rng(3)
+    for n in range(1, 60):
+        bounds = line_dedup.chunk_bounds(rnd.integers(0, 2**63, n, dtype=np.uint64))
+        assert (bounds[0], bounds[-1]) == (0, n) and (n == 1 or np.diff(bounds).min() >= 2)
+
+
+@pytest.mark.parametrize("width", [line_dedup.WIDTH, None])
+def test_exact_copies_go_whole(spark, tmp_path, width):
+    rnd, texts, group = random.Random(2), [], {}
+    for size in range(1, 11):
+        for _ in range(6):
+            text = "\n".join(foreign(rnd, size))
+            for _ in range(3):
+                group[len(texts)] = text
+                texts.append((len(texts), text, "en", "src", len(text)))
+    import_path(spark)
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    first = {text: min(i for i, t in group.items() if t == text) for text in group.values()}
+    rows = {r["row"]["doc_id"]: r for r in line_dedup.dedup_lines(docs, width=width).collect()}
+    for i, text in group.items():
+        assert rows[i]["kept_text"] == (text if first[text] == i else ""), i
+    if width:
+        assert sorted(r["doc_id"] for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()) == sorted(first.values())
