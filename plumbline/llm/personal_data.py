@@ -3,14 +3,17 @@
 Base spans (email, ip, card, phone) come from fixed patterns over whole texts; counts and ``base`` cover only those.
 The method then looks for further identifiers:
 
-* occurrences: base spans, and tokens that look like identifiers (``MIN_LENGTH`` characters, ``MIN_DIGITS`` digits)
-  and overlap no base span.  Each has two lexical patterns: the cue to its left (``word=``, ``word = "`` or the word
-  before) and its shape (runs of digits, hex, capitals ... with their lengths);
+* occurrences that overlap no base span: whole values behind a cue with ``=`` or ``:`` (up to the closing quote, or to
+  the next blank or ``&name=`` without closing punctuation) of any characters, and tokens without such a cue that look
+  like identifiers (``MIN_LENGTH`` characters, ``MIN_DIGITS`` digits).  Each has two lexical patterns: the cue to its
+  left (``word=``, ``word = "`` or the word before) and its shape (runs of digits, hex, capitals ... with their
+  lengths).  Values that do not look like identifiers have no shape, as equal words without a cue are not counted;
+  values above ``MAX_VALUE`` characters are no values, so that nested cues of one long run cost bounded time;
 * seeds: base spans, tokens of a seed shape, and the seed cues, which start with full confidence;
 * the graph of patterns and instances (distinct strings) is scored in ``ROUNDS`` rounds by grouped sums: a pattern's
   confidence is its instances' mean score, smoothed so that a few instances prove nothing; an instance's score is
   the chance that at least one of its patterns is right; seeds keep theirs;
-* occurrences with a pattern of at least ``MIN_CONFIDENCE`` are added as ``secret`` spans.
+* occurrences with a pattern of at least ``MIN_CONFIDENCE`` are added as ``secret`` spans, but for those inside another.
 
 Edges are aggregated before each shuffle and the graph is never collected.  Offsets are code points, ends exclusive;
 spans are ordered by start, then kind.  Null and empty texts have no spans.  Rows that repeat are separate documents
@@ -24,7 +27,7 @@ import re
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.llm.common import annotate, keep
 
@@ -36,6 +39,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 MIN_LENGTH = 8
 MIN_DIGITS = 3
+MAX_VALUE = 4096
 ROUNDS = 3
 SMOOTHING = 3.0
 MIN_CONFIDENCE = 0.6
@@ -45,6 +49,9 @@ SEED_SHAPES = re.compile(r"AKIA[0-9A-Z]{16}")
 _DIGIT = re.compile(r"[0-9]")
 _CANDIDATE = re.compile(r"[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*")
 _CUE = re.compile(r"([A-Za-z_]{2,30})\s{0,2}[=:]\s{0,2}[\"']?\Z")
+_MARK = re.compile(r"[=:]\s{0,2}")
+_QUOTED = re.compile(r"\"([^\"\n]{1,%d})\"|'([^'\n]{1,%d})'" % (MAX_VALUE, MAX_VALUE))
+_PLAIN = re.compile(r"[\"']?((?:(?![&,;][A-Za-z_]{2,30}[=:]|[\"'](?:[\s>,;)}\]]|\Z))\S){1,%d})" % (MAX_VALUE + 1))
 _WORD_BEFORE = re.compile(r"([^\s]{1,30})\s\Z")
 _RUNS = re.compile(r"[0-9]+|[a-z]+|[A-Z]+|.", re.S)
 FIELDS = ("base array<struct<kind:string,start:int,end:int>>, "
@@ -101,18 +108,40 @@ def cue(text: str, start: int) -> str:
     return ""
 
 
+def _identifier_like(token: str) -> bool:
+    return len(token) >= MIN_LENGTH and len(_digits(token)) >= MIN_DIGITS and _CANDIDATE.fullmatch(token) is not None
+
+
+def values(text: str) -> list[tuple[int, int]]:
+    """Places of the whole values behind cues with ``=`` or ``:``, by start."""
+    out = []
+    for mark in _MARK.finditer(text):
+        if m := _QUOTED.match(text, mark.end()):
+            a, b = m.span(m.lastindex)
+        elif m := _PLAIN.match(text, mark.end()):
+            a, b = m.start(1), m.start(1) + len(m[1].rstrip(".,;:)]}>\"'"))
+        else:
+            continue
+        if a < b <= a + MAX_VALUE and cue(text, a).endswith("="):
+            out.append((a, b))
+    return out
+
+
 def occurrences(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
-    """Base spans and identifier-like tokens beside them, with patterns and seed scores."""
+    """Base spans, values behind cues and identifier-like tokens beside them, with patterns and seed scores."""
     out = [{"start": a, "end": b, "instance": text[a:b], "cue": cue(text, a), "shape": shape(text[a:b]),
             "seed": 1.0, "base": True} for _, a, b in base]
+    taken = sorted((a, b) for _, a, b in base)
+    places = [(a, b) for a, b in values(text) if not any(x < b and a < y for x, y in taken)]
+    begun = {a for a, _ in places}
     if _DIGIT.search(text):
-        taken = sorted((a, b) for _, a, b in base)
-        for m in _CANDIDATE.finditer(text):
-            a, b = m.span()
-            if b - a < MIN_LENGTH or len(_digits(m[0])) < MIN_DIGITS or any(x < b and a < y for x, y in taken):
-                continue
-            out.append({"start": a, "end": b, "instance": m[0], "cue": cue(text, a), "shape": shape(m[0]),
-                        "seed": 1.0 if SEED_SHAPES.fullmatch(m[0]) else 0.0, "base": False})
+        places += [m.span() for m in _CANDIDATE.finditer(text) if m.start() not in begun and _identifier_like(m[0])
+                   and not any(x < m.end() and m.start() < y for x, y in taken)]
+    for a, b in sorted(places):
+        token = text[a:b]
+        known = _identifier_like(token)
+        out.append({"start": a, "end": b, "instance": token, "cue": cue(text, a), "shape": shape(token) if known else "",
+                    "seed": 1.0 if SEED_SHAPES.fullmatch(token) else 0.0, "base": False})
     return out
 
 
@@ -140,7 +169,7 @@ def confident_patterns(seen: DataFrame, rounds: int = ROUNDS, smoothing: float =
     """pattern, confidence from occurrences (instance, cue, shape, seed)."""
     edges = seen.select("instance", "seed", F.explode(F.array(
         F.concat(F.lit("cue:"), "cue"), F.concat(F.lit("shape:"), "shape"))).alias("pattern"))
-    edges = keep(edges.where("pattern <> 'cue:'").groupBy("instance", "pattern").agg(F.max("seed").alias("seed")), "edges")
+    edges = keep(edges.where("pattern NOT IN ('cue:', 'shape:')").groupBy("instance", "pattern").agg(F.max("seed").alias("seed")), "edges")
     given = F.col("pattern").isin(*[f"cue:{x}=" for x in SEED_CUES])
     score = edges.groupBy("instance").agg(F.max("seed").alias("score"))
     for _ in range(rounds):
@@ -166,7 +195,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text", id_cols: list[st
     patterns = keep(patterns, "confident-patterns")
     new = seen.where("NOT base").select("uid", "start", "end", F.explode(F.array(
         F.concat(F.lit("cue:"), "cue"), F.concat(F.lit("shape:"), "shape"))).alias("pattern"))
-    added = (new.join(patterns, "pattern", "left_semi").groupBy("uid")
+    added = new.join(patterns, "pattern", "left_semi").select("uid", "start", "end").distinct()
+    before = Window.partitionBy("uid").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    added = (added.withColumn("reached", F.max("end").over(before)).where("reached IS NULL OR reached < end").groupBy("uid")
              .agg(F.collect_set(F.struct(F.lit("secret").alias("kind"), "start", "end")).alias("added")))
     merged = found.join(added, "uid", "left").withColumn(
         "all", F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,end:int>>"))))
