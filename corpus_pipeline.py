@@ -4,7 +4,7 @@ Every stage takes all rows its predecessor kept and returns the columns of ``doc
 packed pieces.  Decisions:
 
 1. language identification: rows without an accepted language go (declared language and source are evidence);
-2. line dedup: repeated multi-line chunks go from the texts; a row that loses its last word goes too;
+2. line dedup: repeated runs of lines and repeated one-line texts go; a row that loses its last word goes too;
 3. Jaccard join (five-word shingles, 0.8): one row of each component stays;
 4. benchmark decontamination: rows with a hit go;
 5. best-fit packing into sequences of 2048 tokens.
