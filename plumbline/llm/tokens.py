@@ -19,6 +19,8 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z").match
 #: A full stop or comma between a letter and white space always is a piece of its own.
 _STOPS = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D])").sub
 _SPECIAL = b"<|"
+#: The tokenizer composes characters before it folds case, so a capital and a mark behind it may stay apart.
+_MARKED_CAPITAL = re.compile(rb"[A-Z][\x80-\xff]").search
 
 
 _LETTERS = b"abcdefghijklmnopqrstuvwxyz,. \n"
@@ -26,8 +28,11 @@ _PAIRS = (b"..", b",,", b".,", b",.")
 
 
 def _pieces(text: bytes) -> list[bytes]:
-    """White-space pieces; ASCII capitals are folded as the tokenizer does, unless a special token may be spelt out."""
-    if _SPECIAL in text:
+    """White-space pieces; ASCII capitals are folded as the tokenizer does.
+
+    They stay as they are where a special token may be spelt out or a combining mark may follow one.
+    """
+    if _SPECIAL in text or not text.isascii() and _MARKED_CAPITAL(text):
         return text.split()
     text = text.lower()
     if not text.isascii() or text.translate(None, _LETTERS) or any(x in text for x in _PAIRS):
