@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -32,8 +33,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from plumbline.llm.common import annotate, keep
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A whole run of address characters, with the rest of the address if it is one: one pass over any text.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?")
+#: Whole chains of dotted numbers; every four parts from the left are an address's.
+CHAIN = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -70,15 +73,25 @@ def _digits(text: str) -> str:
     return "".join(_DIGIT.findall(text))
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    for chain in CHAIN.finditer(text):
+        parts = chain[0].split(".")
+        ends = list(accumulate((len(x) + 1 for x in parts), initial=chain.start() - 1))
+        for i in range(0, len(parts) - 3, 4):
+            # the length first: a number may have any number of digits
+            if all(len(x) <= 3 or len(x.lstrip("0")) <= 3 for x in parts[i:i + 4]) and all(
+                    int(x[-3:]) <= 255 for x in parts[i:i + 4]):
+                yield ends[i] + 1, ends[i + 4]
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Leftmost non-overlapping matches of each kind that pass its test, by start, then kind."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *m.span()) for m in EMAIL.finditer(text) if m[1]]
     if _DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in IP.finditer(text)
-                    if all(int(x) <= 255 for x in m[0].split("."))]
+            out += [("ip", a, b) for a, b in _addresses(text)]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 digits = _digits(m[0])
