@@ -42,7 +42,7 @@ _PROBE = "a  ﬁ é Ⅳ\tb "
 class MergeEncoder:
     """str -> ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, model_file: str, remembered: int = 800_000):
+    def __init__(self, model_file: str, remembered: int = 300_000):
         import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
@@ -116,7 +116,7 @@ class MergeEncoder:
         key = (left, right)
         found = self.compatible.get(key)
         if found is None:
-            if len(self.compatible) >= self.remembered:
+            if len(self.compatible) >= self.remembered // 2:
                 self.compatible.clear()
             found = self.compatible[key] = self._stay_apart(left, right)
         return found
