@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import geometry as G, plantext as X, text as T
 from plumbline.operators import geometry as geo, plantext as txt
-from plumbline.operators.graph import cell, spread
+from plumbline.operators.graph import cell, room_faces, spread
+from plumbline.operators.zones import number_text, open_zones
 from plumbline.session import cut
 
 c = F.col
@@ -18,7 +19,9 @@ c = F.col
 #: limit get no rooms of that kind; ``extract_rooms`` gives each such page a status row with the reason.
 MIN_WALLS = 8
 MIN_TABLE_ROWS = 2
-ROOM = ["page_id", "label", "box", "polygon", "width_ft", "height_ft", "area_sqft", "perimeter_ft", "derivation"]
+ROOM = ["page_id", "label", "box", "polygon", "width_ft", "height_ft", "area_sqft", "perimeter_ft", "derivation", "warning"]
+#: Least face area in square points: for labels of a printed table, and for labels measured by geometry alone.
+TABLE_FACE, VECTOR_FACE = 800.0, 1500.0
 
 
 def _tenth(v: Column) -> Column:
@@ -77,7 +80,12 @@ def table_rooms(fragments: DataFrame, faces: DataFrame, scales: DataFrame, plan_
         "_traced", c("face").isNotNull()).withColumn("box", F.when(c("_traced"), c("box")).when(sized, drawn))
     polygon = (F.when(c("_traced"), G.to_page(c("polygon"), c("page_w"), c("page_h"))).when(sized, _box_polygon())
                .otherwise(F.array().cast(G.POINTS)))
-    return out.withColumn("polygon", polygon).select(*ROOM)
+    printed, traced = c("width_ft") * c("height_ft"), c("face_area") / (scale * scale)
+    off = F.round((ratio - 1) * 100).cast("int")
+    warning = F.when(c("_traced") & ~ratio.between(0.9, 1.1), F.concat(
+        F.lit("The table gives "), number_text(_tenth(printed)), F.lit(" sqft, the traced face "), number_text(_tenth(traced)),
+        F.lit(" sqft ("), F.when(off >= 0, F.lit("+")).otherwise(F.lit("")), off.cast("string"), F.lit("%); the table counts.")))
+    return out.withColumn("polygon", polygon).withColumn("warning", warning).select(*ROOM)
 
 
 # --- callouts against a drawn box (part of J10) -------------------------------------------------------
@@ -177,12 +185,48 @@ def vector_rooms(fragments: DataFrame, segs: DataFrame, faces: DataFrame, scales
     out = measured.withColumn("derivation", state).where(c("box").isNotNull() | X.is_certain_room(c("text")))
     sure = c("derivation") == "scale-measured"
     value = lambda print_, own: F.when(sure, F.when(has_print, print_).otherwise(own))
-    return out.select(
-        "page_id", c("text").alias("label"), "box",
+    found = F.concat(F.lit('Found "'), c("text"), F.lit('", '))
+    warning = (F.when(c("box").isNull(), F.concat(found, F.lit("but no reliable boundary or printed dimension; measure it by hand.")))
+               .when(has_print & (F.abs(c("pw") * c("ph") - c("ma")) / c("ma") > 0.25), F.concat(
+                   F.lit("The boundary gives "), F.round("ma").cast("int").cast("string"), F.lit(" sqft, the printed dimensions "),
+                   F.round(c("pw") * c("ph")).cast("int").cast("string"), F.lit(" sqft; the printed ones count.")))
+               .when(sure | c("pt").isNull(), None)
+               .when(F.coalesce(skinny, F.lit(False)), F.concat(found, F.lit("but its bounds are too narrow for a room.")))
+               .otherwise(F.concat(found, F.lit("but its boundary has only "), F.round("ma").cast("int").cast("string"),
+                                   F.lit(" sqft, less than such a room has."))))
+    measured_rows = cut(out.select(
+        "page_id", "label_id", "cx", "cy", "page_w", "page_h", c("text").alias("label"), "box",
         F.when(c("polygon").isNotNull(), G.to_page(c("polygon"), c("page_w"), c("page_h"))).otherwise(F.array().cast(G.POINTS)).alias("polygon"),
         value(c("pw"), c("mw")).alias("width_ft"), value(c("ph"), c("mh")).alias("height_ft"),
         value(_tenth(c("pw") * c("ph")), c("ma")).alias("area_sqft"), value(_tenth((c("pw") + c("ph")) * 2), c("mp")).alias("perimeter_ft"),
-        "derivation")
+        "derivation", warning.alias("warning")))
+    return _with_zones(measured_rows, segs, scales, callouts).select(*ROOM)
+
+
+def _with_zones(rows: DataFrame, segs: DataFrame, scales: DataFrame, callouts: DataFrame) -> DataFrame:
+    """Rooms that nothing encloses get their share of an open zone, and so do measured rooms that contradict it.
+
+    Each room is placed by its own label, also where several rooms have the same text.
+    """
+    uncertain = c("derivation") == "geometry-uncertain"
+    labels = rows.where(X.is_certain_room(c("label")) & (uncertain | c("box").isNotNull())).select(
+        "page_id", "label_id", c("label").alias("text"), "cx", "cy", uncertain.alias("failed"), "box", "area_sqft")
+    todo = cut(labels.where("failed").select("page_id").distinct())
+    if todo.isEmpty():
+        return rows
+    here = segs.join(todo, "page_id", "left_semi")
+    envelope = here.groupBy("page_id").agg(F.struct(
+        F.min(F.least("x1", "x2")).alias("x0"), F.min(F.least("y1", "y2")).alias("y0"),
+        F.max(F.greatest("x1", "x2")).alias("x1"), F.max(F.greatest("y1", "y2")).alias("y1")).alias("envelope"))
+    sizes = rows.groupBy("page_id").agg(F.max("page_w").alias("page_w"), F.max("page_h").alias("page_h"))
+    pages = todo.join(sizes, "page_id").join(scales.select("page_id", "pt_per_foot"), "page_id", "left").join(envelope, "page_id", "left")
+    found, _ = open_zones(labels.join(todo, "page_id", "left_semi"), here, callouts.join(todo, "page_id", "left_semi"), pages)
+    new = ["box", "width_ft", "height_ft", "area_sqft", "perimeter_ft", "warning"]
+    joined = rows.join(found.select("page_id", "label_id", F.struct(*new).alias("z")), ["page_id", "label_id"], "left")
+    shared = c("z").isNotNull()
+    joined = joined.withColumns({n: F.when(shared, c(f"z.{n}")).otherwise(c(n)) for n in new})
+    return joined.withColumn("polygon", F.when(shared, _box_polygon()).otherwise(c("polygon"))).withColumn(
+        "derivation", F.when(shared, "virtual-partition").otherwise(c("derivation")))
 
 
 # --- driver (J11) ---------------------------------------------------------------------------------------------
@@ -191,26 +235,48 @@ def extract_rooms(fragments: DataFrame, segs: DataFrame, faces: DataFrame, scale
                   ) -> tuple[DataFrame, DataFrame]:
     """Rooms and one status row per page: skipped early, by table, by geometry, or too little geometry.
 
-    ``reason``: no_text_layer, non_floor_plan, few_walls (below ``min_walls``) or low_geometry (walls but no room).
+    ``reason`` of a page without rooms: no_text_layer, non_floor_plan, few_table_rows (a printed table below ``min_rows``
+    and no room by geometry), few_walls (below ``min_walls``) or low_geometry (walls but no room).  The status also
+    counts the page's text fragments, printed rows, walls and faces.
     """
-    skips = txt.page_skips(fragments, path_ops)
+    skips = cut(txt.page_skips(fragments, path_ops))
     open_pages = skips.where(c("skip").isNull()).select("page_id")
     readable = cut(fragments.join(open_pages, "page_id", "left_semi"))
     a = cut(table_rooms(readable, faces, scales, plan_areas, min_rows))
-    by_table = a.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where(c("n") >= min_rows).select("page_id")
+    by_table = cut(a.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where(c("n") >= min_rows).select("page_id"))
     left = readable.join(by_table, "page_id", "left_anti")
-    b = cut(vector_rooms(left, segs.join(by_table, "page_id", "left_anti"), faces, scales, txt.callouts(left),
-                         min_walls))
+    b = cut(vector_rooms(left, segs.join(by_table, "page_id", "left_anti"), faces.where(c("area") >= VECTOR_FACE), scales,
+                         txt.callouts(left), min_walls))
     rooms = a.join(by_table, "page_id", "left_semi").withColumn("strategy", F.lit("table")).unionByName(
         b.withColumn("strategy", F.lit("vector")))
     done = rooms.select("page_id", "strategy").distinct()
-    walls = segs.groupBy("page_id").agg(F.count(F.lit(1)).alias("walls"))
-    few = F.when(F.coalesce("walls", F.lit(0)) < min_walls, "few_walls").otherwise("low_geometry")
-    status = skips.join(done, "page_id", "left").join(walls, "page_id", "left").select(
+    number = lambda df, name: df.groupBy("page_id").agg(F.count(F.lit(1)).alias(name))
+    status = skips.join(done, "page_id", "left")
+    for df, name in ((fragments, "fragments"), (txt.dim_rows(readable), "table_rows"), (segs, "walls"), (faces, "faces")):
+        status = status.join(number(df, name), "page_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    few = (F.when((c("table_rows") > 0) & (c("table_rows") < min_rows), "few_table_rows")
+           .when(c("walls") < min_walls, "few_walls").otherwise("low_geometry"))
+    return rooms, status.select(
         "page_id", F.when(c("strategy").isNotNull(), "ok").otherwise("skipped").alias("status"),
         F.coalesce("strategy", F.lit("none")).alias("strategy"),
-        F.when(c("strategy").isNull(), F.coalesce("skip", few)).alias("reason"))
-    return rooms, status
+        F.when(c("strategy").isNull(), F.coalesce("skip", few)).alias("reason"), "fragments", "table_rows", "walls", "faces")
+
+
+def extract_from_segments(fragments: DataFrame, segs: DataFrame, scales: DataFrame, path_ops: DataFrame,
+                          plan_areas: DataFrame, doors: DataFrame | None = None, min_walls: int = MIN_WALLS,
+                          min_rows: int = MIN_TABLE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``extract_rooms`` from wall segments: both strategies' faces come from one job over all pages.
+
+    The strategies differ in nothing but the least face (``TABLE_FACE``, ``VECTOR_FACE``), so the graph is walked once
+    for the smaller one; pages that are skipped early, or whose walls could close no face, are not walked.
+    """
+    skips = txt.page_skips(fragments, path_ops)
+    walled = segs.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where(c("n") >= 4).select("page_id")
+    todo = skips.where(c("skip").isNull()).select("page_id").join(walled, "page_id", "left_semi")
+    drawn = cut(segs.join(todo, "page_id", "left_semi"))
+    faces = cut(room_faces(drawn, _page_sizes(fragments), doors, snap=1.5, max_gap=60.0, door_radius=30.0, min_area=TABLE_FACE,
+                           max_area=float("inf"), max_aspect=30.0, max_vertices=80).select("page_id", "face", "area", "box", "polygon"))
+    return extract_rooms(fragments, segs, faces, scales, path_ops, plan_areas, min_walls, min_rows)
 
 
 # --- candidates (J12) --------------------------------------------------------------------------------------------
