@@ -43,3 +43,18 @@ def test_pages_below_a_limit_get_a_reason(spark):
     labels = [label(i, "KITCHEN", 200.0, 200.0 + i) for i in range(3)]
     assert extract(spark, labels, one, walls=3) == ({}, [("skipped", "few_walls")])
     assert extract(spark, labels, one, walls=3, min_walls=2)[1] == [("ok", None)]
+
+
+def test_warnings(spark):
+    side = [face("a", 100.0, 100.0, 300.0, 300.0), face("b", 300.0, 100.0, 320.0, 300.0)]
+    rows = [label(0, "KITCHEN", 200.0, 200.0), label(1, "OFFICE", 310.0, 200.0), label(2, "BEDROOM", 700.0, 600.0)]
+    far = [("p", i, 1100.0, 700.0 + i, 1102.0, 700.0 + i) for i in range(8)]
+    found, status = rooms.extract_rooms(
+        spark.createDataFrame(rows, FRAGMENT), spark.createDataFrame(far, "page_id string, seg_id int, x1 double, y1 double, x2 double, y2 double"),
+        spark.createDataFrame(side, FACE), spark.createDataFrame([("p", 10.0)], "page_id string, pt_per_foot double"),
+        spark.createDataFrame([("p", 500)], "page_id string, ops int"), spark.createDataFrame([("p", 500000.0)], "page_id string, plan_area double"))
+    got = {r.label: (r.derivation, r.warning) for r in found.collect()}
+    assert got["KITCHEN"] == ("scale-measured", None)
+    assert got["OFFICE"][0] == got["BEDROOM"][0] == "geometry-uncertain"
+    assert "too narrow" in got["OFFICE"][1] and "by hand" in got["BEDROOM"][1]
+    assert [(r.fragments, r.table_rows, r.walls, r.faces) for r in status.collect()] == [(3, 0, 8, 2)]
