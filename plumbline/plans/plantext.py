@@ -186,14 +186,17 @@ def _dim_rows(t):
 
 
 @query("dim_table_box", ("fragments", "kinds"), """
-WITH d AS (SELECT f.* FROM fragments f JOIN kinds USING (page_id, seq) WHERE k=2 AND s+i > 0 AND seq < 20),
-b AS (SELECT page_id, min(x) AS x0, max(x+width) AS x1, min(y) AS y0, max(y+height) AS y1, max(page_w*page_h) AS pa FROM d GROUP BY 1
+WITH h AS (SELECT f.* REPLACE (page_id || '/' || (seq // 20) AS page_id), seq % 10 = 2 AND coalesce(k=2 AND s+i > 0, false) AS dim FROM fragments f LEFT JOIN kinds USING (page_id, seq)),
+d AS (SELECT * FROM h WHERE dim),
+b AS (SELECT page_id, min(x) AS x0, max(x+width) AS x1, min(y) AS y0, max(y+height) AS y1 FROM d GROUP BY 1
   HAVING count(*) >= 2 AND (max(x+width)-min(x))*(max(y+height)-min(y)) <= max(page_w*page_h)*0.12),
-l AS (SELECT b.page_id, min(f.x) AS lx, min(f.y) AS ly, max(f.y+f.height) AS lt FROM b JOIN fragments f USING (page_id)
-  WHERE f.seq < 20 AND f.seq % 10 <> 2 AND f.x+f.width > b.x0 AND f.x < b.x1 AND EXISTS (SELECT 1 FROM d WHERE d.page_id=f.page_id AND abs(d.y-f.y) <= 3) GROUP BY 1)
+l AS (SELECT b.page_id, min(f.x) AS lx, min(f.y) AS ly, max(f.y+f.height) AS lt FROM b JOIN h f USING (page_id)
+  WHERE NOT dim AND f.x+f.width > b.x0 AND f.x < b.x1 AND EXISTS (SELECT 1 FROM d WHERE d.page_id=f.page_id AND abs(d.y-f.y) <= 3) GROUP BY 1)
 SELECT page_id, least(x0, lx)-4 AS x0, least(y0, ly)-4 AS y0, x1+4 AS x1, greatest(y1, lt)+4 AS y1 FROM b LEFT JOIN l USING (page_id)""")
 def _box(t):
-    return op.dim_table_box(t.fragments.where(c("seq") < 20))
+    """Every fragment, on sheets of half a page each: whole pages are too large for a schedule."""
+    half = F.concat_ws("/", "page_id", F.floor(c("seq") / 20).cast("string"))
+    return op.dim_table_box(t.fragments.withColumn("page_id", half))
 
 
 @query("sizing_hint", ("fragments", "kinds", "dimrows"), """
@@ -216,9 +219,9 @@ def _skips(t):
 
 @query("min_room_sqft", ("fragments",), """
 SELECT page_id, seq, CASE split_part(text, ' ', 3) WHEN 'OFFICE' THEN 60 WHEN 'BEDROOM' THEN 60 WHEN 'KITCHEN' THEN 60 WHEN 'CORRIDOR' THEN 15
-  WHEN 'LOBBY' THEN 80 WHEN 'BATH' THEN 15 WHEN 'CLOSET' THEN 15 ELSE 0 END AS sqft FROM fragments WHERE seq % 10 = 0""")
+  WHEN 'LOBBY' THEN 80 WHEN 'BATH' THEN 15 WHEN 'CLOSET' THEN 15 ELSE 0 END AS sqft FROM fragments""")
 def _min_sqft(t):
-    return t.fragments.where(c("seq") % 10 == 0).select("page_id", "seq", X.min_room_sqft(c("text")).alias("sqft"))
+    return t.fragments.select("page_id", "seq", X.min_room_sqft(c("text")).alias("sqft"))
 
 
 @query("interior_rooms", ("surfaces",), """
