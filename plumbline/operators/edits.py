@@ -340,7 +340,3 @@ def cascade_delete(ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str, Da
     gone = ids.select("project_id").distinct()
     return {name: df.join(gone, "project_id", "left_anti") for name, df in tables.items()}
 
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Replace-all settings table."""
-    df.write.mode("overwrite").parquet(path)

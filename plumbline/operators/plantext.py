@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plumbline.session import cut
 from plumbline.functions import plantext as X
 
 c = F.col
@@ -94,15 +95,40 @@ def scale_bar(fragments: DataFrame) -> DataFrame:
             .select("page_id", "b.*"))
 
 
-def value_at(df: DataFrame, group: list[str], value: str, index: Column, name: str) -> DataFrame:
+#: Most distinct values of a group that one task orders, and the bins of a round of selection.
+ORDERED_VALUES, BINS = 1 << 16, 1024
+
+
+def value_at(df: DataFrame, group: list[str], value: str, index: Column, name: str, limit: int = ORDERED_VALUES) -> DataFrame:
     """The value at a 0-based position of each group's ascending order; ``index`` may use ``n``.
 
-    Equal values are counted first, so the ordering only sees one row per distinct value.
+    Equal values are counted first.  Groups of more than ``limit`` distinct values are narrowed by rounds: the values
+    still in question are counted by sign and power of two, or, once these agree, in ``BINS`` equal bins between the
+    least and the largest; only the bin that holds the position stays.  Both ends fall into different bins, so every
+    round narrows and about seven suffice; a task orders at most ``limit`` values or the bins of a group.
     """
-    counts = df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_m"))
+    def power(v: Column) -> Column:  # rises with the value
+        return F.when(v == 0, 0).otherwise(F.signum(v) * (F.floor(F.log2(F.abs(v))) + 1100)).cast("int")
+
+    counts = cut(df.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_m")))
+    least, most = F.min(value).alias("_lo"), F.max(value).alias("_hi")
+    sizes = counts.groupBy(*group).agg(F.sum("_m").alias("n"), F.count(F.lit(1)).alias("_d"), least, most).withColumn(
+        "_i", index.cast("bigint"))
+    asked, rest = cut(sizes), counts
+    wide = lambda: asked.where(c("_d") > limit)
+    while not wide().isEmpty():
+        inside = rest.join(wide(), group).where(c(value).between(c("_lo"), c("_hi")))
+        share = (c(value) - c("_lo")) / (c("_hi") - c("_lo"))
+        bin_ = F.when(power(c("_lo")) != power(c("_hi")), power(c(value))).otherwise(
+            F.least(F.floor(share * BINS).cast("int"), F.lit(BINS - 1))).alias("_bin")
+        bins = inside.groupBy(*group, bin_, "n", "_i").agg(F.sum("_m").alias("_s"), F.count(F.lit(1)).alias("_d"), least, most)
+        order = Window.partitionBy(*group).orderBy("_bin")
+        chosen = (bins.withColumn("_upto", F.sum("_s").over(order)).where((c("_upto") > c("_i")) & (c("_upto") - c("_s") <= c("_i")))
+                  .withColumn("_i", c("_i") - (c("_upto") - c("_s"))).select(*asked.columns))
+        asked = cut(asked.where(c("_d") <= limit).unionByName(chosen))
+        rest = cut(rest.join(asked.select(*group, "_lo", "_hi"), group).where(c(value).between(c("_lo"), c("_hi"))).select(*counts.columns))
     order = Window.partitionBy(*group).orderBy(value)
-    return (counts.withColumn("n", F.sum("_m").over(Window.partitionBy(*group)))
-            .withColumn("_upto", F.sum("_m").over(order)).withColumn("_i", index)
+    return (rest.join(asked, group).where(c(value).between(c("_lo"), c("_hi"))).withColumn("_upto", F.sum("_m").over(order))
             .where((c("_upto") > c("_i")) & (c("_upto") - c("_m") <= c("_i")))
             .select(*group, c(value).alias(name), "n"))
 
