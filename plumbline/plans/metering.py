@@ -131,3 +131,18 @@ def _limit_stream(t):
     raw = stream.usage_stream(t.spark, f"{t.folder}/events*.parquet")
     calls = raw.select(c("user_id").cast("string").alias("key"), "event_id", c("created_at").alias("at"))
     return stream.run_to_files(stream.limiter_stream(calls, 3, 86_400))
+
+
+@query("cache_lookup_stream", ("requests",), """
+SELECT r.key, r.event_id, CASE WHEN p.at_us + 3600000000 * (1 + p.event_id % 48) > r.at_us THEN 'answer ' || p.event_id END AS response,
+  coalesce(p.at_us + 3600000000 * (1 + p.event_id % 48) > r.at_us, false) AS hit
+FROM (SELECT * FROM requests WHERE event_id % 3 <> 0) r LEFT JOIN (SELECT * FROM requests WHERE event_id % 3 = 0) p ON p.key = r.key AND p.at_us <= r.at_us
+QUALIFY row_number() OVER (PARTITION BY r.event_id ORDER BY p.at_us DESC, p.event_id DESC) = 1""")
+def _cache_stream(t):
+    """Every third event puts a response that lives for one to two days; the others ask for one."""
+    raw = stream.usage_stream(t.spark, f"{t.folder}/events*.parquet")
+    put = c("event_id") % 3 == 0
+    events = raw.select(c("user_id").cast("string").alias("key"), "event_id", c("created_at").alias("at"), (~put).alias("is_request"),
+                        F.when(put, F.concat(F.lit("answer "), c("event_id").cast("string"))).alias("response"),
+                        F.when(put, (c("event_id") % 48 + 1) * 3600).otherwise(0).alias("ttl_seconds"))
+    return stream.run_to_files(stream.cache_lookup_stream(events))

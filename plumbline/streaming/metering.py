@@ -17,6 +17,8 @@ c = F.col
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 REQUEST_SCHEMA = "key string, event_id bigint, at timestamp"
 LIMITER_SCHEMA = "key string, event_id bigint, allowed boolean"
+CACHE_EVENT_SCHEMA = "key string, event_id bigint, at timestamp, is_request boolean, response string, ttl_seconds bigint"
+CACHE_SCHEMA = "key string, event_id bigint, response string, hit boolean"
 
 
 def usage_stream(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
@@ -46,19 +48,56 @@ def budget_alerts(batch: DataFrame, ceiling: float = R.DAILY_CEILING, warn: floa
     return spend.withColumn("level", level).where(c("level").isNotNull())
 
 
-class FixedWindowLimiter(StatefulProcessor):
-    """(count, reset time) per key; one decision per request."""
+class _Expiring(StatefulProcessor):
+    """One value per key that is removed once the watermark passes its end.
 
-    def __init__(self, limit: int, window_seconds: int):
-        self.limit, self.window_us = limit, window_seconds * 1_000_000
+    ``names`` of the state end with ``end_us``.  Each key keeps one timer; when it fires and the end has moved on since,
+    it is set again.
+    """
+
+    names = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "count bigint, reset_us bigint")
+        self.handle = handle
+        self.state = handle.getValueState("entry", self.names)
+
+    def keep(self, value: tuple) -> None:
+        """Remember ``value``; a timer is set with the first one."""
+        fresh = not self.state.exists()
+        self.state.update(value)
+        if fresh:
+            self.handle.registerTimer(-(-value[-1] // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            end = -(-self.state.get()[-1] // 1000)
+            if end <= expiredTimerInfo.getExpiryTimeInMs():
+                self.state.clear()
+            else:
+                self.handle.registerTimer(end)
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> tuple[pd.DataFrame, pd.Series]:
+    """A key's rows of one micro-batch in order, and their times in microseconds."""
+    batch = pd.concat(list(rows), ignore_index=True).sort_values(by, ignore_index=True)
+    return batch, batch["at"].astype("datetime64[us]").astype("int64")
+
+
+class FixedWindowLimiter(_Expiring):
+    """(count, reset time) per key; one decision per request; nothing is left after an idle window."""
+
+    names = "count bigint, end_us bigint"
+
+    def __init__(self, limit: int, window_seconds: int):
+        self.limit, self.window_us = limit, window_seconds * 1_000_000
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         count, reset = self.state.get() if self.state.exists() else (0, None)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "event_id"])
-        times = batch["at"].astype("datetime64[us]").astype("int64")
+        batch, times = _in_order(rows, ["at", "event_id"])
         verdicts = []
         for at in times:
             if reset is None or reset <= at:
@@ -67,23 +106,51 @@ class FixedWindowLimiter(StatefulProcessor):
             else:
                 verdicts.append(count < self.limit)
                 count += verdicts[-1]
-        self.state.update((int(count), int(reset)))
+        self.keep((int(count), int(reset)))
         yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"], "allowed": verdicts})
 
-    def close(self) -> None:
-        pass
-
 
-def limiter_stream(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:
+def limiter_stream(requests: DataFrame, limit: int, window_seconds: int, late: str = "1 hour") -> DataFrame:
     """Verdict per request, from keyed state in the RocksDB store (switched on here).
 
-    A key's requests of one micro-batch are decided in time order, so callers bound the batch with
-    the source's rate options.
+    A key's requests of one micro-batch are decided in time order, so callers bound the batch with the source's rate
+    options.  Requests later than ``late`` behind the newest are dropped; a key's state goes when its window has ended.
     """
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return requests.groupBy("key").transformWithStateInPandas(
+    return requests.withWatermark("at", late).groupBy("key").transformWithStateInPandas(
         statefulProcessor=FixedWindowLimiter(limit, window_seconds), outputStructType=LIMITER_SCHEMA,
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
+
+
+class ExpiringCache(_Expiring):
+    """The newest response per key until it expires; one answer per request (I4)."""
+
+    names = "response string, created_us bigint, end_us bigint"
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        entry = self.state.get() if self.state.exists() else None
+        batch, times = _in_order(rows, ["at", "is_request", "event_id"])
+        answers = []
+        for at, asked, response, ttl in zip(times, batch["is_request"], batch["response"], batch["ttl_seconds"]):
+            if asked:
+                answers.append(entry[0] if entry is not None and entry[2] > at else None)
+            elif entry is None or entry[1] <= at:
+                entry = (response, int(at), int(at + ttl * 1_000_000))
+        if entry is not None:
+            self.keep(tuple(entry))
+        yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"][batch["is_request"]].astype("int64"),
+                            "response": pd.Series(answers, dtype=object).to_numpy(), "hit": [x is not None for x in answers]})
+
+
+def cache_lookup_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Each request with the newest response put for its key, if that has not expired (I4).
+
+    ``events``: key, event_id, at, is_request, response, ttl_seconds - requests and new responses in one stream; at equal
+    times responses come first.  State of a key goes when its response has expired.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return events.withWatermark("at", late).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=ExpiringCache(), outputStructType=CACHE_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
 def run_to_files(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 from collections import defaultdict
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -114,3 +115,46 @@ def test_cached_call_is_not_billed_twice(spark, tmp_path):
 def test_budget_alert_levels(spark):
     df = spark.createDataFrame([("d1", 5.0), ("d1", 12.0), ("d2", 20.0), ("d3", 1.0)], "day string, cost double")
     assert {(r.day, r.level) for r in stream.budget_alerts(df).collect()} == {("d1", "warn"), ("d2", "stop")}
+
+
+def _live(spark, folder, schema, batches):
+    """A stream that takes one of the given batches after the other."""
+    import os
+    import time
+
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        for name in os.listdir(folder):  # the source takes files by age
+            if name.startswith("part-") and not os.path.exists(f"{folder}/.seen-{name}"):
+                os.utime(f"{folder}/{name}", (time.time() - 1000 + i, time.time() - 1000 + i))
+                open(f"{folder}/.seen-{name}", "w").close()
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def _drain(df, folder):
+    (df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log")
+     .trigger(availableNow=True).start().awaitTermination())
+    left = df.sparkSession.read.format("statestore").option("path", f"{folder}/log").option("stateVarName", "entry").load().count()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out").collect(), left
+
+
+def test_limiter_state_goes_after_an_idle_window(spark, tmp_path):
+    t = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    batches = [[("a", 1, t(0)), ("a", 2, t(1)), ("b", 3, t(2)), ("a", 4, t(3))], [("a", 5, t(61))], [("z", 6, t(600))], [("z", 7, t(1200))], [("z", 8, t(1200))]]
+    live = _live(spark, tmp_path / "in", stream.REQUEST_SCHEMA, batches)
+    got, left = _drain(stream.limiter_stream(live, 2, 3600, "1 minute"), tmp_path)
+    assert {r.event_id: r.allowed for r in got} == {1: True, 2: True, 3: True, 4: False, 5: True, 6: True, 7: True, 8: True}
+    assert left == 1  # z alone: a's second window and b's ended long before
+
+
+def test_cache_state_goes_with_its_last_response(spark, tmp_path):
+    t = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    put = lambda k, i, m, ttl: (k, i, t(m), False, f"r{i}", ttl * 60)
+    get = lambda k, i, m: (k, i, t(m), True, None, 0)
+    batches = [[get("a", 1, 0), put("a", 2, 0, 10), get("a", 3, 5), put("b", 4, 1, 30)], [get("a", 5, 9), put("a", 6, 9, 100), get("a", 7, 12), get("b", 8, 31)],
+               [get("a", 9, 108), get("a", 10, 109)], [put("z", 11, 5000, 10)], [get("z", 12, 5001)], [get("z", 13, 5001)]]
+    live = _live(spark, tmp_path / "in", stream.CACHE_EVENT_SCHEMA, batches)
+    got, left = _drain(stream.cache_lookup_stream(live, "1 minute"), tmp_path)
+    assert {r.event_id: r.response for r in got} == {1: "r2", 3: "r2", 5: "r6", 7: "r6", 8: None, 9: "r6", 10: None, 12: "r11", 13: "r11"}
+    assert all(r.hit == (r.response is not None) for r in got)
+    assert left == 1
