@@ -151,6 +151,42 @@ def update_by_ids(surfaces: DataFrame, changes: DataFrame) -> DataFrame:
             .withColumns({n: F.coalesce("_" + n, n) for n in names}).drop(*["_" + n for n in names]))
 
 
+def _json_row(row: str, names: list[str]) -> Column:
+    return F.to_json(F.struct(*[c(f"{row}.{n}").alias(n) for n in names]))
+
+
+def bulk_audit(surfaces: DataFrame, batches: DataFrame) -> DataFrame:
+    """One audit row per batch of ids (K5, S33): batch_id, project_id, action, source, ids, after.
+
+    ``batches``: batch_id, surface_id, and the batch's paint_type, coats, substrate, status (NULL: unchanged).  The sentence
+    counts the ids that were sent; the row goes to the project of the first surface found, and a batch of unknown ids
+    leaves none.  ``ids`` says how many rows the batch has in ``batches``, which stays the long form of its list.
+    """
+    found = batches.select("batch_id", "surface_id").join(surfaces.select("surface_id", "project_id"), "surface_id").groupBy("batch_id").agg(
+        F.min_by("project_id", "surface_id").alias("project_id"))
+    sent = batches.groupBy("batch_id").agg(F.count(F.lit(1)).alias("ids"), *[F.first(n, ignorenulls=True).alias(n) for n in SNAPSHOT])
+    after = F.to_json(F.struct("ids", *SNAPSHOT))
+    return sent.join(found, "batch_id").select(
+        "batch_id", "project_id", T.bulk_action(c("ids"), c("status"), c("paint_type"), c("coats")).alias("action"),
+        F.lit("user").alias("source"), "ids", after.alias("after"))
+
+
+def single_audit(surfaces: DataFrame, changes: DataFrame) -> DataFrame:
+    """One audit row per changed surface, with its states before and after.
+
+    ``changes``: surface_id (once each) and any of the snapshot columns; unknown ids leave no row.
+    """
+    names = [n for n in SNAPSHOT if n in changes.columns]
+    wanted = {n: c(f"new.{n}") if n in names else F.lit(None).cast("int" if n == "coats" else "string") for n in SNAPSHOT}
+    held = [n for n in surfaces.columns if n != "surface_id"]
+    rows = surfaces.select("surface_id", F.struct(*held).alias("old")).join(
+        changes.select("surface_id", F.struct(*names).alias("new")), "surface_id")
+    rows = rows.withColumn("now", F.struct(*[(F.coalesce(c(f"new.{n}"), c(f"old.{n}")) if n in names else c(f"old.{n}")).alias(n) for n in held]))
+    action = T.surface_action(wanted["status"], c("old.type"), c("old.room_label"), wanted["paint_type"], wanted["coats"], wanted["substrate"])
+    return rows.select("surface_id", c("old.project_id").alias("project_id"), action.alias("action"), F.lit("user").alias("source"),
+                       _json_row("old", held).alias("before"), _json_row("now", held).alias("after"))
+
+
 def delete_surfaces(surfaces: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The kept rows and one snapshot row per removed surface."""
     gone = surfaces.join(ids.select("surface_id"), "surface_id", "left_semi")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline import refdata as R
+from plumbline.functions import pricing as P
 from plumbline.operators import edits as op
 from plumbline.operators.search import ToolFilter
 from plumbline.plans.oracle import CTES
@@ -118,6 +119,56 @@ def _ids(t):
     return op.update_by_ids(t.surfaces, changes).select("surface_id", "status", "coats")
 
 
+def batches(t):
+    """Every surface in the batch of its page; the page decides what the batch changes."""
+    k = c("plan_page_id").cast("bigint")
+    return t.surfaces.select(
+        c("plan_page_id").alias("batch_id"), "surface_id", F.when(k % 4 == 0, "accepted").when(k % 4 == 1, "excluded").alias("status"),
+        F.when(k % 3 == 0, "Matte").when(k % 3 == 1, "").alias("paint_type"), F.when(k % 5 == 0, (k % 2 + 1).cast("int")).alias("coats"),
+        F.when(k % 7 == 0, "brick").alias("substrate"))
+
+
+@query("bulk_by_id_audit", S, """
+SELECT batch_id, project_id, ids, 'user' AS source, CASE WHEN b % 4 = 0 THEN 'Accepted ' || n || '.' WHEN b % 4 = 1 THEN 'Excluded ' || n || ' from the bid.'
+  WHEN b % 3 = 0 THEN 'Changed paint on ' || n || ' to Matte.' WHEN b % 5 = 0 THEN 'Changed coats on ' || n || ' to ' || (b % 2 + 1) || '.' ELSE 'Updated ' || n || '.' END AS action,
+  '{"ids":' || ids || CASE WHEN b % 3 = 0 THEN ',"paint_type":"Matte"' WHEN b % 3 = 1 THEN ',"paint_type":""' ELSE '' END || CASE WHEN b % 5 = 0 THEN ',"coats":' || (b % 2 + 1) ELSE '' END
+  || CASE WHEN b % 7 = 0 THEN ',"substrate":"brick"' ELSE '' END || CASE b % 4 WHEN 0 THEN ',"status":"accepted"' WHEN 1 THEN ',"status":"excluded"' ELSE '' END || '}' AS after
+FROM (SELECT *, ids || CASE ids WHEN 1 THEN ' surface' ELSE ' surfaces' END AS n FROM (
+  SELECT plan_page_id AS batch_id, CAST(plan_page_id AS BIGINT) AS b, arg_min(project_id, surface_id) AS project_id, count(*) AS ids FROM surfaces GROUP BY 1, 2))""")
+def _bulk_audit(t):
+    return op.bulk_audit(t.surfaces, batches(t))
+
+
+CTES["single"] = """
+  SELECT surface_id, project_id, type, room_label, paint_type, coats, substrate, status, CAST(plan_page_id AS BIGINT) AS k,
+    'a ' || type || CASE WHEN coalesce(room_label, '') = '' THEN '' ELSE ' in ' || room_label END AS what FROM surfaces"""
+
+
+@query("single_edit_audit", ("surfaces", "single"), """
+SELECT surface_id, project_id, 'user' AS source, CASE WHEN k % 4 = 0 THEN 'Accepted ' || what || '.' WHEN k % 4 = 1 THEN 'Excluded ' || what || ' from the bid.'
+  WHEN k % 3 = 0 THEN 'Changed paint on ' || what || ' to Matte.' WHEN k % 5 = 0 THEN 'Changed coats on ' || what || ' to ' || (k % 2 + 1) || '.'
+  WHEN k % 7 = 0 THEN 'Changed substrate on ' || what || ' to brick.' ELSE 'Updated ' || what || '.' END AS action,
+  paint_type AS paint_before, status AS status_before, CASE k % 3 WHEN 0 THEN 'Matte' WHEN 1 THEN '' ELSE paint_type END AS paint_after,
+  CASE k % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'excluded' ELSE status END AS status_after, CASE WHEN k % 5 = 0 THEN k % 2 + 1 ELSE coats END AS coats_after,
+  CASE WHEN k % 7 = 0 THEN 'brick' ELSE substrate END AS substrate_after, room_label AS room_after FROM single""")
+def _single_audit(t):
+    field = lambda col, name: F.get_json_object(col, f"$.{name}")
+    return op.single_audit(t.surfaces, batches(t).drop("batch_id")).select(
+        "surface_id", "project_id", "source", "action", field("before", "paint_type").alias("paint_before"), field("before", "status").alias("status_before"),
+        field("after", "paint_type").alias("paint_after"), field("after", "status").alias("status_after"), field("after", "coats").cast("bigint").alias("coats_after"),
+        field("after", "substrate").alias("substrate_after"), field("after", "room_label").alias("room_after"))
+
+
+@query("wall_heights", ("surfaces", "projects"), """
+SELECT surface_id, h AS height_ft, linear_footage * h AS area FROM (SELECT surface_id, linear_footage, CASE s.coats WHEN 1 THEN ceiling_height_ft WHEN 2 THEN 13.0
+  ELSE CASE WHEN paint_type > 'Brand#2' THEN 16.0 ELSE 9.5 END END::DOUBLE AS h FROM surfaces s JOIN projects USING (project_id) WHERE type IN ('wall', 'wall-path'))""")
+def _heights(t):
+    basis = F.when(c("coats") == 1, "ceiling").when(c("coats") == 2, "13ft").when(c("paint_type") > "Brand#2", "deck").otherwise("custom")
+    rows = t.surfaces.where(c("type").isin("wall", "wall-path")).join(t.projects.select("project_id", "ceiling_height_ft"), "project_id")
+    height = P.wall_height(basis, c("ceiling_height_ft"), F.lit(9.5))
+    return rows.select("surface_id", height.alias("height_ft"), (c("linear_footage") * height).alias("area"))
+
+
 @query("delete_surfaces", S, """
 SELECT project_id, surface_id, 'Removed a ' || type || CASE WHEN coalesce(room_label, '')='' THEN '' ELSE ' in ' || room_label END || '.' AS action
 FROM surfaces WHERE confidence < 0.55""")

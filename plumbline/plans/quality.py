@@ -208,3 +208,17 @@ SELECT project_id, count(*) FILTER (room <> '' AND change='added') AS added_room
 FROM diff_q GROUP BY 1""")
 def _diff_summary(t):
     return diff.diff_summary(*revisions(t)).withColumn("total_delta_pct", F.round("total_delta_pct", 6))
+
+
+@query("validate_projects", ("projects",), """
+SELECT project_id, [x FOR x IN [CASE WHEN m = 'cubic' THEN 'measurement_mode' END, CASE WHEN w > 1 THEN 'waste_factor' END, CASE WHEN k < 0 THEN 'markup' END,
+  CASE WHEN o > 1 THEN 'overhead_pct' END, CASE WHEN h > 30 OR h < 6 THEN 'ceiling_height_ft' END] IF x IS NOT NULL] AS reasons FROM (
+SELECT project_id, CASE WHEN i % 6 = 0 THEN 'cubic' ELSE measurement_mode END AS m, waste_factor + i % 2 AS w, markup - i % 3 * 0.2::DOUBLE AS k, overhead_pct * (i % 12) AS o,
+  ceiling_height_ft * (i % 5) AS h FROM (SELECT *, CAST(project_id AS BIGINT) AS i FROM projects))""")
+def _projects(t):
+    i = c("project_id").cast("bigint")
+    odd = t.projects.withColumns({
+        "measurement_mode": F.when(i % 6 == 0, "cubic").otherwise(c("measurement_mode")), "waste_factor": c("waste_factor") + i % 2,
+        "markup": c("markup") - i % 3 * 0.2, "overhead_pct": c("overhead_pct") * (i % 12), "ceiling_height_ft": c("ceiling_height_ft") * (i % 5)})
+    good, bad = op.validate(odd, op.project_rules())
+    return good.select("project_id", F.array().cast("array<string>").alias("reasons")).unionByName(bad.select("project_id", "reasons"))
