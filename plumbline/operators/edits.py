@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline import refdata as R
-from plumbline.functions import pricing as P, text as T
+from plumbline.functions import geometry as G, pricing as P, text as T
 from plumbline.operators.search import ToolFilter, tool_filter
 from plumbline.sources.adapters import constant_rows
 
@@ -292,6 +292,59 @@ def split_surfaces(surfaces: DataFrame, splits: DataFrame, equal: bool = False)
         F.lit("manual").alias("source"))
 
 
+def merge_requests(surfaces: DataFrame, members: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merged rows with their drawn polygon, the next state, and one audit row per request.
+
+    ``members``: merge_id, surface_id; ``requests``: merge_id, polygon, room_label (NULL keeps the first one's).  The first
+    surface is the oldest.  Surfaces named in ``members`` that do not exist count for nothing; a request of fewer than two
+    surfaces, or of several projects, pages or types, is refused: its audit row has no action but the reason.
+    """
+    held = ["project_id", "plan_page_id", "type", "paint_type", "coats", "substrate", "room_label", "status"]
+    shared = ["project_id", "plan_page_id", "type"]
+    found = surfaces.join(members.select("merge_id", "surface_id").distinct(), "surface_id")
+    sums = found.groupBy("merge_id").agg(
+        F.min_by(F.struct(*held), F.struct("created_at", "surface_id")).alias("first"), F.sum("square_footage").alias("square_footage"),
+        F.sum("linear_footage").alias("linear_footage"), F.sum("count").cast("int").alias("count"), F.max("confidence").alias("confidence"),
+        F.count(F.lit(1)).alias("n"), *[(F.min(n) != F.max(n)).alias(f"_{n}") for n in shared])
+    n = F.coalesce("n", F.lit(0))
+    refusal = (F.when(n < 2, "fewer than two surfaces").when(c("_project_id"), "several projects").when(c("_plan_page_id"), "several pages")
+               .when(c("_type"), "several types"))
+    asked = requests.select("merge_id", "polygon", c("room_label").alias("_label")).join(sums, "merge_id", "left").withColumn("refused", refusal)
+    done = asked.where(c("refused").isNull())
+    rows = done.select(
+        F.concat(F.lit("merge-"), c("merge_id").cast("string")).alias("surface_id"), *[c(f"first.{x}").alias(x) for x in held if x != "room_label"],
+        F.coalesce("_label", "first.room_label").alias("room_label"), "polygon", "square_footage", "linear_footage", "count", "confidence",
+        F.lit("manual").alias("source"), F.concat(F.lit("merged from "), c("n").cast("string"), F.lit(" surfaces")).alias("notes"))
+    gone = found.join(done.select("merge_id"), "merge_id", "left_semi").select("surface_id").distinct()
+    state = surfaces.join(gone, "surface_id", "left_anti").unionByName(rows, allowMissingColumns=True)
+    action = F.when(c("refused").isNull(), F.concat(F.lit("Merged "), n.cast("string"), F.lit(" "), c("first.type"), F.lit("s into one.")))
+    return rows, state, asked.select("merge_id", c("first.project_id").alias("project_id"), action.alias("action"), F.lit("user").alias("source"), "refused")
+
+
+def split_requests(surfaces: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Children with polygons, labels and notes, the next state, and one audit row per split.
+
+    ``requests``: surface_id (once each), polygons (two of them), labels (two, or NULL to keep the surface's), equal (halves
+    instead of shares of the drawn areas).  Quantities are rounded for each child, so counts may not add up.
+    """
+    joined = surfaces.join(requests, "surface_id")
+    notes = c("notes") if "notes" in surfaces.columns else F.lit(None).cast("string")
+    first, second = G.area(F.get("polygons", F.lit(0))), G.area(F.get("polygons", F.lit(1)))
+    share = F.when(c("equal"), 0.5).otherwise(first / F.greatest(first + second, F.lit(1e-6)))
+    part = lambda i, name, of: F.struct(F.lit(name).alias("name"), F.lit(i).alias("i"), of.alias("share"))
+    halves = joined.withColumn("_share", share).withColumn("_p", F.explode(F.array(part(0, "a", c("_share")), part(1, "b", 1 - c("_share")))))
+    rows = halves.select(
+        F.concat_ws("-", "surface_id", "_p.name").alias("surface_id"), "project_id", "plan_page_id", "type", "paint_type", "coats", "substrate",
+        F.when(c("labels").isNull(), c("room_label")).otherwise(F.get("labels", c("_p.i"))).alias("room_label"), F.get("polygons", c("_p.i")).alias("polygon"),
+        P.half_up(c("square_footage") * c("_p.share"), 1).alias("square_footage"), P.half_up(c("linear_footage") * c("_p.share"), 1).alias("linear_footage"),
+        P.half_up(c("count") * c("_p.share")).cast("int").alias("count"), "confidence", "status", F.lit("manual").alias("source"),
+        F.when(F.coalesce(notes, F.lit("")) != "", F.concat(notes, F.lit(" (split)"))).otherwise("split from another surface").alias("notes"))
+    state = surfaces.join(requests.select("surface_id"), "surface_id", "left_anti").unionByName(rows, allowMissingColumns=True)
+    place = F.when(F.coalesce("room_label", F.lit("")) == "", "").otherwise(F.concat(F.lit(" in "), c("room_label")))
+    audit = joined.select("surface_id", "project_id", F.concat(F.lit("Split a "), c("type"), place, F.lit(" into two.")).alias("action"), F.lit("user").alias("source"))
+    return rows, state, audit
+
+
 def recompute_walls(surfaces: DataFrame, projects: DataFrame, proposed: bool = True,
                     accepted: bool = False) -> tuple[DataFrame, DataFrame]:
     """Wall area = length x ceiling height where it moves by at least 0.05.

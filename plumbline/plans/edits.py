@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline import refdata as R
-from plumbline.functions import pricing as P
+from plumbline.functions import geometry as G, pricing as P
 from plumbline.operators import edits as op
 from plumbline.operators.search import ToolFilter
 from plumbline.plans.oracle import CTES
@@ -246,6 +246,64 @@ def _split(t):
     return op.split_surfaces(t.surfaces, splits).select("surface_id", "square_footage", "linear_footage", "count")
 
 
+def drawn_merges(t):
+    """Members by page and type, but by page alone on every third page; a polygon and, on even pages, a label for each."""
+    k = c("plan_page_id").cast("bigint")
+    members = t.surfaces.select("surface_id", F.concat_ws("/", "plan_page_id", F.when(k % 3 != 0, c("type"))).alias("merge_id"), k.alias("k"))
+    size = 10.0 + c("k") % 7
+    asked = members.select("merge_id", "k").distinct().select(
+        "merge_id", G.rectangle(F.lit(0.0), F.lit(0.0), size, F.lit(4.0)).alias("polygon"), F.when(c("k") % 2 == 0, "Merged room").alias("room_label"))
+    return members.select("merge_id", "surface_id"), asked
+
+
+CTES["merging"] = """
+  SELECT merge_id, k, count(*) AS n, count(DISTINCT type) AS types, arg_min(struct_pack(room := room_label, kind := type, project := project_id), (created_at, surface_id)) AS first, sum(square_footage) AS square_footage
+  FROM (SELECT *, CAST(plan_page_id AS BIGINT) AS k, CASE WHEN CAST(plan_page_id AS BIGINT) % 3 = 0 THEN plan_page_id ELSE plan_page_id || '/' || type END AS merge_id FROM surfaces) GROUP BY 1, 2"""
+M = ("surfaces", "merging")
+
+
+@query("merge_payload", M, """
+SELECT 'merge-' || merge_id AS surface_id, CASE WHEN k % 2 = 0 THEN 'Merged room' ELSE first.room END AS room_label, 4.0 * (10 + k % 7) AS drawn, square_footage,
+  'merged from ' || n || ' surfaces' AS notes FROM merging WHERE n > 1 AND types = 1""")
+def _merge_payload(t):
+    rows = op.merge_requests(t.surfaces, *drawn_merges(t))[0]
+    return rows.select("surface_id", "room_label", G.area(c("polygon")).alias("drawn"), "square_footage", "notes")
+
+
+@query("merge_audit", M, """
+SELECT merge_id, first.project AS project_id, 'user' AS source, CASE WHEN n > 1 AND types = 1 THEN 'Merged ' || n || ' ' || first.kind || 's into one.' END AS action,
+  CASE WHEN n < 2 THEN 'fewer than two surfaces' WHEN types > 1 THEN 'several types' END AS refused FROM merging""")
+def _merge_audit(t):
+    return op.merge_requests(t.surfaces, *drawn_merges(t))[2]
+
+
+def drawn_splits(t):
+    """Every wall and ceiling in two rectangles; labels on every third page, halves on every fifth."""
+    k = c("plan_page_id").cast("bigint")
+    ring = lambda x0, x1: G.rectangle(x0, F.lit(0.0), x1, F.lit(3.0))
+    border = 1.0 + k % 9
+    return t.surfaces.where(c("type").isin("wall", "ceiling")).select(
+        "surface_id", F.array(ring(F.lit(0.0), border), ring(border, F.lit(11.0))).alias("polygons"),
+        F.when(k % 3 == 0, F.array(F.lit("Left"), F.when(k % 2 == 0, "Right"))).alias("labels"), (k % 5 == 0).alias("equal"))
+
+
+@query("split_children", S, """
+SELECT surface_id || '-' || part AS surface_id, CASE WHEN k % 3 <> 0 THEN room_label WHEN part = 'a' THEN 'Left' WHEN k % 2 = 0 THEN 'Right' END AS room_label,
+  3.0 * CASE part WHEN 'a' THEN 1 + k % 9 ELSE 10 - k % 9 END AS drawn, floor(square_footage * CASE part WHEN 'a' THEN share ELSE 1 - share END * 10 + 0.5) / 10 AS square_footage,
+  'split from another surface' AS notes FROM (SELECT *, CASE WHEN k % 5 = 0 THEN 0.5::DOUBLE ELSE (3.0::DOUBLE * (1 + k % 9)) / (3.0::DOUBLE * (1 + k % 9) + 3.0::DOUBLE * (10 - k % 9)) END AS share
+  FROM (SELECT *, CAST(plan_page_id AS BIGINT) AS k FROM surfaces WHERE type IN ('wall', 'ceiling'))) CROSS JOIN (VALUES ('a'), ('b')) v(part)""")
+def _split_children(t):
+    rows = op.split_requests(t.surfaces, drawn_splits(t))[0]
+    return rows.select("surface_id", "room_label", G.area(c("polygon")).alias("drawn"), "square_footage", "notes")
+
+
+@query("split_audit", S, """
+SELECT surface_id, project_id, 'user' AS source, 'Split a ' || type || CASE WHEN coalesce(room_label, '') = '' THEN '' ELSE ' in ' || room_label END || ' into two.' AS action
+FROM surfaces WHERE type IN ('wall', 'ceiling')""")
+def _split_audit(t):
+    return op.split_requests(t.surfaces, drawn_splits(t))[2]
+
+
 CTES["rw"] = """
   SELECT s.*, floor(linear_footage*ceiling_height_ft*10+0.5)/10 AS next, s.type='wall' AND linear_footage > 0 AND
     (square_footage IS NULL OR abs(square_footage-floor(linear_footage*ceiling_height_ft*10+0.5)/10) >= 0.05) AS moves
