@@ -39,7 +39,7 @@ MIN_COUNT = 100
 BEST = 2000
 #: Size of the table of frequent pairs, in bits: 8 MB in every task, whatever the input.
 PAIR_BITS = 1 << 26
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _SPACES = b"\x20\x09"
 _STOPS = b".,;:!?\x0a\x0b\x0c\x0d"
