@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline import refdata as R
 from plumbline.functions import pricing as P, text as T
 from plumbline.operators.ordered import assign_windows, running_total
-from plumbline.session import cut
 
 c = F.col
 SECOND = 1_000_000
@@ -69,38 +68,6 @@ def denial_reason(key: Column, limit: int) -> Column:
                     F.lit(f'" ({limit} per window). Please wait and try again.'))
 
 
-def gate(requests: DataFrame, caller_limit: int, caller_window: int, ceiling: float = R.DAILY_CEILING,
-         global_limit: int = R.GLOBAL_CALLS_PER_MINUTE) -> DataFrame:
-    """Budget, then the global limit, then the caller's limit (I3); adds ``status`` 200, 402 or 429.
-
-    ``requests``: key, event_id, at_us, cost (what the call costs if it is let through).  A caller's
-    denial has already used a global slot.  Within a day the budget can run out only once, so a
-    replay is described by one cut-off per day.  Each round replays with the cut-offs of the round
-    before; a day's cut-off depends on earlier days only, so the rounds settle from the first day on
-    and the one stable set of cut-offs is the sequential outcome.
-    """
-    base = cut(requests.withColumn("day", F.floor(c("at_us") / DAY).cast("bigint")))
-    cuts = base.select("day", F.struct("at_us", "event_id").alias("cut")).limit(0)
-    while True:
-        open_ = (base.join(cuts, "day", "left")  # one row per day
-                 .where(c("cut").isNull() | (F.struct("at_us", "event_id") <= c("cut"))).drop("cut"))
-        everyone = open_.select(F.lit("global:per-minute").alias("key"), "event_id", "at_us")
-        passed = cut(rate_limit(everyone, global_limit, 60).where("allowed").select("event_id"))
-        callers = rate_limit(open_.join(passed, "event_id", "left_semi").select("key", "event_id", "at_us"),
-                             caller_limit, caller_window)
-        verdict = cut(open_.join(callers.select("event_id", "allowed"), "event_id", "left").withColumn(
-            "status", F.when(c("allowed"), 200).otherwise(429)).drop("allowed"))
-        # the global limit bounds the allowed calls of a day, so this running sum stays small
-        spent = running_total(verdict.where(c("status") == 200), ["day"], "at_us", "event_id", c("cost"),
-                              60 * SECOND, "spend")
-        found = cut(spent.where(c("spend") >= ceiling).groupBy("day").agg(
-            F.min(F.struct("at_us", "event_id")).alias("cut")))
-        if found.exceptAll(cuts).isEmpty() and cuts.exceptAll(found).isEmpty():
-            refused = base.join(verdict.select("event_id"), "event_id", "left_anti").withColumn("status", F.lit(402))
-            return verdict.unionByName(refused)
-        cuts = found
-
-
 # --- cache ---------------------------------------------------------------------------------------
 def cache_key(endpoint: Column, model: Column, prompt: Column, input_hash: Column | None = None) -> Column:
     parts = [endpoint, model, prompt]

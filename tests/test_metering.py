@@ -1,4 +1,4 @@
-"""Limiter, gate and cache against step-by-step replays; streams against batch."""
+"""Limiter and cache against step-by-step replays; streams against batch."""
 
 import random
 from collections import defaultdict
@@ -12,7 +12,6 @@ from plumbline.operators.ordered import running_total
 from plumbline.streaming import metering as stream
 
 S = 1_000_000
-DAY = 86_400 * S
 
 
 class Limiter:
@@ -49,22 +48,6 @@ def test_limiter_matches_replay(spark):
         assert got == want
 
 
-def test_gate_matches_replay(spark):
-    rows = [(k, e, t * 200, c) for k, e, t, c in trace(3, n=120, span=2200)]  # about three days
-    everyone, callers, spent = Limiter(3, 60 * S), Limiter(2, 20000 * S), defaultdict(float)
-    want = {}
-    for key, event, at, cost in sorted(rows, key=lambda r: (r[2], r[1])):
-        if spent[at // DAY] >= 12.0:
-            want[event] = 402
-        elif not everyone.hit("g", at) or not callers.hit(key, at):
-            want[event] = 429
-        else:
-            want[event] = 200
-            spent[at // DAY] += cost
-    got = {r.event_id: r.status for r in op.gate(frame(spark, rows), 2, 20000, ceiling=12.0, global_limit=3).collect()}
-    assert got == want and set(want.values()) == {200, 402, 429}
-
-
 def test_cache_accounting(spark):
     rows = trace(5, n=150)
     open_until, want = {}, {}
