@@ -11,14 +11,18 @@ parts alone; that partner then is such a set too, so both also give the keys of
 
 Candidates are never all pairs of a key's group:
 
-1. equal sets are one node; keys held by one node only go (counted on 44-bit digests, partial counts in every task);
-2. every node is compared with the least nodes of its keys by folded 512-bit sketches, whose Hamming distance must
-   not exceed the bound, and the nearest is verified on the shingle sets; components follow from the links;
-3. only keys whose nodes lie in more than one component are joined with themselves, and only pairs of different
-   components that pass the sketch bound leave that join; they are verified and joined in.
-
-After step 3 every candidate pair was linked, refuted, or lies inside one component, so components are exact up to
-64-bit hash collisions of shingles and sets.
+1. equal sets are one node; keys held by one node only go (counted on 44-bit digests, partial counts in every task).
+   Keys are made and counted in ``turns`` shares by their residue, one after another, so that a share's shuffles are
+   gone before the next one's begin;
+2. in up to ``ROUNDS`` rounds, every node of a key whose nodes lie in several components meets one node of another
+   component per key (drawn anew each round), by folded 512-bit sketches whose Hamming distance must not exceed the
+   bound; the nearest that was not tried before is verified on the shingle sets, and links join components;
+3. what is left goes through blocks: a key's nodes are dealt to blocks of about ``BLOCK``, every two blocks of a key
+   meet in one task, and only nodes with a partner of another component within the bound leave it.  These meet again
+   in the same way by sketches as wide as their size needs; the pairs that pass are verified and joined in.
+
+The blocks see every pair of different components of every key, so the rounds only spare work: components are exact
+up to 64-bit hash collisions of shingles and sets.
 
 Rows: texts without words (null, empty) have no shingles, link with nothing and are components of their own.
 Repeated rows and rows with equal sets share a component.  A null doc_id takes part in links; component ids are the
@@ -45,6 +49,9 @@ FOLDED_WORDS = 8
 WIDE_WORDS = 64
 PART_WORDS = 4
 ATTEMPTS = 6
+ROUNDS = 2
+BLOCK = 1024
+TURNS = 3
 _LEVEL, _PART, _FOLD = 0xA24BAED4963EE407, U64(0x9FB21C651E98DF25), U64(0x3C79AC492BA7B653)
 SEEN_IN_TASK = 200_000
 
@@ -165,7 +172,7 @@ def _nodes(k: int) -> Callable:
     return run
 
 
-def _keys(k: int, threshold: tuple[int, int]) -> Callable:
+def _keys(k: int, threshold: tuple[int, int], turn: int, turns: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, tops, seen = byte_table(SPACES, fold_case=True), band_tops(threshold, 1 << 12), set()
         for batch in batches:
@@ -183,6 +190,7 @@ def _keys(k: int, threshold: tuple[int, int]) -> Callable:
                     if len(shingles) > tops[-2]:
                         tops = band_tops(threshold, 2 * len(shingles))
                     found = part_keys(shingles, threshold, tops)
+                    found = found[found % U64(turns) == turn]
                     keys.append(found)
                     nodes.append(np.full(len(found), node))
                 yield pa.record_batch({"key": pa.array(signed(np.concatenate(keys))),
@@ -206,6 +214,73 @@ def _sets(k: int) -> Callable:
     return run
 
 
+def _wide_sketches(k: int) -> Callable:
+    """node, n, wide: sketches of ``WIDE_WORDS`` words or more, about four bits a shingle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = byte_table(SPACES, fold_case=True)
+        for batch in batches:
+            for block in word_blocks(batch.column("text"), table):
+                sets = shingle_sets(block, k)
+                wide = [folded_sketch(x, max(WIDE_WORDS, 1 << (len(x) // 16).bit_length())).tobytes() for x in sets]
+                yield pa.record_batch({"node": batch.column("node").slice(block.row0, len(sets)),
+                                       "n": pa.array([len(x) for x in sets], pa.int64()),
+                                       "sketch": pa.array(wide, pa.binary())})
+    return run
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one width: wider ones are folded to the least, as their words are dealt by residue."""
+    words = min(len(x) for x in sketches) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words)) for x in sketches])
+
+
+def _partners(threshold: tuple[int, int], emit_pairs: bool) -> Callable:
+    """Rows sorted by key, b0, b1 -> key, node of rows with a partner in their group, or the pairs a < b themselves."""
+    num, den = threshold
+
+    def judge(group: pa.Table) -> pa.RecordBatch:
+        node, component, n, block = (group.column(x).to_numpy() for x in ("node", "component", "n", "block"))
+        sketch = _folded(group.column("sketch").to_pylist())
+        crossing = group.column("b0")[0].as_py() != group.column("b1")[0].as_py()
+        found, a, b = np.zeros(len(node), bool), [], []
+        for i in range(len(node) - 1):
+            far = np.bitwise_count(sketch[i] ^ sketch[i + 1:]).sum(axis=1, dtype=np.int64)
+            least, most = np.minimum(n[i], n[i + 1:]), np.maximum(n[i], n[i + 1:])
+            ok = ((component[i + 1:] != component[i]) & (den * least >= num * most)
+                  & (far * (den + num) <= (den - num) * (least + most)))
+            if crossing:
+                ok &= block[i + 1:] != block[i]
+            at = np.flatnonzero(ok) + i + 1
+            if len(at):
+                found[i] = found[at] = True
+                if emit_pairs:
+                    a.append(np.minimum(node[at], node[i]))
+                    b.append(np.maximum(node[at], node[i]))
+        if emit_pairs:
+            none = [np.empty(0, np.int64)]
+            return pa.record_batch({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+        return pa.record_batch({"key": group.column("key").to_numpy()[found], "node": node[found]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the group that a batch leaves open
+        last = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not len(table):
+                continue
+            places = np.stack([table.column(x).to_numpy() for x in ("key", "b0", "b1")], axis=1)
+            cuts = [0, *(np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1).tolist(), len(table)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if held and last != tuple(places[lo]):
+                    yield judge(pa.concat_tables(held).combine_chunks())
+                    held = []
+                held.append(table.slice(lo, hi - lo))
+                last = tuple(places[lo])
+        if held:
+            yield judge(pa.concat_tables(held).combine_chunks())
+    return run
+
+
 def _verify(threshold: tuple[int, int]) -> Callable:
     num, den = threshold
 
@@ -233,14 +308,39 @@ def _may_link(na: Column, nb: Column, sa: Column, sb: Column, threshold: tuple[i
             & (_distance(sa, sb) * (den + num) <= (den - num) * (na + nb)))
 
 
-def _verified(pairs: DataFrame, thin: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
-    """Pairs a, b of nodes whose shingle sets reach the threshold; only their texts are shuffled again."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _texts_of(wanted: DataFrame, thin: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, text of one document of each node wanted (rows that repeat the document may stand twice)."""
     chosen = (thin.select("node", "doc_id", "h").join(wanted, "node", "left_semi")
               .groupBy("node").agg(F.min(F.struct("doc_id", "h")).alias("r")).select("node", "r.doc_id", "r.h"))
     same = F.col("t.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("t.h") == F.col("c.h"))
-    sets = keep(texts.alias("t").join(chosen.alias("c"), same).select("c.node", "t.text")
-                .mapInArrow(_sets(k), "node long, n long, wide array<bigint>, shingles binary"), "shingle-sets")
+    return texts.alias("t").join(chosen.alias("c"), same).select("c.node", "t.text")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Rows (key, node, component, n, sketch) once for every two blocks of their key that they belong to, side by side."""
+    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    paired = dealt.withColumn("other", other).select(
+        "key", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"),
+        "block", "node", "component", "n", "sketch")
+    return paired.repartition("key", "b0", "b1").sortWithinPartitions("key", "b0", "b1")
+
+
+def _mixed(shared: DataFrame, label: DataFrame | None, least_and_most: Column) -> DataFrame:
+    """key, node, component, ends of the keys whose nodes lie in several components."""
+    own = F.col("node").alias("component")
+    labelled = shared.select("key", "node", own) if label is None else shared.join(label, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("component"))
+    ends = labelled.groupBy("key").agg(F.min(least_and_most).alias("lo"), F.max(least_and_most).alias("hi"))
+    return labelled.join(ends.where("lo.component <> hi.component"), "key")
+
+
+def _verified(pairs: DataFrame, thin: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs a, b of nodes whose shingle sets reach the threshold; only their texts are shuffled again."""
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = keep(_texts_of(wanted, thin, texts).mapInArrow(
+        _sets(k), "node long, n long, wide array<bigint>, shingles binary"), "shingle-sets")
     release(texts.sparkSession)
     # a wider sketch keeps the sets of unlike pairs at home
     left, right = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"k{x}")) for x in "ab")
@@ -253,7 +353,7 @@ def _verified(pairs: DataFrame, thin: DataFrame, texts: DataFrame, k: int, thres
 
 
 def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD,
-                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                      id_col: str = "doc_id", text_col: str = "text", turns: int = TURNS) -> DataFrame:
     """doc_id, h (xxhash64 of the text), n_shingles, node, component_id of every row.
 
     ``node`` is shared by equal sets (null for empty ones); ``component_id`` is the least doc_id of the component.
@@ -265,47 +365,70 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
     nodes = keep(thin.where(F.col("node").isNotNull()).groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n"), F.any_value("sketch").alias("sketch")), "sets")
 
-    keys = texts.mapInArrow(_keys(k, threshold), "key long, node long")
-    short = F.col("key").bitwiseAND((1 << 44) - 1)
-    common = keep(keys.groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("short"),
-                  "repeated-keys")
     spark = docs.sparkSession
-    release(spark)
-    shared = keep(keys.join(common, short == F.col("short"), "left_semi").groupBy("key", "node").agg(F.lit(1))
-                  .select("key", "node"), "shared-keys")
-    release(spark, common)
-    leaders = shared.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where(
-        "leader <> last").select("key", "leader")
-    star = (shared.join(leaders, "key").where("node <> leader")
-            .groupBy(F.col("leader").alias("a"), F.col("node").alias("b")).agg(F.lit(1)).select("a", "b"))
-
     facts = nodes.select("node", "n", "sketch")
-    both = star.join(facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
-    both = both.join(facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
-    near = both.where(_may_link(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), threshold))
-    score = F.struct(_distance(F.col("ka"), F.col("kb")) / (F.col("na") + F.col("nb")), "a")
-    close = keep(near.groupBy("b").agg(F.min_by("a", score).alias("a")).select("a", "b"), "star-pairs")
-    release(spark)
-    links = keep(_verified(close, thin, texts, k, threshold), "star-links")
+    short = F.col("key").bitwiseAND((1 << 44) - 1)
+    shares = []
+    for turn in range(turns):
+        keys = texts.mapInArrow(_keys(k, threshold, turn, turns), "key long, node long")
+        common = keep(keys.groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+                      .select("short"), "repeated-keys")
+        release(spark)
+        share = keys.join(common, short == F.col("short"), "left_semi").groupBy("key", "node").agg(F.lit(1))
+        shares.append(keep(share.select("key", "node"), "shared-keys"))
+        release(spark, common)
+    shared = functools.reduce(DataFrame.unionByName, shares)
+
+    label, tried, links = None, [], []
+    for turn in range(ROUNDS):
+        drawn = F.struct(F.xxhash64("component", F.lit(turn)).alias("c"), "component",
+                         F.xxhash64("node", F.lit(turn)).alias("d"), "node")
+        other = F.when(F.col("component") != F.col("lo.component"), F.col("lo")).otherwise(F.col("hi"))
+        met = (_mixed(shared, label, drawn).select(other["node"].alias("a"), F.col("node").alias("b"))
+               .groupBy("a", "b").agg(F.lit(1)).select("a", "b"))
+        met = met.join(facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
+        met = met.join(facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
+        near = met.where(_may_link(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), threshold))
+        for old in tried:
+            near = near.join(old, (F.least(near["a"], near["b"]) == old["x"])
+                             & (F.greatest(near["a"], near["b"]) == old["y"]), "left_anti")
+        score = F.struct(_distance(F.col("ka"), F.col("kb")) / (F.col("na") + F.col("nb")), "a")
+        close = keep(near.groupBy("b").agg(F.min_by("a", score).alias("a"))
+                     .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+        release(spark)
+        if close.isEmpty():
+            break
+        tried.append(close.select(F.col("a").alias("x"), F.col("b").alias("y")))
+        found = keep(_verified(close, thin, texts, k, threshold), "near-links")
+        release(spark)
+        if found.isEmpty():
+            break
+        links.append(found)
+        label = components(functools.reduce(DataFrame.unionByName, links))
+
+    least = F.struct("component")
+    mixed = _mixed(shared, label, least).select("key", "node", "component").join(facts, "node")
+    as_bytes = F.concat(*[F.unhex(F.lpad(F.hex(F.col("sketch")[i]), 16, "0")) for i in range(FOLDED_WORDS)])
+    left = keep(_blocks(mixed.withColumn("sketch", as_bytes)).mapInArrow(_partners(threshold, False), "key long, node long")
+                .distinct(), "left-nodes")
     release(spark)
-    label = components(links)
-
-    labelled = shared.join(label.select("node", "component"), "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(
-        "lo <> hi").select("key")
-    members = keep(labelled.join(mixed, "key", "left_semi").join(facts, "node"), "mixed-keys")
-    x, y = members.alias("x"), members.alias("y")
-    crossing = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node"))
-                       & (F.col("x.component") != F.col("y.component"))
-                       & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.sketch"), F.col("y.sketch"), threshold))
-                .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.lit(1)).select("a", "b"))
-    crossing = keep(crossing.join(close, ["a", "b"], "left_anti"), "crossing-pairs")
-    release(spark, shared, members, close)
-    if not crossing.isEmpty():
+    if not left.isEmpty():
+        wide = keep(_texts_of(left.select("node").distinct(), thin, texts).mapInArrow(
+            _wide_sketches(k), "node long, n long, sketch binary").dropDuplicates(["node"]), "wide-sketches")
+        known = left if label is None else left.join(label, "node", "left")
+        component = F.col("node") if label is None else F.coalesce("component", "node")
+        members = known.select("key", "node", component.alias("component")).join(wide, "node")
+        crossing = keep(_blocks(members).mapInArrow(_partners(threshold, True), "a long, b long").distinct(),
+                        "crossing-pairs")
+        release(spark, wide)
         more = keep(_verified(crossing, thin, texts, k, threshold), "crossing-links")
         release(spark)
-        label = components(links.unionByName(more))
+        if not more.isEmpty():
+            links.append(more)
+            label = components(functools.reduce(DataFrame.unionByName, links))
+    release(spark, left, *shares)
+    if label is None:
+        label = nodes.select("node", F.col("node").alias("component")).limit(0)
 
     owner = nodes.select("node", "doc_id").join(label, "node", "left").withColumn(
         "component", F.coalesce("component", "node"))
@@ -319,7 +442,7 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
 
 def component_table(docs: DataFrame) -> DataFrame:
     """op4: doc_id, n_shingles, component_id with 3-word shingles and J >= 0.9."""
-    return linked_components(docs, k=3, threshold=(90, 100)).select("doc_id", "n_shingles", "component_id")
+    return linked_components(docs, k=3, threshold=(90, 100), turns=1).select("doc_id", "n_shingles", "component_id")
 
 
 def one_per_component(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
