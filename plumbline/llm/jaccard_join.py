@@ -49,7 +49,7 @@ FOLDED_WORDS = 8
 WIDE_WORDS = 64
 PART_WORDS = 4
 ATTEMPTS = 6
-ROUNDS = 2
+ROUNDS = 4
 BLOCK = 1024
 TURNS = 3
 _LEVEL, _PART, _FOLD = 0xA24BAED4963EE407, U64(0x9FB21C651E98DF25), U64(0x3C79AC492BA7B653)
