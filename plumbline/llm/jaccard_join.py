@@ -16,7 +16,8 @@ Candidates are never all pairs of a key's group:
    gone before the next one's begin;
 2. in up to ``ROUNDS`` rounds, every node of a key whose nodes lie in several components meets one node of another
    component per key (drawn anew each round), by folded 512-bit sketches whose Hamming distance must not exceed the
-   bound; the nearest that was not tried before is verified on the shingle sets, and links join components;
+   bound; the nearest that was not tried before is verified on the shingle sets, and links join components.  Keys
+   whose nodes have come into one component are done and no later round reads them;
 3. what is left goes through blocks: a key's nodes are dealt to blocks of about ``BLOCK``, every two blocks of a key
    meet in one task, and only nodes with a partner of another component within the bound leave it.  These meet again
    in the same way by sketches as wide as their size needs; the pairs that pass are verified and joined in.
@@ -379,12 +380,17 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
         release(spark, common)
     shared = functools.reduce(DataFrame.unionByName, shares)
 
-    label, tried, links = None, [], []
+    label, tried, links, held = None, [], [], shares
     for turn in range(ROUNDS):
         drawn = F.struct(F.xxhash64("component", F.lit(turn)).alias("c"), "component",
                          F.xxhash64("node", F.lit(turn)).alias("d"), "node")
         other = F.when(F.col("component") != F.col("lo.component"), F.col("lo")).otherwise(F.col("hi"))
-        met = (_mixed(shared, label, drawn).select(other["node"].alias("a"), F.col("node").alias("b"))
+        mixed = _mixed(shared, label, drawn)
+        if label is not None:  # components only grow: a key that lies in one component now is settled
+            mixed = keep(mixed, "open-keys")
+            release(spark, *held)
+            shared, held = mixed.select("key", "node"), [mixed]
+        met = (mixed.select(other["node"].alias("a"), F.col("node").alias("b"))
                .groupBy("a", "b").agg(F.lit(1)).select("a", "b"))
         met = met.join(facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
         met = met.join(facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
@@ -426,7 +432,7 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
         if not more.isEmpty():
             links.append(more)
             label = components(functools.reduce(DataFrame.unionByName, links))
-    release(spark, left, *shares)
+    release(spark, left, *held)
     if label is None:
         label = nodes.select("node", F.col("node").alias("component")).limit(0)
 
