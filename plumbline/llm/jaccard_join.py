@@ -12,8 +12,8 @@ parts alone; that partner then is such a set too, so both also give the keys of
 Candidates are never all pairs of a key's group:
 
 1. equal sets are one node; keys held by one node only go (counted on 44-bit digests, partial counts in every task).
-   Keys are made and counted in ``turns`` shares by their residue, one after another, so that a share's shuffles are
-   gone before the next one's begin;
+   Keys are written and counted in ``turns`` shares by their residue, one after another, so that a share's keys and
+   shuffles are gone before the next one's begin;
 2. in up to ``ROUNDS`` rounds, every node of a key whose nodes lie in several components meets one node of another
    component per key (drawn anew each round), by folded 512-bit sketches whose Hamming distance must not exceed the
    bound; the nearest that was not tried before is verified on the shingle sets, and links join components.  Keys
@@ -32,6 +32,7 @@ least non-null id of the component, or null.  An empty table gives no rows.  Oth
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 from collections.abc import Callable, Iterator
@@ -54,6 +55,7 @@ ROUNDS = 4
 BLOCK = 1024
 TURNS = 3
 _LEVEL, _PART, _FOLD = 0xA24BAED4963EE407, U64(0x9FB21C651E98DF25), U64(0x3C79AC492BA7B653)
+_PLACES = mix(np.arange(1, PART_WORDS + 1, dtype=np.uint64) * _PART)  # words of a part count by their place
 SEEN_IN_TASK = 200_000
 
 
@@ -129,7 +131,7 @@ def band_tops_to(threshold: tuple[int, int], level: int) -> list[int]:
 
 def part_keys(shingles: np.ndarray, threshold: tuple[int, int], tops: list[int]) -> np.ndarray:
     """Join keys of a set: one per filled part of its sketch, for its own band and the next one."""
-    band = int(np.searchsorted(tops, len(shingles)))
+    band = bisect.bisect_left(tops, len(shingles))
     keys = []
     for level in (band, band + 1):
         differ, parts = part_count(threshold, level)
@@ -144,10 +146,8 @@ def part_keys(shingles: np.ndarray, threshold: tuple[int, int], tops: list[int])
             enough = int(filled.sum()) > differ
             at = np.arange(parts) if attempt == ATTEMPTS - 1 and not enough else np.flatnonzero(filled)
             words = sketch.reshape(parts, PART_WORDS)[at]
-            key = mix(at.astype(np.uint64) * _PART + seed)
-            for j in range(PART_WORDS):
-                key = mix(key + words[:, j])
-            keys.append(key)
+            inside = mix(words + _PLACES).sum(axis=1, dtype=np.uint64)
+            keys.append(mix(inside + at.astype(np.uint64) * _PART + seed))
             if enough:
                 break
     return np.concatenate(keys)
@@ -371,13 +371,13 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
     short = F.col("key").bitwiseAND((1 << 44) - 1)
     shares = []
     for turn in range(turns):
-        keys = texts.mapInArrow(_keys(k, threshold, turn, turns), "key long, node long")
+        keys = keep(texts.mapInArrow(_keys(k, threshold, turn, turns), "key long, node long"), "part-keys")
         common = keep(keys.groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
                       .select("short"), "repeated-keys")
         release(spark)
         share = keys.join(common, short == F.col("short"), "left_semi").groupBy("key", "node").agg(F.lit(1))
         shares.append(keep(share.select("key", "node"), "shared-keys"))
-        release(spark, common)
+        release(spark, common, keys)
     shared = functools.reduce(DataFrame.unionByName, shares)
 
     label, tried, links, held = None, [], [], shares
