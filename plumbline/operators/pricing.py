@@ -175,7 +175,7 @@ def bid_summary(totals: DataFrame, projects: DataFrame, versions: DataFrame, gen
     row = (totals.join(projects, "project_id")
            .join(versions.select("project_id", "version_number"), "project_id"))
     def money(name: str):
-        return F.round(c(name), 2).cast("string")
+        return P.half_up(c(name), 2).cast("string")  # the double's own cents; round() goes by its shortest decimal form
     rows = [
         ("Project", c("name")), ("Client", F.coalesce("client_name", F.lit(""))),
         ("Bid version", c("version_number").cast("string")), ("Generated", F.lit(generated)),

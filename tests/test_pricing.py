@@ -159,3 +159,13 @@ def test_writers_round_trip(spark, tmp_path):
               "rooms": op.room_schedule(lines), "symbols": op.symbol_sheet(df)}
     op.write_workbook(sheets, str(tmp_path / "book"))
     assert spark.read.option("header", True).csv(str(tmp_path / "book" / "summary")).count() == 15
+
+
+def test_workbook_rounds_the_double_itself(spark):
+    """1197.495 lies below its half cent as a double, so the sheet shows 1197.49."""
+    totals = spark.createDataFrame([("p", 1197.495, 2.5, 0.0, 0.0, 10.0)],
+                                   "project_id string, total_material double, total_labor double, total_overhead double, total_markup double, grand_total double")
+    versions = spark.createDataFrame([("p", 1)], "project_id string, version_number int")
+    who = project(spark).withColumn("client_name", F.lit("C"))
+    sheet = {r.field: r.value for r in op.bid_summary(totals, who, versions, "2024-01-31").collect()}
+    assert (sheet["Total material"], sheet["Total labor"], sheet["Grand total"]) == ("1197.49", "2.5", "10.0")
