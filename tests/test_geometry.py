@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G, plantext as X
 from plumbline.operators import geometry as geo, graph, plantext as txt
+from plumbline.session import cut
+
+c = F.col
 
 
 def segs(spark, rows, page="p"):
@@ -148,3 +151,33 @@ def test_door_check_median(spark):
     scale = spark.createDataFrame([("p", 9.0)], "page_id string, pt_per_foot double")
     row = txt.verify_scale(doors, scale).first()
     assert (row.median_pt, row.check, row.doors) == (30.0, "verified", 10)
+
+
+def test_cut_tables_have_their_measured_size(spark):
+    wide = spark.range(10).select(F.explode(F.sequence(F.lit(0), F.lit(20000))).alias("n"), "id")
+    assert int(str(cut(wide)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 200_000
+
+
+def test_components_torn_between_batches(spark):
+    rnd = random.Random(3)
+    edges = [(p, rnd.randrange(40), rnd.randrange(40)) for p in "abc" for _ in range(40)] + [("d", i, i + 1) for i in range(30)]
+    df = spark.createDataFrame(edges, "p string, i int, j int").select(F.struct("p", c("i").alias("n")).alias("a"), F.struct("p", c("j").alias("n")).alias("b"))
+    want = {r.node: r.component for r in graph.components(df).collect()}
+    for size in (3, 50, 1000):
+        got = graph._placed_components(df, "a.p", size).collect()
+        assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def test_cycles_torn_between_batches(spark):
+    rnd = random.Random(5)
+    rows, want = [], {}
+    for length in (1, 2, 3, 7, 40, 90):
+        ids = rnd.sample(range(length * 1000, length * 1000 + 999), length)
+        low = ids.index(min(ids))
+        for k, i in enumerate(ids):
+            rows.append(("p", i, ids[(k + 1) % length]))
+            want[i] = (min(ids), (low - k) % length)
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "page_id string, id long, `to` long")
+    for size in (4, 30, 1000):
+        assert {r.id: (r.m, r.d) for r in graph._walked(df, "page_id", size).collect()} == want
