@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import plantext as X, pricing as P, text as T
-from plumbline.operators.accuracy import grams
 from plumbline.operators.quality import plausibility
 
 c = F.col
@@ -102,9 +101,11 @@ def apply_findings(takeoff: DataFrame, findings: DataFrame) -> DataFrame:
         "suggested_area", "suggested_count")
     texts = takeoff.select("takeoff_id", "type", F.lower("room_label").alias("hay"), "ord").where(
         c("hay").isNotNull()).groupBy("takeoff_id", "type", "hay").agg(F.min("ord").alias("ord"))
-    needles = asked.select("takeoff_id", "type", "needle").distinct()
-    found = (needles.withColumn("_k", F.substring("needle", 1, 3))
-             .join(texts.withColumn("_k", F.explode(F.concat(grams(c("hay")), F.array(F.lit(""))))), ["takeoff_id", "type", "_k"])
+    needles = asked.select("takeoff_id", "type", "needle").distinct().withColumn("_k", F.substring("needle", 1, 3))
+    # a text is spread only over the beginnings that some needle of its takeoff and type has
+    starts = needles.groupBy("takeoff_id", "type").agg(F.collect_set("_k").alias("_ks"))
+    spots = texts.join(starts, ["takeoff_id", "type"]).withColumn("_k", F.explode(F.filter("_ks", lambda k: F.contains(c("hay"), k)))).drop("_ks")
+    found = (needles.join(spots, ["takeoff_id", "type", "_k"])
              .where(F.contains(c("hay"), c("needle")))
              .groupBy("takeoff_id", "type", "needle").agg(F.min("ord").alias("ord")))
     high = c("severity") == "high"
