@@ -58,3 +58,23 @@ def test_warnings(spark):
     assert got["OFFICE"][0] == got["BEDROOM"][0] == "geometry-uncertain"
     assert "too narrow" in got["OFFICE"][1] and "by hand" in got["BEDROOM"][1]
     assert [(r.fragments, r.table_rows, r.walls, r.faces) for r in status.collect()] == [(3, 0, 8, 2)]
+
+
+def test_inputs_of_the_whole_job_are_worked_out_once(spark):
+    def counted(df, seen):
+        def run(parts):
+            for part in parts:
+                seen.add(len(part))
+                yield part
+        return df.mapInPandas(run, df.schema)
+
+    texts, walls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    sides = [(100.0, 100.0, 300.0, 100.0), (300.0, 100.0, 300.0, 300.0), (100.0, 300.0, 300.0, 300.0), (100.0, 100.0, 100.0, 300.0)]
+    segs = spark.createDataFrame([("p", i, *s) for i, s in enumerate(sides)], "page_id string, seg_id int, x1 double, y1 double, x2 double, y2 double")
+    found, status = rooms.extract_from_segments(
+        counted(spark.createDataFrame([label(0, "KITCHEN", 200.0, 200.0)], FRAGMENT), texts), counted(segs, walls),
+        spark.createDataFrame([("p", 10.0)], "page_id string, pt_per_foot double"), spark.createDataFrame([("p", 500)], "page_id string, ops int"),
+        spark.createDataFrame([("p", 500000.0)], "page_id string, plan_area double"), min_walls=4)
+    assert [(r.label, r.area_sqft) for r in found.collect()] == [("KITCHEN", 400.0)]
+    assert [(r.status, r.fragments, r.walls) for r in status.collect()] == [("ok", 1, 4)]
+    assert (texts.value, walls.value) == (1, 4)
