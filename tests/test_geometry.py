@@ -181,3 +181,12 @@ def test_cycles_torn_between_batches(spark):
     df = spark.createDataFrame(rows, "page_id string, id long, `to` long")
     for size in (4, 30, 1000):
         assert {r.id: (r.m, r.d) for r in graph._walked(df, "page_id", size).collect()} == want
+
+
+def test_merged_lines_are_ordered_once_and_repeats_before(spark):
+    from plumbline.operators.graph import merge_collinear
+    rows = [("p", 0.0, 0.0, 10.0, 0.0)] * 3 + [("p", 10.0, 0.0, 30.0, 0.0), ("p", 50.0, 0.0, 60.0, 0.0)]
+    found = merge_collinear(spark.createDataFrame(rows, "page_id string, x1 double, y1 double, x2 double, y2 double"))
+    assert sorted(tuple(r) for r in found.collect()) == [("p", 0.0, 0.0, 30.0, 0.0), ("p", 50.0, 0.0, 60.0, 0.0)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") >= 2
