@@ -301,7 +301,8 @@ def merge_requests(surfaces: DataFrame, members: DataFrame, requests: DataFrame)
     """
     held = ["project_id", "plan_page_id", "type", "paint_type", "coats", "substrate", "room_label", "status"]
     shared = ["project_id", "plan_page_id", "type"]
-    found = surfaces.join(members.select("merge_id", "surface_id").distinct(), "surface_id")
+    # dealt by surface before repeats go, so that the join needs no second shuffle of the members
+    found = surfaces.join(members.select("merge_id", "surface_id").repartition("surface_id").distinct(), "surface_id")
     sums = found.groupBy("merge_id").agg(
         F.min_by(F.struct(*held), F.struct("created_at", "surface_id")).alias("first"), F.sum("square_footage").alias("square_footage"),
         F.sum("linear_footage").alias("linear_footage"), F.sum("count").cast("int").alias("count"), F.max("confidence").alias("confidence"),
