@@ -14,16 +14,11 @@ from plumbline.operators.quality import plausibility
 c = F.col
 
 
-def _prefixes(key: Column) -> Column:
-    """All prefixes of a key from three characters on, the key itself included."""
-    return F.transform(F.sequence(F.lit(3), F.length(key)), lambda n: F.substr(key, F.lit(1), n))
-
-
 def room_lookup(labels: DataFrame, rooms: DataFrame) -> DataFrame:
     """Label -> extracted room: equal folded keys, else the first room where one key starts the other.
 
     ``rooms``: takeoff_id, ord, label, ...; of equal keys the first room counts.  Prefix matches are
-    equality joins on exploded prefixes, so no pair of unrelated labels is ever formed.  Short keys
+    equality joins on prefixes as long as some key of the other side, so no pair of unrelated labels is ever formed.  Short keys
     of the room list (under three characters) only match exactly.
     """
     facts = [n for n in rooms.columns if n not in ("takeoff_id", "label", "ord")]
@@ -34,12 +29,15 @@ def room_lookup(labels: DataFrame, rooms: DataFrame) -> DataFrame:
     long_rooms = keyed.where(F.length("rk") >= 3)
     direct = asked.join(keyed, (asked["takeoff_id"] == keyed["takeoff_id"]) & (c("k") == c("rk"))).select(
         asked["takeoff_id"], "k", "rk", F.struct(F.lit(0).alias("p"), c("ro")).alias("o"))
-    starts = asked.where(F.length("k") >= 3).withColumn("rk", F.explode(_prefixes(c("k")))).join(
+    sizes = long_rooms.groupBy("takeoff_id").agg(F.collect_set(F.length("rk")).alias("_n"))
+    starts = asked.where(F.length("k") >= 3).join(sizes, "takeoff_id").select("takeoff_id", "k", F.explode(F.transform(
+        F.filter("_n", lambda n: n <= F.length("k")), lambda n: F.substr(c("k"), F.lit(1), n))).alias("rk")).join(
         long_rooms.select("takeoff_id", "rk", "ro"), ["takeoff_id", "rk"]).select(
         "takeoff_id", "k", "rk", F.struct(F.lit(1).alias("p"), c("ro")).alias("o"))
-    # a label of one or two characters can still start a room key
-    extends = long_rooms.withColumn("k", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("rk")), lambda n: F.substr(c("rk"), F.lit(1), n)))).join(
+    # a label of one or two characters can still start a room key; only beginnings as long as some label of the takeoff are spread
+    lengths = asked.groupBy("takeoff_id").agg(F.collect_set(F.length("k")).alias("_n"))
+    extends = long_rooms.select("takeoff_id", "rk", "ro").join(lengths, "takeoff_id").withColumn("k", F.explode(F.transform(
+        F.filter("_n", lambda n: n <= F.length("rk")), lambda n: F.substr(c("rk"), F.lit(1), n)))).join(
         asked, ["takeoff_id", "k"]).select("takeoff_id", "k", "rk", F.struct(F.lit(1).alias("p"), c("ro")).alias("o"))
     best = (direct.unionByName(starts).unionByName(extends).groupBy("takeoff_id", "k")
             .agg(F.min_by("rk", "o").alias("rk")))

@@ -100,3 +100,13 @@ def test_fusion_order(spark):
     got = {r.ord: r for r in fusion.fuse(takeoff, table, notes, rooms, F.lit(8.0)).collect()}
     assert (got["1"].area_sqft, got["1"].linear_ft, got["1"].derivation, got["1"].confidence) == (352.0, 44.0, "traced", 0.5)
     assert got["2"].derivation == "ai-fallback"
+
+
+def test_room_lookup_spreads_only_beginnings_of_known_lengths(spark):
+    from plumbline.operators.fusion import room_lookup
+    labels = spark.createDataFrame([("t", "Cold Room 12"), ("t", "B"), ("t", "Hot"), ("t", "x")], "takeoff_id string, room_label string")
+    rooms = spark.createDataFrame([("t", 2, "COLD", 1.0), ("t", 1, "cold room", 2.0), ("t", 3, "BATH", 3.0), ("t", 4, "Hot", 4.0)],
+                                  "takeoff_id string, ord int, label string, area double")
+    found = room_lookup(labels, rooms)
+    assert sorted((r.k, r.room.area) for r in found.collect()) == [("b", 3.0), ("coldroom12", 2.0), ("hot", 4.0)]
+    assert "sequence(" not in found._jdf.queryExecution().sparkPlan().toString()
