@@ -15,6 +15,7 @@ from plumbline.operators.plantext import value_at
 from plumbline.session import cut
 
 c = F.col
+FEW_BEGINNINGS = 256
 
 
 def _labels(df: DataFrame, key: Column, name: str) -> DataFrame:
@@ -101,11 +102,22 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.concat(runs(1), runs(2), runs(3)))
 
 
+def spots(inner: DataFrame, outer: DataFrame, outer_col: str, most: int = FEW_BEGINNINGS) -> DataFrame:
+    """Outer rows once for each beginning ``_k`` of their plan's inner rows that they contain.
+
+    Plans of more than ``most`` beginnings spread their texts over all short runs instead, so no text is tried on many.
+    """
+    starts = inner.groupBy("plan_id").agg(F.collect_set("_k").alias("_ks"))
+    held = F.filter("_ks", lambda k: F.contains(c(outer_col), k))
+    return outer.join(starts, "plan_id").withColumn(
+        "_k", F.explode(F.when(F.size("_ks") <= most, held).otherwise(grams(c(outer_col))))).drop("_ks")
+
+
 def _contained(inner: DataFrame, inner_col: str, outer: DataFrame, outer_col: str) -> DataFrame:
     """Pairs of one plan where the inner text occurs in the outer one, found by its first characters."""
     x = inner.where(c(inner_col) != "").withColumn("_k", F.substring(inner_col, 1, 3))
-    y = outer.withColumn("_k", F.explode(grams(c(outer_col))))
-    return x.join(y, ["plan_id", "_k"]).where(F.contains(c(outer_col), c(inner_col))).drop("_k")
+    return (x.join(spots(x, outer, outer_col), ["plan_id", "_k"])
+            .where(F.contains(c(outer_col), c(inner_col))).drop("_k"))
 
 
 def _detected(cand: DataFrame, key: Column) -> DataFrame:
@@ -126,7 +138,8 @@ def _by_truth(truth: DataFrame, truth_key: Column, pairs: DataFrame, detected: D
 def match_fuzzy(truth: DataFrame, cand: DataFrame) -> DataFrame:
     """Equal, one inside the other, or the shorter token set inside the longer."""
     key = T.plain_label(c("label"), drop_notes=False)
-    t, d = _labels(truth, key, "tl").where(c("tl") != ""), _labels(cand, key, "dl").where(c("dl") != "")
+    detected = cut(_detected(cand, key))
+    t, d = cut(_labels(truth, key, "tl").where(c("tl") != "")), detected.select("plan_id", "dl").where(c("dl") != "")
     inside = _contained(t, "tl", d, "dl").select("plan_id", "tl", "dl").unionByName(
         _contained(d, "dl", t, "tl").select("plan_id", "tl", "dl"))
     tokens = lambda name: F.array_distinct(T.label_tokens(c(name), T.FUZZY_STOP_WORDS))
@@ -134,14 +147,14 @@ def match_fuzzy(truth: DataFrame, cand: DataFrame) -> DataFrame:
     shared = (tt.withColumn("_k", F.explode("tt")).join(dt.withColumn("_k", F.explode("dt")), ["plan_id", "_k"])
               .where(F.size(F.array_intersect("tt", "dt")) >= F.least(F.size("tt"), F.size("dt")))
               .select("plan_id", "tl", "dl"))
-    return _by_truth(truth, key, inside.unionByName(shared), _detected(cand, key))
+    return _by_truth(truth, key, inside.unionByName(shared), detected)
 
 
 def match_keys(truth: DataFrame, cand: DataFrame) -> DataFrame:
     """Detections whose label contains any of the truth row's ``match_keys``."""
     keys = truth.select("plan_id", "label", F.explode("match_keys").alias("_m")).select(
         "plan_id", c("label").alias("tl"), F.lower("_m").alias("key")).distinct()
-    detected = _detected(cand, F.lower("label"))
+    detected = cut(_detected(cand, F.lower("label")))
     pairs = _contained(keys, "key", detected.select("plan_id", "dl"), "dl")
     return _by_truth(truth, c("label"), pairs, detected)
 
@@ -149,11 +162,12 @@ def match_keys(truth: DataFrame, cand: DataFrame) -> DataFrame:
 def match_largest(truth: DataFrame, cand: DataFrame) -> DataFrame:
     """Largest detection containing the truth label, or whose first word the truth label contains."""
     fold = F.trim(F.regexp_replace(F.regexp_replace(F.lower("label"), r"\s+", " "), "[^a-z0-9 ]", ""))
-    t, d = _labels(truth, fold, "tl"), _labels(cand, fold, "dl")
+    detected = cut(_detected(cand, fold))
+    t, d = cut(_labels(truth, fold, "tl")), detected.select("plan_id", "dl")
     first = d.withColumn("fw", F.substring_index("dl", " ", 1))
     pairs = _contained(t, "tl", d, "dl").select("plan_id", "tl", "dl").unionByName(
         _contained(first, "fw", t, "tl").select("plan_id", "tl", "dl"))
-    return _by_truth(truth, fold, pairs, _detected(cand, fold))
+    return _by_truth(truth, fold, pairs, detected)
 
 
 # --- metrics -------------------------------------------------------------------------------------

@@ -110,3 +110,18 @@ def test_room_lookup_spreads_only_beginnings_of_known_lengths(spark):
     found = room_lookup(labels, rooms)
     assert sorted((r.k, r.room.area) for r in found.collect()) == [("b", 3.0), ("coldroom12", 2.0), ("hot", 4.0)]
     assert "sequence(" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_labels_are_spread_only_over_beginnings_of_their_plan(spark):
+    from plumbline.operators.accuracy import match_largest, spots
+
+    inner = spark.createDataFrame([("p", "con"), ("p", "hal"), ("q", "off")], "plan_id string, _k string")
+    outer = spark.createDataFrame([("p", "conference room"), ("p", "main hall con"), ("q", "conference room")], "plan_id string, dl string")
+    few = sorted(tuple(r) for r in spots(inner, outer, "dl").select("plan_id", "dl", "_k").collect())
+    assert few == [("p", "conference room", "con"), ("p", "main hall con", "con"), ("p", "main hall con", "hal")]
+    many = {tuple(r) for r in spots(inner, outer, "dl", most=1).select("plan_id", "dl", "_k").collect()}
+    assert set(few) <= many and ("q", "conference room", "off") not in many
+    truth = spark.createDataFrame([("p", 1, "Hall", 5.0), ("p", 2, "x", 6.0)], "plan_id string, ord long, label string, area double")
+    cand = spark.createDataFrame([("p", 1, "main hall", 7.0), ("p", 2, "X-ray", None), ("r", 3, "hall", 9.0)], truth.schema)
+    found = {r["ord"]: (r["hits"], r["largest"]) for r in match_largest(truth, cand).collect()}
+    assert found == {1: (1, 7.0), 2: (1, None)}
