@@ -177,10 +177,15 @@ def single_audit(surfaces: DataFrame, changes: DataFrame) -> DataFrame:
     ``changes``: surface_id (once each) and any of the snapshot columns; unknown ids leave no row.
     """
     names = [n for n in SNAPSHOT if n in changes.columns]
+    return changed_audit(surfaces.join(changes.select("surface_id", F.struct(*names).alias("new")), "surface_id"))
+
+
+def changed_audit(rows: DataFrame) -> DataFrame:
+    """``single_audit`` of surfaces that carry their change as a struct ``new`` of any of the snapshot columns."""
+    names = rows.schema["new"].dataType.names
     wanted = {n: c(f"new.{n}") if n in names else F.lit(None).cast("int" if n == "coats" else "string") for n in SNAPSHOT}
-    held = [n for n in surfaces.columns if n != "surface_id"]
-    rows = surfaces.select("surface_id", F.struct(*held).alias("old")).join(
-        changes.select("surface_id", F.struct(*names).alias("new")), "surface_id")
+    held = [n for n in rows.columns if n not in ("surface_id", "new")]
+    rows = rows.select("surface_id", F.struct(*held).alias("old"), "new")
     rows = rows.withColumn("now", F.struct(*[(F.coalesce(c(f"new.{n}"), c(f"old.{n}")) if n in names else c(f"old.{n}")).alias(n) for n in held]))
     action = T.surface_action(wanted["status"], c("old.type"), c("old.room_label"), wanted["paint_type"], wanted["coats"], wanted["substrate"])
     return rows.select("surface_id", c("old.project_id").alias("project_id"), action.alias("action"), F.lit("user").alias("source"),
