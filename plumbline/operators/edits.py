@@ -254,30 +254,46 @@ def undo(surfaces: DataFrame, projects: DataFrame, audit: DataFrame) -> tuple[Da
 
 
 # --- merge and split (E15, S31, K7) --------------------------------------------------------------
-def merge_surfaces(surfaces: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Merged rows, and the next state, for ``groups`` = merge_id, surface_id.
+FIRST = ["project_id", "plan_page_id", "type", "paint_type", "coats", "substrate", "room_label", "status"]
 
-    A group is merged only when it has at least two surfaces of one project, page and type.
-    """
-    first = ["project_id", "plan_page_id", "type", "paint_type", "coats", "substrate", "room_label", "status"]
-    members = surfaces.join(groups, "surface_id")
+
+def _merged(members: DataFrame, facts: dict[str, Column]) -> DataFrame:
     same = [F.min(n) == F.max(n) for n in ("project_id", "plan_page_id", "type")]
-    merged = (members.groupBy("merge_id").agg(
-        F.min_by(F.struct(*first), "surface_id").alias("_first"), F.sum("square_footage").alias("square_footage"),
+    return (members.groupBy("merge_id").agg(
+        F.min_by(F.struct(*FIRST), "surface_id").alias("_first"), F.sum("square_footage").alias("square_footage"),
         F.sum("linear_footage").alias("linear_footage"), F.sum("count").cast("int").alias("count"),
         F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("_n"),
-        (same[0] & same[1] & same[2]).alias("_same"))
+        (same[0] & same[1] & same[2]).alias("_same"), *[v.alias(n) for n, v in facts.items()])
         .where((c("_n") >= 2) & c("_same"))
         .select(F.concat(F.lit("merge-"), c("merge_id").cast("string")).alias("surface_id"),
-                *[c(f"_first.{n}").alias(n) for n in first], "square_footage", "linear_footage", "count",
+                *[c(f"_first.{n}").alias(n) for n in FIRST], "square_footage", "linear_footage", "count",
                 "confidence", F.lit("manual").alias("source"), "merge_id",
-                F.concat(F.lit("merged from "), c("_n").cast("string"), F.lit(" surfaces")).alias("notes")))
+                F.concat(F.lit("merged from "), c("_n").cast("string"), F.lit(" surfaces")).alias("notes"), *facts))
+
+
+def merge_surfaces(surfaces: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merged rows, and the next state, for ``groups`` = merge_id, surface_id.
+
+    A group is merged only when it has at least two surfaces of one project, page and type.
+    """
+    merged = _merged(surfaces.join(groups, "surface_id"), {})
     used = groups.join(merged.select("merge_id"), "merge_id", "left_semi")
     state = (surfaces.join(used.select("surface_id"), "surface_id", "left_anti")
              .unionByName(merged.drop("merge_id"), allowMissingColumns=True))
     return merged, state
 
 
+def merge_members(members: DataFrame, **facts: Column) -> tuple[DataFrame, DataFrame]:
+    """``merge_surfaces`` where every surface already has its one ``merge_id`` (NULL: none): nothing meets by id.
+
+    ``facts``: more aggregates of a merge's members, which its row gets but the state does not.
+    """
+    merged = _merged(members.where(c("merge_id").isNotNull()), facts)
+    state = (members.join(merged.select("merge_id"), "merge_id", "left_anti").drop("merge_id")
+             .unionByName(merged.drop("merge_id", *facts), allowMissingColumns=True))
+    return merged, state
+
+
 def split_surfaces(surfaces: DataFrame, splits: DataFrame, equal: bool = False) -> DataFrame:
     """Two children per split; ``splits`` = surface_id, area_a, area_b.
 

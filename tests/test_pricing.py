@@ -122,6 +122,34 @@ def test_merge_refuses_mixed_types(spark):
     assert merged.count() == 0 and state.count() == 2
 
 
+def test_members_merge_like_listed_groups(spark):
+    df = frame(spark, surface(1, "wall", square_footage=1.0, room_label=None), surface(2, "wall", square_footage=2.0), surface(3, "wall"),
+               surface(4, "ceiling"), surface(5, "door", count=2), surface(6, "trim"))
+    asked = df.withColumn("merge_id", F.when(F.col("type") == "wall", "w").when(F.col("type") != "trim", "mixed"))
+    groups = asked.where("merge_id IS NOT NULL").select("surface_id", "merge_id")
+    rooms = F.min_by("room_label", F.when(F.col("room_label").isNotNull(), F.col("surface_id")))
+    merged, state = edits.merge_members(asked, any_room=rooms)
+    listed, after = edits.merge_surfaces(df, groups)
+    assert merged.select(listed.columns).collect() == listed.collect() and merged.first().any_room == df.where("surface_id = '2'").first().room_label
+    assert sorted(map(str, state.select(after.columns).collect())) == sorted(map(str, after.collect())) and state.columns == after.columns
+
+
+def test_carried_changes_are_audited_like_listed_ones(spark):
+    df = frame(spark, surface(1, "wall"), surface(2, "door", room_label=None), surface(3, "trim", paint_type=None))
+    new = [F.when(F.col("type") == "wall", "Matte").alias("paint_type"), F.when(F.col("type") == "door", 3).alias("coats")]
+    carried = edits.changed_audit(df.withColumn("new", F.struct(*new)))
+    listed = edits.single_audit(df, df.select("surface_id", *new))
+    assert sorted(carried.collect()) == sorted(listed.select(carried.columns).collect()) and carried.count() == 3
+
+
+@pytest.mark.parametrize("name", ["merge_surfaces", "merge_state", "single_edit_audit"])
+def test_ids_made_from_the_row_itself_meet_no_second_scan(spark, name):
+    from plumbline.plans import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "surface_id" in x]
+
+
 @pytest.mark.parametrize("text,tool,rooms,kind,paint,pct", [
     ("Change all bathroom walls to semi-gloss", "update_surfaces", "Bathroom", "wall", "semi-gloss", None),
     ("exclude hallways", "exclude_surfaces", "Hallway", None, None, None),
