@@ -190,3 +190,41 @@ def test_merged_lines_are_ordered_once_and_repeats_before(spark):
     assert sorted(tuple(r) for r in found.collect()) == [("p", 0.0, 0.0, 30.0, 0.0), ("p", 50.0, 0.0, 60.0, 0.0)]
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert "SortAggregate" not in plan and plan.count("HashAggregate") >= 2
+
+
+def test_rectangles_match_brute_force_and_write_only_what_they_found(spark, monkeypatch):
+    import math
+    import random
+
+    from plumbline.operators import geometry as rect
+
+    draw = random.Random(7)
+    segs = []
+    for _ in range(8):
+        x, y, w, h = draw.uniform(0, 400), draw.uniform(0, 400), draw.uniform(60, 300), draw.uniform(60, 300)
+        segs += [(x, y, x + w, y), (x + w, y, x + w, y + h), (x, y + h, x + w, y + h), (x, y, x, y + h)]
+    segs += [(0.0, 100.0, 600.0, 100.0), (0.0, 300.0, 600.0, 300.0), (100.0, 100.0, 100.0, 300.0)]
+    tol, found = 1.5, {}
+    level = [(math.floor(b / tol + 0.5) * tol, min(a, d), max(a, d)) for a, b, d, e in segs if b == e]
+    upright = [(a, min(b, e), max(b, e)) for a, b, d, e in segs if a == d]
+    def touches(line, at, lo, hi):
+        return line[1] - 2 * tol <= at <= line[2] + 2 * tol and lo - tol <= line[0] <= hi + tol
+    for p in level:
+        for q in level:
+            if q[0] - p[0] < 20:
+                continue
+            left, right = max(p[1], q[1]), min(p[2], q[2])
+            ends = [[at for at, lo, hi in upright if touches(p, at, lo, hi) and touches(q, at, lo, hi) and abs(at - end) <= 1.5 * tol] for end in (left, right)]
+            area = (right - left) * (q[0] - p[0])
+            if all(ends) and right - left >= 20 and 5000 <= area <= 5e6:
+                box = (left, p[0], right, q[0])
+                grid = tuple(math.floor(v + 0.5) for v in box)
+                found[grid] = max(found.get(grid, (0.0,)), (area, box))
+    want = sorted(b for a, b in found.values() if not any(
+        oa > a and all(b[i] >= o[i] - tol for i in (0, 1)) and all(b[i] <= o[i] + tol for i in (2, 3)) for oa, o in found.values()))
+    written = []
+    monkeypatch.setattr(rect, "cut", lambda df, real=rect.cut: written.append(real(df)) or written[-1])
+    rows = spark.createDataFrame([("1", 0, *map(float, s)) for s in segs], "page_id string, seg_id long, x1 double, y1 double, x2 double, y2 double")
+    got = sorted(tuple(r.box) for r in rect.rectangles(rows).collect())
+    assert len(want) >= 3 and [[round(v, 6) for v in b] for b in got] == [[round(v, 6) for v in b] for b in want]
+    assert [t.count() for t in written] == [len(found)]
