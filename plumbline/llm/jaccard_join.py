@@ -13,7 +13,8 @@ Candidates are never all pairs of a key's group:
 
 1. equal sets are one node; keys held by one node only go (counted on 44-bit digests, partial counts in every task).
    Keys are written and counted in ``turns`` shares by their residue, one after another, so that a share's keys and
-   shuffles are gone before the next one's begin;
+   shuffles are gone before the next one's begin.  A key of two nodes is a pair: it goes if the folded sketches are too
+   far apart, and of all such keys of a near pair one is left;
 2. in up to ``ROUNDS`` rounds, every node of a key whose nodes lie in several components meets one node of another
    component per key (drawn anew each round), by folded 512-bit sketches whose Hamming distance must not exceed the
    bound; the nearest that was not tried before is verified on the shingle sets, and links join components.  Keys
@@ -309,6 +310,13 @@ def _may_link(na: Column, nb: Column, sa: Column, sb: Column, threshold: tuple[i
             & (_distance(sa, sb) * (den + num) <= (den - num) * (na + nb)))
 
 
+def _near(pairs: DataFrame, facts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs a, b that may link, with the sizes and sketches of both nodes."""
+    for x in "ab":
+        pairs = pairs.join(facts.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")), x)
+    return pairs.where(_may_link(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), threshold))
+
+
 def _texts_of(wanted: DataFrame, thin: DataFrame, texts: DataFrame) -> DataFrame:
     """node, text of one document of each node wanted (rows that repeat the document may stand twice)."""
     chosen = (thin.select("node", "doc_id", "h").join(wanted, "node", "left_semi")
@@ -369,15 +377,25 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
     spark = docs.sparkSession
     facts = nodes.select("node", "n", "sketch")
     short = F.col("key").bitwiseAND((1 << 44) - 1)
-    shares = []
+    shares, duos = [], []
     for turn in range(turns):
         keys = keep(texts.mapInArrow(_keys(k, threshold, turn, turns), "key long, node long"), "part-keys")
         common = keep(keys.groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
                       .select("short"), "repeated-keys")
         release(spark)
         share = keys.join(common, short == F.col("short"), "left_semi").groupBy("key", "node").agg(F.lit(1))
-        shares.append(keep(share.select("key", "node"), "shared-keys"))
+        share = keep(share.select("key", "node"), "shared-keys")
         release(spark, common, keys)
+        # a key of two nodes is one pair: those too far apart go, and a pair of many keys keeps one
+        sizes = share.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b"))
+        sizes = keep(sizes.where("c > 1"), "key-sizes")
+        duos.append(keep(sizes.where("c = 2").select("a", "b").distinct(), "pairs"))
+        shares.append(keep(share.join(sizes.where("c > 2").select("key"), "key", "left_semi"), "large-keys"))
+        release(spark, share, sizes)
+    duo = keep(_near(functools.reduce(DataFrame.unionByName, duos).distinct(), facts, threshold).select(
+        F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("node")), "near-duos")
+    release(spark, *duos)
+    shares.append(duo)
     shared = functools.reduce(DataFrame.unionByName, shares)
 
     label, tried, links, held = None, [], [], shares
@@ -392,9 +410,7 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
             shared, held = mixed.select("key", "node"), [mixed]
         met = (mixed.select(other["node"].alias("a"), F.col("node").alias("b"))
                .groupBy("a", "b").agg(F.lit(1)).select("a", "b"))
-        met = met.join(facts.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "a")
-        met = met.join(facts.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb")), "b")
-        near = met.where(_may_link(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), threshold))
+        near = _near(met, facts, threshold)
         for old in tried:
             near = near.join(old, (F.least(near["a"], near["b"]) == old["x"])
                              & (F.greatest(near["a"], near["b"]) == old["y"]), "left_anti")

@@ -63,3 +63,21 @@ def test_rows_between_steps_do_not_grow_with_the_square(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     jaccard_join.linked_components(docs, 3, (90, 100)).collect()
     assert all(counted[x] <= 2 * len(texts) for x in ("near-pairs", "crossing-pairs") if x in counted), counted
+
+
+def test_keys_of_two_nodes_are_kept_once_per_pair(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:395]), " ".join(f"x{i}" for i in range(300)), " ".join([f"x{i}" for i in range(150)] + [f"y{i}" for i in range(150)])]
+    rows = {}
+    real = jaccard_join.keep
+
+    def counted(df, name):
+        out = real(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard_join, "keep", counted)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard_join.linked_components(docs).collect()}
+    assert found == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert rows["shared-keys"] > 20 and rows["large-keys"] == 0 and rows["near-duos"] == 2
