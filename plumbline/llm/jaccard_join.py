@@ -12,19 +12,20 @@ parts alone; that partner then is such a set too, so both also give the keys of
 Candidates are never all pairs of a key's group:
 
 1. equal sets are one node; keys held by one node only go (counted on 44-bit digests, partial counts in every task).
-   Keys are written and counted in ``turns`` shares by their residue, one after another, so that a share's keys and
+   Keys are written once and counted in ``turns`` shares by their residue, one after another, so that a share's
    shuffles are gone before the next one's begin.  A key of two nodes is a pair: it goes if the folded sketches are too
-   far apart, and of all such keys of a near pair one is left;
+   far apart, and of all such keys of a near pair one is left.  Of larger keys that hold the same nodes one is left;
 2. in up to ``ROUNDS`` rounds, every node of a key whose nodes lie in several components meets one node of another
    component per key (drawn anew each round), by folded 512-bit sketches whose Hamming distance must not exceed the
-   bound; the nearest that was not tried before is verified on the shingle sets, and links join components.  Keys
-   whose nodes have come into one component are done and no later round reads them;
+   bound; the nearest that was not tried before is judged by sketches as wide as its size needs, worked out once, and
+   if it passes verified on the shingle sets; links join components.  Keys whose nodes have come into one component
+   are done and no later round reads them;
 3. what is left goes through blocks: a key's nodes are dealt to blocks of about ``BLOCK``, every two blocks of a key
    meet in one task, and only nodes with a partner of another component within the bound leave it.  These meet again
-   in the same way by sketches as wide as their size needs; the pairs that pass are verified and joined in.
+   in the same way by the wide sketches; the pairs that pass are verified and joined in.
 
 The blocks see every pair of different components of every key, so the rounds only spare work: components are exact
-up to 64-bit hash collisions of shingles and sets.
+up to 64-bit hash collisions of shingles and sets, and 128-bit ones of the nodes of a key.
 
 Rows: texts without words (null, empty) have no shingles, link with nothing and are components of their own.
 Repeated rows and rows with equal sets share a component.  A null doc_id takes part in links; component ids are the
@@ -43,7 +44,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.llm.common import (
-    SPACES, U64, WordBlock, byte_table, components, keep, mix, ngrams, release, signed, word_blocks,
+    SPACES, U64, WordBlock, byte_table, components, keep, mix, ngrams, release, signed, text_buffers,
+    word_blocks,
 )
 
 SHINGLE = 5
@@ -54,6 +56,7 @@ PART_WORDS = 4
 ATTEMPTS = 6
 ROUNDS = 4
 BLOCK = 1024
+JUDGED_WORDS = 1 << 18
 TURNS = 3
 _LEVEL, _PART, _FOLD = 0xA24BAED4963EE407, U64(0x9FB21C651E98DF25), U64(0x3C79AC492BA7B653)
 _PLACES = mix(np.arange(1, PART_WORDS + 1, dtype=np.uint64) * _PART)  # words of a part count by their place
@@ -174,7 +177,7 @@ def _nodes(k: int) -> Callable:
     return run
 
 
-def _keys(k: int, threshold: tuple[int, int], turn: int, turns: int) -> Callable:
+def _keys(k: int, threshold: tuple[int, int]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, tops, seen = byte_table(SPACES, fold_case=True), band_tops(threshold, 1 << 12), set()
         for batch in batches:
@@ -192,7 +195,6 @@ def _keys(k: int, threshold: tuple[int, int], turn: int, turns: int) -> Callable
                     if len(shingles) > tops[-2]:
                         tops = band_tops(threshold, 2 * len(shingles))
                     found = part_keys(shingles, threshold, tops)
-                    found = found[found % U64(turns) == turn]
                     keys.append(found)
                     nodes.append(np.full(len(found), node))
                 yield pa.record_batch({"key": pa.array(signed(np.concatenate(keys))),
@@ -209,9 +211,6 @@ def _sets(k: int) -> Callable:
                 new = [i for i, x in enumerate(nodes) if not (x in seen or seen.add(x))]  # rows may repeat
                 sets = shingle_sets(block, k)
                 yield pa.record_batch({"node": pa.array([nodes[i] for i in new], pa.int64()),
-                                       "n": pa.array([len(sets[i]) for i in new], pa.int64()),
-                                       "wide": pa.array([folded_sketch(sets[i], WIDE_WORDS) for i in new],
-                                                        pa.list_(pa.int64())),
                                        "shingles": pa.array([sets[i].tobytes() for i in new], pa.binary())})
     return run
 
@@ -230,56 +229,93 @@ def _wide_sketches(k: int) -> Callable:
     return run
 
 
-def _folded(sketches: list[bytes]) -> np.ndarray:
-    """Sketches of one width: wider ones are folded to the least, as their words are dealt by residue."""
-    words = min(len(x) for x in sketches) // 8
-    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words)) for x in sketches])
+def _folded(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sketches of one width, from their 64-bit words: wider ones are folded to the least, as their words are dealt by residue."""
+    widths = np.diff(bounds)
+    words = int(widths.min())
+    if (widths == words).all():
+        return raw[bounds[0]:bounds[-1]].reshape(-1, words)
+    return np.stack([np.bitwise_xor.reduce(raw[lo:hi].reshape(-1, words)) for lo, hi in zip(bounds, bounds[1:])])
 
 
 def _partners(threshold: tuple[int, int], emit_pairs: bool) -> Callable:
     """Rows sorted by key, b0, b1 -> key, node of rows with a partner in their group, or the pairs a < b themselves."""
     num, den = threshold
 
-    def judge(group: pa.Table) -> pa.RecordBatch:
-        node, component, n, block = (group.column(x).to_numpy() for x in ("node", "component", "n", "block"))
-        sketch = _folded(group.column("sketch").to_pylist())
-        crossing = group.column("b0")[0].as_py() != group.column("b1")[0].as_py()
-        found, a, b = np.zeros(len(node), bool), [], []
-        for i in range(len(node) - 1):
-            far = np.bitwise_count(sketch[i] ^ sketch[i + 1:]).sum(axis=1, dtype=np.int64)
-            least, most = np.minimum(n[i], n[i + 1:]), np.maximum(n[i], n[i + 1:])
-            ok = ((component[i + 1:] != component[i]) & (den * least >= num * most)
+    def pairs(node: np.ndarray, component: np.ndarray, n: np.ndarray, block: np.ndarray, sketch: np.ndarray,
+              crossing: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places i < j of the pairs of a group, some rows against all others at a time."""
+        step = max(1, JUDGED_WORDS // sketch.size)
+        for lo in range(0, len(node) - 1, step):
+            i, j = slice(lo, lo + step), slice(lo + 1, None)
+            far = np.bitwise_count(sketch[i, None] ^ sketch[None, j]).sum(axis=2, dtype=np.int64)
+            least, most = np.minimum(n[i, None], n[None, j]), np.maximum(n[i, None], n[None, j])
+            ok = ((component[i, None] != component[None, j]) & (den * least >= num * most)
                   & (far * (den + num) <= (den - num) * (least + most)))
             if crossing:
-                ok &= block[i + 1:] != block[i]
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                found[i] = found[at] = True
-                if emit_pairs:
-                    a.append(np.minimum(node[at], node[i]))
-                    b.append(np.maximum(node[at], node[i]))
-        if emit_pairs:
-            none = [np.empty(0, np.int64)]
-            return pa.record_batch({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
-        return pa.record_batch({"key": group.column("key").to_numpy()[found], "node": node[found]})
+                ok &= block[i, None] != block[None, j]
+            x, y = np.nonzero(np.triu(ok))
+            if len(x):
+                yield x + lo, y + lo + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []  # the group that a batch leaves open
+        def judged(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            """Whole groups."""
+            table = pa.Table.from_batches(rows).combine_chunks()
+            key, b0, b1, node, component, n, block = (
+                table.column(x).to_numpy() for x in ("key", "b0", "b1", "node", "component", "n", "block"))
+            raw, bounds = text_buffers(table.column("sketch").combine_chunks())
+            raw, bounds = raw[bounds[0]:bounds[-1]].view(np.uint64), (bounds - bounds[0]) // 8
+            places = np.stack([key, b0, b1], axis=1)
+            cuts = [0, *(np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            found, a, b = np.zeros(len(key), bool), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                g = slice(lo, hi)
+                for x, y in pairs(node[g], component[g], n[g], block[g], _folded(raw, bounds[lo:hi + 1]), b0[lo] != b1[lo]):
+                    if emit_pairs:
+                        a.append(np.minimum(node[g][x], node[g][y]))
+                        b.append(np.maximum(node[g][x], node[g][y]))
+                    else:
+                        found[lo + x] = found[lo + y] = True
+            if emit_pairs:
+                return pa.record_batch({"a": np.concatenate(a), "b": np.concatenate(b)})
+            return pa.record_batch({"key": key[found], "node": node[found]})
+
+        held: list[pa.RecordBatch] = []  # rows whose last group may go on
         last = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if not len(table):
+            if not batch.num_rows:
                 continue
-            places = np.stack([table.column(x).to_numpy() for x in ("key", "b0", "b1")], axis=1)
-            cuts = [0, *(np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1).tolist(), len(table)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if held and last != tuple(places[lo]):
-                    yield judge(pa.concat_tables(held).combine_chunks())
-                    held = []
-                held.append(table.slice(lo, hi - lo))
-                last = tuple(places[lo])
+            places = np.stack([batch.column(x).to_numpy() for x in ("key", "b0", "b1")], axis=1)
+            turns = np.flatnonzero((places[1:] != places[:-1]).any(axis=1)) + 1
+            if last is not None and last != tuple(places[0]):
+                yield judged(held)
+                held = []
+            if len(turns):
+                cut = int(turns[-1])
+                yield judged([*held, batch.slice(0, cut)])
+                held = []
+                batch = batch.slice(cut)
+            held.append(batch)
+            last = tuple(places[-1])
         if held:
-            yield judge(pa.concat_tables(held).combine_chunks())
+            yield judged(held)
+    return run
+
+
+def _pass(threshold: tuple[int, int]) -> Callable:
+    """Pairs a, b whose wide sketches (ka, kb) and sizes (na, nb) allow a link."""
+    num, den = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist())
+            ok = []
+            for (na, nb), a, b in zip(sizes, batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True):
+                x, y = _folded(np.frombuffer(a + b, np.uint64), np.array([0, len(a) // 8, (len(a) + len(b)) // 8]))
+                far = int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+                ok.append(den * min(na, nb) >= num * max(na, nb) and far * (den + num) <= (den - num) * (na + nb))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
     return run
 
 
@@ -300,7 +336,8 @@ def _verify(threshold: tuple[int, int]) -> Callable:
 # --- join ----------------------------------------------------------------------------------------
 def _distance(sa: Column, sb: Column) -> Column:
     """Hamming distance of two folded sketches."""
-    return F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    words = [F.bit_count(F.get(sa, F.lit(i)).bitwiseXOR(F.get(sb, F.lit(i)))) for i in range(FOLDED_WORDS)]
+    return functools.reduce(lambda x, y: x + y, words)
 
 
 def _may_link(na: Column, nb: Column, sa: Column, sb: Column, threshold: tuple[int, int]) -> Column:
@@ -325,15 +362,25 @@ def _texts_of(wanted: DataFrame, thin: DataFrame, texts: DataFrame) -> DataFrame
     return texts.alias("t").join(chosen.alias("c"), same).select("c.node", "t.text")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Rows (key, node, component, n, sketch) once for every two blocks of their key that they belong to, side by side."""
+def _blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows (key, node, component, n, sketch) once for every two blocks of their key that they belong to, side by side.
+
+    Rows are dealt while they are thin; each one's sketch is shuffled once, with its group.
+    """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = dealt.withColumn("other", other).select(
-        "key", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"),
-        "block", "node", "component", "n", "sketch")
-    return paired.repartition("key", "b0", "b1").sortWithinPartitions("key", "b0", "b1")
+        "key", F.least("block", "other").alias("b0"), F.greatest("block", "other").alias("b1"), "block", "node", "component")
+    held = paired.join(sketches, "node").select("key", "b0", "b1", "block", "node", "component", "n", "sketch")
+    return held.repartition("key", "b0", "b1").sortWithinPartitions("key", "b0", "b1")
+
+
+def _one_of_equal(rows: DataFrame) -> DataFrame:
+    """Rows key, node of one key of all those that hold the same nodes (told by their number and two 64-bit digests)."""
+    digest = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"d{i}") for i in range(2)]
+    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *digest)
+    return rows.join(groups.groupBy("c", "d0", "d1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
 
 
 def _mixed(shared: DataFrame, label: DataFrame | None, least_and_most: Column) -> DataFrame:
@@ -345,20 +392,24 @@ def _mixed(shared: DataFrame, label: DataFrame | None, least_and_most: Column) -
     return labelled.join(ends.where("lo.component <> hi.component"), "key")
 
 
-def _verified(pairs: DataFrame, thin: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
+def _likely(pairs: DataFrame, wide: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Pairs a, b that may link by their wide sketches: the sets of unlike pairs stay at home."""
+    for x in "ab":
+        pairs = pairs.join(wide.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}")), x)
+    return pairs.mapInArrow(_pass(threshold), "a long, b long")
+
+
+def _verified(pairs: DataFrame, thin: DataFrame, texts: DataFrame, k: int, threshold: tuple[int, int], name: str) -> DataFrame:
     """Pairs a, b of nodes whose shingle sets reach the threshold; only their texts are shuffled again."""
+    spark = texts.sparkSession
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = keep(_texts_of(wanted, thin, texts).mapInArrow(
-        _sets(k), "node long, n long, wide array<bigint>, shingles binary"), "shingle-sets")
-    release(texts.sparkSession)
-    # a wider sketch keeps the sets of unlike pairs at home
-    left, right = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"k{x}")) for x in "ab")
-    pairs = keep(pairs.join(left, "a").join(right, "b").where(
-        _may_link(F.col("na"), F.col("nb"), F.col("ka"), F.col("kb"), threshold)).select("a", "b"), "likely-pairs")
-    release(texts.sparkSession)
+    sets = keep(_texts_of(wanted, thin, texts).mapInArrow(_sets(k), "node long, shingles binary"), "shingle-sets")
+    release(spark)
     left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(
-        _verify(threshold), "a long, b long")
+    found = keep(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(
+        _verify(threshold), "a long, b long").distinct(), name)
+    release(spark, sets)
+    return found
 
 
 def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD,
@@ -377,26 +428,32 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
     spark = docs.sparkSession
     facts = nodes.select("node", "n", "sketch")
     short = F.col("key").bitwiseAND((1 << 44) - 1)
+    every = keep(texts.mapInArrow(_keys(k, threshold), "key long, node long"), "part-keys")
+    release(spark)
     shares, duos = [], []
     for turn in range(turns):
-        keys = keep(texts.mapInArrow(_keys(k, threshold, turn, turns), "key long, node long"), "part-keys")
+        keys = every.where(F.pmod("key", F.lit(turns)) == turn)
         common = keep(keys.groupBy(short.alias("short")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
                       .select("short"), "repeated-keys")
         release(spark)
         share = keys.join(common, short == F.col("short"), "left_semi").groupBy("key", "node").agg(F.lit(1))
         share = keep(share.select("key", "node"), "shared-keys")
-        release(spark, common, keys)
+        release(spark, common, *[every] * (turn == turns - 1))
         # a key of two nodes is one pair: those too far apart go, and a pair of many keys keeps one
         sizes = share.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("a"), F.max("node").alias("b"))
         sizes = keep(sizes.where("c > 1"), "key-sizes")
         duos.append(keep(sizes.where("c = 2").select("a", "b").distinct(), "pairs"))
         shares.append(keep(share.join(sizes.where("c > 2").select("key"), "key", "left_semi"), "large-keys"))
         release(spark, share, sizes)
+    several = keep(_one_of_equal(functools.reduce(DataFrame.unionByName, shares)), "unequal-keys")
     duo = keep(_near(functools.reduce(DataFrame.unionByName, duos).distinct(), facts, threshold).select(
         F.xxhash64("a", "b").alias("key"), F.explode(F.array("a", "b")).alias("node")), "near-duos")
-    release(spark, *duos)
-    shares.append(duo)
-    shared = functools.reduce(DataFrame.unionByName, shares)
+    release(spark, *duos, *shares)
+    shares = [several, duo]
+    shared = several.unionByName(duo)
+    wide = keep(_texts_of(shared.select("node").distinct(), thin, texts).mapInArrow(
+        _wide_sketches(k), "node long, n long, sketch binary").dropDuplicates(["node"]), "wide-sketches")
+    release(spark)
 
     label, tried, links, held = None, [], [], shares
     for turn in range(ROUNDS):
@@ -421,34 +478,35 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
         if close.isEmpty():
             break
         tried.append(close.select(F.col("a").alias("x"), F.col("b").alias("y")))
-        found = keep(_verified(close, thin, texts, k, threshold), "near-links")
+        likely = keep(_likely(close, wide, threshold), "likely-pairs")
         release(spark)
+        found = _verified(likely, thin, texts, k, threshold, "near-links")
+        release(spark, likely)
         if found.isEmpty():
             break
         links.append(found)
         label = components(functools.reduce(DataFrame.unionByName, links))
 
     least = F.struct("component")
-    mixed = _mixed(shared, label, least).select("key", "node", "component").join(facts, "node")
+    mixed = keep(_mixed(shared, label, least).select("key", "node", "component"), "mixed-keys")
+    release(spark, *held)
     as_bytes = F.concat(*[F.unhex(F.lpad(F.hex(F.col("sketch")[i]), 16, "0")) for i in range(FOLDED_WORDS)])
-    left = keep(_blocks(mixed.withColumn("sketch", as_bytes)).mapInArrow(_partners(threshold, False), "key long, node long")
-                .distinct(), "left-nodes")
-    release(spark)
+    left = keep(_blocks(mixed, facts.withColumn("sketch", as_bytes)).mapInArrow(
+        _partners(threshold, False), "key long, node long").distinct(), "left-nodes")
+    release(spark, mixed)
     if not left.isEmpty():
-        wide = keep(_texts_of(left.select("node").distinct(), thin, texts).mapInArrow(
-            _wide_sketches(k), "node long, n long, sketch binary").dropDuplicates(["node"]), "wide-sketches")
-        known = left if label is None else left.join(label, "node", "left")
+        rest = keep(_one_of_equal(left), "left-keys")
+        known = rest if label is None else rest.join(label, "node", "left")
         component = F.col("node") if label is None else F.coalesce("component", "node")
-        members = known.select("key", "node", component.alias("component")).join(wide, "node")
-        crossing = keep(_blocks(members).mapInArrow(_partners(threshold, True), "a long, b long").distinct(),
+        members = known.select("key", "node", component.alias("component"))
+        crossing = keep(_blocks(members, wide).mapInArrow(_partners(threshold, True), "a long, b long").distinct(),
                         "crossing-pairs")
-        release(spark, wide)
-        more = keep(_verified(crossing, thin, texts, k, threshold), "crossing-links")
-        release(spark)
+        release(spark, rest)
+        more = _verified(crossing, thin, texts, k, threshold, "crossing-links")
         if not more.isEmpty():
             links.append(more)
             label = components(functools.reduce(DataFrame.unionByName, links))
-    release(spark, left, *held)
+    release(spark, left, wide)
     if label is None:
         label = nodes.select("node", F.col("node").alias("component")).limit(0)
 

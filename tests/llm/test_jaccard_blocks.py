@@ -1,5 +1,6 @@
 """Near copies just over and under the threshold: exact through rounds and blocks, few rows between the steps."""
 
+import os
 import random
 
 import pytest
@@ -81,3 +82,30 @@ def test_keys_of_two_nodes_are_kept_once_per_pair(spark, monkeypatch):
     found = {r.doc_id: r.component_id for r in jaccard_join.linked_components(docs).collect()}
     assert found == {0: 0, 1: 0, 2: 2, 3: 3}
     assert rows["shared-keys"] > 20 and rows["large-keys"] == 0 and rows["near-duos"] == 2
+
+
+def test_sets_of_a_round_go_and_keys_are_written_once(spark, monkeypatch):
+    """Every round's shingle sets are deleted when its links are known; texts give their keys in one pass."""
+    written = []
+    real = jaccard_join.keep
+
+    def noted(df, name):
+        out = real(df, name)
+        written.append((name, out._kept_at))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "keep", noted)
+    texts = near_copies(60, (1, 3), 9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = jaccard_join.linked_components(docs, 3, (90, 100), turns=3)
+    names = [name for name, _ in written]
+    assert names.count("part-keys") == 1 and names.count("wide-sketches") == 1 and "shingle-sets" in names
+    left = {name for name, path in written if os.path.exists(path.removeprefix("file:"))}
+    assert not left & {"part-keys", "shingle-sets", "likely-pairs", "open-keys", "mixed-keys", "unequal-keys", "wide-sketches"}, left
+    assert len({r.component_id for r in found.collect()}) > 0
+
+
+def test_of_keys_with_the_same_nodes_one_is_left(spark):
+    rows = [(1, 10), (1, 11), (1, 12), (2, 10), (2, 11), (2, 12), (3, 10), (3, 11), (3, 13), (4, 10), (4, 11)]
+    left = jaccard_join._one_of_equal(spark.createDataFrame(rows, "key long, node long"))
+    assert sorted(map(tuple, left.collect())) == [r for r in rows if r[0] != 2]
