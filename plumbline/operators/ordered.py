@@ -77,15 +77,20 @@ def window_starts(requests: DataFrame, length: int, cells: int = 64) -> DataFram
         jumps = cut(jumps.join(onward, ["key", "to"]).select("key", "at", c("to2").alias("to")))
 
 
+def window_cover(starts: DataFrame, length: int) -> DataFrame:
+    """Windows (key, start) in the slots they touch: two slots as long as a window, whatever its requests.
+
+    The copies are not in the size of the files of ``starts``, by which a broadcast would be chosen: the join shuffles.
+    """
+    slot = F.floor(c("start") / F.lit(length)).cast("bigint")
+    return starts.select("key", "start", F.explode(F.array(slot, slot + 1)).alias("_slot")).hint("merge")
+
+
 def assign_windows(requests: DataFrame, length: int, cells: int = 64) -> DataFrame:
     """Every request with its window's start and its position in it, by (at, event_id)."""
     width = max(1, length // cells)
-    starts = window_starts(requests, length, cells)
-    # requests of a window lie in [start, start + length): a bounded number of cells
-    span = F.sequence(F.floor(c("start") / width).cast("bigint"),
-                      F.floor((c("start") + length - 1) / width).cast("bigint"))
-    cover = starts.select("key", "start", F.explode(span).alias("_slot"))
-    placed = (requests.withColumn("_slot", F.floor(c("at") / width).cast("bigint"))
+    cover = window_cover(window_starts(requests, length, cells), length)
+    placed = (requests.withColumn("_slot", F.floor(c("at") / F.lit(length)).cast("bigint"))
               .join(cover, ["key", "_slot"])
               .where((c("at") >= c("start")) & (c("at") < c("start") + length)).drop("_slot"))
     return running_total(placed, ["key", "start"], "at", "event_id", F.lit(1), width, "position")

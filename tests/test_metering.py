@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import pricing as P
 from plumbline.operators import metering as op
-from plumbline.operators.ordered import running_total
+from plumbline.operators.ordered import assign_windows, running_total, window_cover
 from plumbline.streaming import metering as stream
 
 S = 1_000_000
@@ -48,6 +48,17 @@ def test_limiter_matches_replay(spark):
         assert got == want
 
 
+def test_windows_are_copied_to_two_slots_and_shuffled(spark):
+    starts = spark.createDataFrame([("a", 0), ("a", 100), ("b", 37), ("b", -63)], "key string, start bigint")
+    cover = window_cover(starts, 100)
+    assert sorted(tuple(r) for r in cover.collect()) == sorted(
+        (k, s, s // 100 + i) for k, s in (("a", 0), ("a", 100), ("b", 37), ("b", -63)) for i in (0, 1))
+    requests = spark.createDataFrame([("a", 1, 99), ("b", 2, -63), ("b", 3, 36), ("b", 4, 37)], "key string, event_id long, at long")
+    rows = assign_windows(requests, 100)
+    assert "strategy=merge" in rows._jdf.queryExecution().optimizedPlan().toString()  # copies are not broadcast by file size
+    assert {r.event_id: (r.start, r.position) for r in rows.collect()} == {1: (99, 1), 2: (-63, 1), 3: (-63, 2), 4: (37, 1)}
+
+
 def test_cache_accounting(spark):
     rows = trace(5, n=150)
     open_until, want = {}, {}
