@@ -228,3 +228,12 @@ def test_rectangles_match_brute_force_and_write_only_what_they_found(spark, monk
     got = sorted(tuple(r.box) for r in rect.rectangles(rows).collect())
     assert len(want) >= 3 and [[round(v, 6) for v in b] for b in got] == [[round(v, 6) for v in b] for b in want]
     assert [t.count() for t in written] == [len(found)]
+
+
+def test_spread_rows_are_shuffled_not_broadcast(spark):
+    """Copies per cell are not in the planner's estimate, which goes by the size of the input's files."""
+    near = graph.spread(spark.range(1).select(F.lit("p").alias("page_id"), F.lit(5.0).alias("x")), F.col("x") - 9, F.lit(0.0), F.col("x") + 9, F.lit(0.0), 4.0)
+    here = spark.range(1).select(F.lit("p").alias("page_id"), F.lit(1).cast("long").alias("_cx"), F.lit(0).cast("long").alias("_cy"))
+    met = here.join(near.select("page_id", "_cx", "_cy", "x"), ["page_id", "_cx", "_cy"])
+    assert "strategy=merge" in met._jdf.queryExecution().optimizedPlan().toString()
+    assert met.count() == 1

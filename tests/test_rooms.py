@@ -78,3 +78,13 @@ def test_inputs_of_the_whole_job_are_worked_out_once(spark):
     assert [(r.label, r.area_sqft) for r in found.collect()] == [("KITCHEN", 400.0)]
     assert [(r.status, r.fragments, r.walls) for r in status.collect()] == [("ok", 1, 4)]
     assert (texts.value, walls.value) == (1, 4)
+
+
+def test_rows_of_a_table_are_not_broadcast_by_the_size_of_their_files(spark):
+    """Files of the rows pack far below their size in memory: neither their keys nor their places choose a broadcast by them."""
+    found = rooms.table_rooms(
+        spark.createDataFrame([label(0, "KITCHEN", 200.0, 200.0)], FRAGMENT), spark.createDataFrame([face("inner", 100.0, 100.0, 300.0, 300.0)], FACE),
+        spark.createDataFrame([("p", 10.0)], "page_id string, pt_per_foot double"),
+        spark.createDataFrame([("p", 500000.0)], "page_id string, plan_area double"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") >= 3  # labels with places, rows with places, places with faces' cells
