@@ -561,26 +561,37 @@ def run_points(runs: DataFrame) -> DataFrame:
     Each edge is taken in both directions and points back to the edge before it through a vertex
     where exactly two edges meet.  Doubling those pointers gives each directed edge its distance from
     the start; of the two directions the one with the smaller first edge is kept.  A closed run starts
-    (and ends) at its smallest corner, which counts as an end here.
+    (and ends) at its smallest corner, which counts as an end here.  The rounds carry 64-bit ids of
+    directed edges; only the edges of the direction that is kept meet their coordinates again.
     """
+    spark = runs.sparkSession
+    runs = cut(runs)  # read by several steps; what callers give is a join itself
     way = lambda a, b: F.struct(c(f"x{a}").alias("ox"), c(f"y{a}").alias("oy"), c(f"x{b}").alias("tx"), c(f"y{b}").alias("ty"))
-    half = runs.select("page_id", "run", F.explode(F.array(way(1, 2), way(2, 1))).alias("h"))
-    loops = run_summary(runs).where("closed").select("page_id", "run")
-    corner = half.join(loops, ["page_id", "run"], "left_semi").groupBy("page_id", "run").agg(
-        F.min(F.struct("page_id", c("h.ox").alias("x"), c("h.oy").alias("y"))).alias("v")).select("v").distinct()
-    through = _degrees(runs).where(c("deg") == 2).select("v").join(corner, "v", "left_anti")
-    out = half.withColumn("v", F.struct("page_id", c("h.ox").alias("x"), c("h.oy").alias("y"))).join(through, "v", "left_semi")
-    into = half.select("run", c("h").alias("prev"), F.struct("page_id", c("h.tx").alias("x"), c("h.ty").alias("y")).alias("v"))
-    links = out.join(into, ["run", "v"]).where((c("prev.ox") != c("h.tx")) | (c("prev.oy") != c("h.ty")))
-    state = cut(half.join(links.select("page_id", "run", "h", "prev"), ["page_id", "run", "h"], "left")
-                .withColumn("pos", c("prev").isNotNull().cast("int")).withColumn("start", F.coalesce("prev", "h")))
+    key = lambda o, t: F.xxhash64("page_id", "run", f"h.{o}x", f"h.{o}y", f"h.{t}x", f"h.{t}y")
+    half = runs.select("page_id", "run", F.explode(F.array(way(1, 2), way(2, 1))).alias("h")).withColumn("id", key("o", "t"))
+    point = lambda n: F.struct(c(f"x{n}").alias("x"), c(f"y{n}").alias("y"))
+    corner = runs.groupBy("page_id", "run").agg(F.sum("free").alias("free"), F.min(F.least(point(1), point(2))).alias("v")).where(
+        c("free") == 0).select("page_id", "v.x", "v.y").distinct()
+    # of the two ways out of a vertex each follows the other one's way in
+    out = half.select("page_id", c("h.ox").alias("x"), c("h.oy").alias("y"), "id", key("t", "o").alias("back"),
+                      F.xxhash64("run").alias("run"), F.xxhash64("h.tx", "h.ty").alias("to"))
+    two = out.groupBy("page_id", "x", "y").agg(
+        F.count(F.lit(1)).alias("deg"), F.min("id").alias("a"), F.max("id").alias("b"), F.min_by("back", "id").alias("into_a"),
+        F.max_by("back", "id").alias("into_b"), *[f(n).alias(f"{k}_{n}") for n in ("run", "to") for k, f in (("lo", F.min), ("hi", F.max))])
+    through = two.where((c("deg") == 2) & (c("lo_run") == c("hi_run")) & (c("lo_to") != c("hi_to"))).join(corner, ["page_id", "x", "y"], "left_anti")
+    state = cut(through.select(F.inline(F.array(
+        F.struct(c("a").alias("id"), c("into_b").alias("prev"), F.lit(1).alias("pos"), c("into_b").alias("start")),
+        F.struct(c("b").alias("id"), c("into_a").alias("prev"), F.lit(1).alias("pos"), c("into_a").alias("start"))))))
     while not state.where(c("prev").isNotNull()).isEmpty():
-        back = state.select("page_id", "run", c("h").alias("prev"), c("prev").alias("p2"), c("pos").alias("n2"), c("start").alias("s2"))
-        state = cut(state.join(back, ["page_id", "run", "prev"], "left").select(
-            "page_id", "run", "h", c("p2").alias("prev"), (c("pos") + F.coalesce("n2", F.lit(0))).alias("pos"),
-            F.coalesce("s2", "start").alias("start")))
-    first = state.groupBy("page_id", "run").agg(F.min("start").alias("_s"))
-    kept = state.join(first, ["page_id", "run"]).where(c("start") == c("_s"))
-    tail = kept.select("page_id", "run", (c("pos") + 1).alias("pos"), c("h.tx").alias("x"), c("h.ty").alias("y"))
-    head = kept.where(c("pos") == 0).select("page_id", "run", c("pos"), c("h.ox").alias("x"), c("h.oy").alias("y"))
-    return head.unionByName(tail)
+        back = state.select(c("id").alias("prev"), c("prev").alias("p2"), c("pos").alias("n2"), c("start").alias("s2"))
+        on = state.where(c("prev").isNotNull()).join(back, "prev", "left").select(
+            "id", c("p2").alias("prev"), (c("pos") + F.coalesce("n2", F.lit(0))).alias("pos"), F.coalesce("s2", "start").alias("start"))
+        old, state = state, cut(on.unionByName(state.where(c("prev").isNull())))
+        del back, on
+        release(spark, old)
+    first = cut(half.join(state.select("id"), "id", "left_anti").groupBy("page_id", "run").agg(F.min_by("id", "h").alias("id")).select("id"))
+    kept = state.join(first.select(c("id").alias("start")), "start", "left_semi").select("id", "pos").unionByName(
+        first.select("id", F.lit(0).alias("pos")))
+    spot = lambda n, e: F.struct((c("pos") + n).alias("pos"), c(f"h.{e}x").alias("x"), c(f"h.{e}y").alias("y"))
+    ends = F.array(F.when(c("pos") == 0, spot(0, "o")), spot(1, "t"))
+    return half.join(kept, "id").select("page_id", "run", F.inline(F.filter(ends, lambda e: e.isNotNull())))

@@ -237,3 +237,18 @@ def test_spread_rows_are_shuffled_not_broadcast(spark):
     met = here.join(near.select("page_id", "_cx", "_cy", "x"), ["page_id", "_cx", "_cy"])
     assert "strategy=merge" in met._jdf.queryExecution().optimizedPlan().toString()
     assert met.count() == 1
+
+
+def test_run_points_carry_ids_through_their_rounds(spark, monkeypatch):
+    """A long open run and a closed one: rounds hold numbers only, and their superseded tables go."""
+    kept, gone = [], []
+    real_cut, real_release = graph.cut, graph.release
+    monkeypatch.setattr(graph, "cut", lambda df: kept.append(df.dtypes) or real_cut(df))
+    monkeypatch.setattr(graph, "release", lambda spark, *old: gone.append(len(old)) or real_release(spark, *old))
+    open_run = [(i * 10, 0, i * 10 + 10, 0) for i in range(9)]
+    runs = cut(graph.wall_runs(segs(spark, open_run + square(0, 100, 50)).drop("seg_id")))
+    kept.clear(), gone.clear()
+    rows = [(r.pos, r.x, r.y) for r in graph.run_points(runs).orderBy("y", "pos").collect()]
+    assert rows[:10] == [(i, i * 10.0, 0.0) for i in range(10)]
+    assert sorted(p for p, _, _ in rows[10:]) == [0, 1, 2, 3, 4] and [(x, y) for p, x, y in rows if y >= 100 and p in (0, 4)] == [(0.0, 100.0)] * 2
+    assert gone and all(set(dict(d).values()) <= {"bigint", "int"} for d in kept[1:])
