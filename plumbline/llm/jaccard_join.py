@@ -22,7 +22,7 @@ Candidates are never all pairs of a key's group:
    are done and no later round reads them;
 3. what is left goes through blocks: a key's nodes are dealt to blocks of about ``BLOCK``, every two blocks of a key
    meet in one task, and only nodes with a partner of another component within the bound leave it.  These meet again
-   in the same way by the wide sketches; the pairs that pass are verified and joined in.
+   in the same way by the wide sketches, a share of the keys at a time; the pairs that pass are verified and joined in.
 
 The blocks see every pair of different components of every key, so the rounds only spare work: components are exact
 up to 64-bit hash collisions of shingles and sets, and 128-bit ones of the nodes of a key.
@@ -499,13 +499,20 @@ def linked_components(docs: DataFrame, k: int = SHINGLE, threshold: tuple[int, i
         known = rest if label is None else rest.join(label, "node", "left")
         component = F.col("node") if label is None else F.coalesce("component", "node")
         members = known.select("key", "node", component.alias("component"))
-        crossing = keep(_blocks(members, wide).mapInArrow(_partners(threshold, True), "a long, b long").distinct(),
-                        "crossing-pairs")
+        # rows carry a wide sketch each: the keys go in shares, one after another, so that their shuffles do not coexist
+        met = []
+        for turn in range(turns):
+            share = members.where(F.pmod("key", F.lit(turns)) == turn)
+            met.append(keep(_blocks(share, wide).mapInArrow(_partners(threshold, True), "a long, b long").distinct(),
+                            "crossing-pairs"))
+            release(spark)
+        crossing = functools.reduce(DataFrame.unionByName, met).distinct()
         release(spark, rest)
         more = _verified(crossing, thin, texts, k, threshold, "crossing-links")
         if not more.isEmpty():
             links.append(more)
             label = components(functools.reduce(DataFrame.unionByName, links))
+        release(spark, *met)
     release(spark, left, wide)
     if label is None:
         label = nodes.select("node", F.col("node").alias("component")).limit(0)

@@ -109,3 +109,16 @@ def test_of_keys_with_the_same_nodes_one_is_left(spark):
     rows = [(1, 10), (1, 11), (1, 12), (2, 10), (2, 11), (2, 12), (3, 10), (3, 11), (3, 13), (4, 10), (4, 11)]
     left = jaccard_join._one_of_equal(spark.createDataFrame(rows, "key long, node long"))
     assert sorted(map(tuple, left.collect())) == [r for r in rows if r[0] != 2]
+
+
+def test_wide_blocks_go_in_shares(spark, monkeypatch):
+    """Wide sketches of one share of the keys at a time are shuffled; the components are the same."""
+    steps = []
+    real = jaccard_join.keep
+    monkeypatch.setattr(jaccard_join, "keep", lambda df, name: steps.append(name) or real(df, name))
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 0)
+    texts = near_copies(60, (1, 4), 5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.linked_components(docs, 3, (90, 100), turns=3).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts, 3, 90, 100)
+    assert steps.count("crossing-pairs") == 3
