@@ -252,3 +252,37 @@ def test_run_points_carry_ids_through_their_rounds(spark, monkeypatch):
     assert rows[:10] == [(i, i * 10.0, 0.0) for i in range(10)]
     assert sorted(p for p, _, _ in rows[10:]) == [0, 1, 2, 3, 4] and [(x, y) for p, x, y in rows if y >= 100 and p in (0, 4)] == [(0.0, 100.0)] * 2
     assert gone and all(set(dict(d).values()) <= {"bigint", "int"} for d in kept[1:])
+
+
+def test_whole_faces_leave_their_batch_as_one_row(spark, monkeypatch):
+    """Whatever the batches tear apart, the faces are the same; what is written holds no half-edge of a whole face."""
+    rows = square(0, 0, 40) + square(40, 0, 40) + square(200, 200, 30) + [(300 + i, 0, 301 + i, 0) for i in range(6)]
+    half = cut(graph.half_edges(graph.distinct_segments(segs(spark, rows))))
+    written = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(real(df)) or written[-1])
+    found = {}
+    for size in (1 << 18, 5):
+        written.clear()
+        found[size] = sorted((r.face, r.vertices, r.area, tuple(r.box), tuple(map(tuple, r.polygon))) for r in graph.faces(half, batch_rows=size).collect())
+        if size > 5:
+            assert written[0].count() == len(found[size]) and written[0].where("face IS NULL").isEmpty()
+    assert found[5] == found[1 << 18]
+    assert sorted(a for _, _, a, _, _ in found[5] if a > 0) == [900.0, 1600.0, 1600.0]
+
+
+def test_pages_lie_side_by_side_in_batches(spark, monkeypatch):
+    """Mixed up pages, batches of two of them: no face waits for the rounds, and no component is torn."""
+    rows = [(f"p{p}", *map(float, r)) for p in range(30) for r in square(0, 0, 40)]
+    random.Random(3).shuffle(rows)
+    drawn = spark.createDataFrame(rows, "page_id string, x1 double, y1 double, x2 double, y2 double").coalesce(1)
+    half = cut(graph.half_edges(graph.distinct_segments(drawn)))
+    written = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(real(df)) or written[-1])
+    assert graph.faces(half, batch_rows=16).where("area > 0").count() == 30
+    assert written[0].where("face IS NULL").isEmpty()
+    written.clear()
+    edges = drawn.select(graph._p(1).alias("a"), graph._p(2).alias("b"))
+    assert graph._placed_components(edges, "a.page_id", batch_rows=8).select("component").distinct().count() == 30
+    assert written[1].count() <= 10  # links between batches: not one per node
